@@ -79,6 +79,13 @@ def with_language(rows: DataFrame) -> DataFrame:
     )
 
 
+def translation_table(turns: DataFrame) -> DataFrame:
+    """One stored translation per language pair and text."""
+    return turns.groupBy("src", "tgt", F.sha2("text", 256).alias("text_key")).agg(
+        F.min("translated").alias("translated")
+    )
+
+
 def with_translation(rows: DataFrame, translations: DataFrame) -> DataFrame:
     """``english_translation``: the text itself for English, else the stored translation.
 
@@ -228,10 +235,7 @@ def unify_output(requests: DataFrame, replies: DataFrame, translations: DataFram
     )
     bare = payloads.bare_base64(F.coalesce(F.col("ticket_image_base64"), F.lit("")))
     bad_image = ~payloads.is_strict_base64(bare) | (bare == "")
-    reading = payloads.one_object(payloads.json_blob(F.col("reply")), payloads.TICKET_TYPE)
-    reading_json = F.coalesce(
-        F.to_json(reading, {"ignoreNullFields": "false"}), F.lit("{}")
-    )
+    blob = payloads.json_blob(F.col("reply"))
     no_query = F.col("query").isNull()
     chat_error = is_chat & no_query
     ticket_state = payloads.reading_state(F.col("reply"))
@@ -256,7 +260,9 @@ def unify_output(requests: DataFrame, replies: DataFrame, translations: DataFram
         "journey_id": F.when(
             is_ticket & ~error, F.sha2(F.concat_ws("|", "request_id", "user_id", bare), 256)
         ),
-        "extracted_data": F.when(is_ticket & ~error, reading_json),
+        "extracted_data": F.when(
+            is_ticket & ~error, F.when(ticket_state == "parsed", blob).otherwise("{}")
+        ),
         "chat_reply": F.when(is_chat & ~error, visible_reply(F.col("reply"))),
     }
     blank = F.lit("")

@@ -106,6 +106,18 @@ MODEL_REPLIES = Shape(
     "role = 'assistant'",
 )
 
+# Finished translations; about one text in seventeen has none, some came back empty.
+TRANSLATED_TURNS = Shape(
+    "conversations",
+    {
+        "src": "'hi-IN'",
+        "tgt": "'en-IN'",
+        "text": "text",
+        "translated": "CASE WHEN conv_id % 19 = 5 THEN '' ELSE 'EN: ' || text END",
+    },
+    f"role = 'user' AND {_TURN} % 17 <> 3",
+)
+
 _FULL_READING = (
     "'{\"pnr\": \"' || lpad(CAST(event_id AS STRING), 10, '0') || "
     "'\", \"train_number\": \"12951\", \"train_name\": \"Express ' || event_type || "
@@ -335,6 +347,7 @@ SCRIPT_TEXTS = Shape(
 NAMED: dict[str, Shape] = {
     "f_requests": REQUESTS,
     "f_model_replies": MODEL_REPLIES,
+    "f_translated_turns": TRANSLATED_TURNS,
     "f_ticket_replies": TICKET_REPLIES,
     "f_image_bytes": IMAGE_BYTES,
     "f_images": IMAGES,
