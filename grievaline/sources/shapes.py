@@ -133,7 +133,7 @@ TICKET_REPLIES = Shape(
         "reply": _case(
             "event_id % 10",
             {
-                0: "props",
+                0: "'{\"journey_id\": \"own\", ' || substr(props, 2)",
                 1: f"'Here it is: ' || {_FULL_READING} || ' done'",
                 2: f"{_FULL_READING} || ' and ' || props",
                 3: "'{\"pnr\": \"1\", \"class\" \"SL\"}'",
@@ -344,6 +344,33 @@ SCRIPT_TEXTS = Shape(
     },
 )
 
+DOCUMENTS = Shape(
+    "documents",
+    {"doc_id": "doc_id", "source": "source", "lang": "lang", "text": "text"},
+)
+# Two versions of the rulebook: texts amended, withdrawn and new in the second one.
+OLD_DOCUMENTS = Shape("documents", dict(DOCUMENTS.columns), "doc_id % 10 <> 2")
+NEW_DOCUMENTS = Shape(
+    "documents",
+    {
+        **DOCUMENTS.columns,
+        "text": "CASE WHEN doc_id % 10 = 0 THEN text || ' (amended)' ELSE text END",
+    },
+    "doc_id % 10 <> 1",
+)
+
+WEB_HITS = Shape(
+    "pages",
+    {
+        "page_id": "page_id",
+        "search_id": "CAST(floor(page_id / 7) AS BIGINT)",
+        "title": "CASE WHEN page_id % 11 <> 3 THEN regexp_extract(html, "
+        "'<title>([^<]*)</title>', 1) END",
+        "url": "url",
+        "content": "CASE WHEN page_id % 6 <> 1 THEN CAST(length(html) AS STRING) END",
+    },
+)
+
 NAMED: dict[str, Shape] = {
     "f_requests": REQUESTS,
     "f_model_replies": MODEL_REPLIES,
@@ -353,6 +380,10 @@ NAMED: dict[str, Shape] = {
     "f_images": IMAGES,
     "f_journey": JOURNEY,
     "f_users": USERS,
+    "f_documents": DOCUMENTS,
+    "f_old_documents": OLD_DOCUMENTS,
+    "f_new_documents": NEW_DOCUMENTS,
+    "f_web_hits": WEB_HITS,
     "f_history": HISTORY,
     "f_tool_events": TOOL_EVENTS,
     "f_clips": CLIPS,
