@@ -7,9 +7,9 @@ import importlib
 from grievaline.oracle.build import QUERIES, statement
 from grievaline.registry import REGISTERED, Query
 
-for _module in ("queries_requests", "queries_rules", "queries_chat"):
+for _module in ("queries_requests", "queries_rules", "queries_chat", "queries_search"):
     importlib.import_module(f"grievaline.{_module}")
-for _module in ("requests", "rules", "chat"):
+for _module in ("requests", "rules", "chat", "search"):
     importlib.import_module(f"grievaline.oracle.{_module}")
 
 
