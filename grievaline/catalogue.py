@@ -7,9 +7,9 @@ import importlib
 from grievaline.oracle.build import QUERIES, statement
 from grievaline.registry import REGISTERED, Query
 
-for _module in ("queries_requests", "queries_rules", "queries_chat", "queries_search"):
+for _module in ("queries_requests", "queries_rules", "queries_chat", "queries_search", "queries_streams"):
     importlib.import_module(f"grievaline.{_module}")
-for _module in ("requests", "rules", "chat", "search"):
+for _module in ("requests", "rules", "chat", "search", "streams"):
     importlib.import_module(f"grievaline.oracle.{_module}")
 
 

@@ -30,11 +30,13 @@ def script_language(text: Column) -> Column:
     only the rest pays for a count per script.
     """
     others = "".join(rf"\p{{Is{s}}}" for s, _ in SCRIPT_LANGUAGES if s != "Latin")
-    counts = [F.regexp_count(text, F.lit(rf"\p{{Is{s}}}")) for s, _ in SCRIPT_LANGUAGES]
-    best = F.greatest(*counts)
-    vote = F.when(best == 0, DEFAULT_LANGUAGE)
-    for count, (_, code) in zip(counts, SCRIPT_LANGUAGES):
-        vote = vote.when(count == best, code)
+    counts = F.array(*[F.regexp_count(text, F.lit(rf"\p{{Is{s}}}")) for s, _ in SCRIPT_LANGUAGES])
+    codes = F.array(*[F.lit(code) for _, code in SCRIPT_LANGUAGES])
+    # The one-element array binds the counts, so that each is taken once.
+    vote = F.transform(
+        F.array(counts),
+        lambda c: F.get(codes, (F.array_position(c, F.array_max(c)) - 1).cast("int")),
+    )[0]
     return (
         F.when(text.isNull(), DEFAULT_LANGUAGE)
         .when(text.rlike(f"[{others}]"), vote)

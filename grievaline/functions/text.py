@@ -92,7 +92,10 @@ def hashed_counts(c: Column, dims: int) -> Column:
         words(c),
         lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % dims,
     )
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)),
-        lambda d: F.size(F.filter(slots, lambda s: s == d)),
-    )
+    every = F.sequence(F.lit(0), F.lit(dims - 1))
+
+    def counted(s: Column) -> Column:
+        return F.transform(every, lambda d: F.size(s) - F.size(F.array_remove(s, d)))
+
+    # The one-element array binds the slots, so that a text is hashed once.
+    return F.transform(F.array(slots), counted)[0]

@@ -18,12 +18,13 @@ REQUEST_COLUMNS = [
     "ticket_image_base64",
     "user_id",
 ]
-REQUEST_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in REQUEST_COLUMNS])
 
 
-def read_requests(spark: SparkSession, path: str) -> DataFrame:
+def read_requests(spark: SparkSession, path: str, ids: list[str] | None = None) -> DataFrame:
     """Request rows from JSON lines; one object is one row, absent keys are null."""
-    return spark.read.schema(REQUEST_SCHEMA).json(path)
+    names = [*(ids or []), *REQUEST_COLUMNS]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    return spark.read.schema(schema).json(path)
 
 
 def clean_request(rows: DataFrame) -> DataFrame:

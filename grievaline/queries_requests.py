@@ -12,6 +12,7 @@ from grievaline.plans import complaints, quality, requests
 from grievaline.registry import registered
 from grievaline.sources.shapes import shaped
 from grievaline.sources.tables import read_table
+from grievaline.sources.workdir import new_dir
 
 
 def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,12 +45,15 @@ def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def request_batch_source(spark, sf_dir):
-    return given(spark, sf_dir, "f_requests").select("request_id", *requests.REQUEST_COLUMNS)
+    """Requests written as JSON lines and read back with the fixed schema."""
+    path = new_dir(spark, "requests")
+    given(spark, sf_dir, "f_requests").write.json(path)
+    return requests.read_requests(spark, path, ["request_id"])
 
 
 @registered
 def clean_request_row(spark, sf_dir):
-    return requests.clean_request(request_batch_source(spark, sf_dir))
+    return requests.clean_request(given(spark, sf_dir, "f_requests"))
 
 
 @registered

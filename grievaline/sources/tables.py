@@ -19,10 +19,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stream_table(
     spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 1000
 ) -> DataFrame:
-    """The same table as a file stream; the schema comes from the parquet footer."""
+    """The same table as a file stream; the schema comes from the parquet footer.
+
+    The stream reader takes a plain path for a folder only; as a pattern the name
+    fits a table in one file too.
+    """
     schema = read_table(spark, sf_dir, name).schema
     return (
         spark.readStream.schema(schema)
         .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(f"{sf_dir}/{name}.parquet")
+        .parquet(f"{sf_dir}/{name}.parque[t]")
     )
