@@ -11,54 +11,59 @@ from grievaline.plans import requests, rules, tickets
 from grievaline.queries_requests import given
 from grievaline.registry import registered
 from grievaline.sources.sinks import append_missing
+from grievaline.sources.tables import spread
 from grievaline.sources.workdir import new_dir
 
 BATCH_TIME = "2024-02-01 00:00:00"
 
 
+def documents(spark, sf_dir, version="f_documents"):
+    return spread(given(spark, sf_dir, version), "doc_id")
+
+
 @registered
 def page_text_source(spark, sf_dir):
-    return rules.pages(given(spark, sf_dir, "f_documents"))
+    return rules.pages(documents(spark, sf_dir))
 
 
 @registered
 def flatten_page_text(spark, sf_dir):
-    rows = given(spark, sf_dir, "f_documents")
+    rows = documents(spark, sf_dir)
     return rows.select("doc_id", flat_page(F.col("text")).alias("text")).where("text <> ''")
 
 
 @registered
 def sliding_chunks(spark, sf_dir):
-    rows = given(spark, sf_dir, "f_documents").select("doc_id", "text")
+    rows = documents(spark, sf_dir).select("doc_id", "text")
     return rules.sliding_chunks(rows).select("doc_id", "start", "text")
 
 
 @registered
 def chunk_no_in_source(spark, sf_dir):
-    rows = rules.chunk_table(given(spark, sf_dir, "f_documents"), global_numbers=False)
+    rows = rules.chunk_table(documents(spark, sf_dir), global_numbers=False)
     return rows.select("source", "page", "start", "chunk_no_in_source")
 
 
 @registered
 def chunk_no_global(spark, sf_dir):
-    rows = rules.chunk_table(given(spark, sf_dir, "f_documents"))
+    rows = rules.chunk_table(documents(spark, sf_dir))
     return rows.select("source", "page", "start", "chunk_id")
 
 
 @registered
 def chunk_surrogate_id(spark, sf_dir):
-    rows = rules.sliding_chunks(given(spark, sf_dir, "f_documents").select("doc_id", "text"))
+    rows = rules.sliding_chunks(documents(spark, sf_dir).select("doc_id", "text"))
     return rows.select("doc_id", "start", rules.chunk_id().alias("id"))
 
 
 @registered
 def chunk_stats(spark, sf_dir):
-    return rules.chunk_stats(given(spark, sf_dir, "f_documents"))
+    return rules.chunk_stats(documents(spark, sf_dir))
 
 
 @registered
 def chunk_table_overwrite(spark, sf_dir):
-    rows = rules.chunk_table(given(spark, sf_dir, "f_documents"), global_numbers=False)
+    rows = rules.chunk_table(documents(spark, sf_dir), global_numbers=False)
     table = rules.overwrite_table(rows, "grievaline_rules", "rule_chunks")
     return table.groupBy("source").agg(F.count("*").alias("n_chunks"))
 
@@ -77,7 +82,7 @@ def schema_merge_write(spark, sf_dir):
 @registered
 def change_feed(spark, sf_dir):
     old, new = (
-        rules.sliding_chunks(given(spark, sf_dir, f"f_{v}_documents").select("doc_id", "text"))
+        rules.sliding_chunks(documents(spark, sf_dir, f"f_{v}_documents").select("doc_id", "text"))
         for v in ("old", "new")
     )
     return changed_rows(old, new, ["doc_id", "start"], ["text"])

@@ -10,7 +10,7 @@ from grievaline.operators.nearest import nearest
 from grievaline.plans import resolution, retrieval
 from grievaline.queries_requests import given
 from grievaline.registry import registered
-from grievaline.sources.tables import read_table
+from grievaline.sources.tables import read_table, spread
 
 SPLIT = "1997-01-01 00:00:00"
 
@@ -33,7 +33,8 @@ def questions(spark, sf_dir):
 
 
 def documents(spark, sf_dir):
-    return given(spark, sf_dir, "f_documents").select("doc_id", "source", "text")
+    rows = given(spark, sf_dir, "f_documents").select("doc_id", "source", "text")
+    return spread(rows, "doc_id")
 
 
 @registered

@@ -30,3 +30,15 @@ def stream_table(
         .option("maxFilesPerTrigger", files_per_trigger)
         .parquet(f"{sf_dir}/{name}.parque[t]")
     )
+
+
+def spread(frame: DataFrame, key: str) -> DataFrame:
+    """``frame`` shared out by ``key`` if its scan has fewer tasks than there are cores.
+
+    For costly work per row on a table in a few large files; a scan with enough
+    tasks stays as it is and is not shuffled.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    if frame.isStreaming or frame.rdd.getNumPartitions() >= cores:
+        return frame
+    return frame.repartition(cores, key)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from grievaline.functions.text import hashed_counts
 from grievaline.plans.retrieval import DIMS, passages
 from grievaline.sources.sinks import read_or_none, write_batch
+from grievaline.sources.tables import spread
 from grievaline.streaming.runs import run_available
 
 
@@ -36,6 +37,7 @@ def sync_index(documents: DataFrame, path: str, batch_id: int, whole: bool) -> N
     with one ``batch_id`` sees the state before it and writes the same folder.
     """
     spark = documents.sparkSession
+    documents = spread(documents, "doc_id")
     chunks = passages(documents).select(
         "id", "doc_id", F.sha2("text", 256).alias("digest"), "text"
     )
