@@ -69,16 +69,28 @@ def json_blob(c: Column) -> Column:
 def one_object(blob: Column, ddl: str) -> Column:
     """``blob`` as exactly one JSON object of type ``ddl``, else null.
 
-    Parsed as an array, so that text with a second value behind the first fails.
+    The parser stops behind the first value. Inside an array a second value shows as
+    a second item or breaks the array; what closes the array breaks an object around
+    the text. So text that passes in both is one value.
     """
     items = F.from_json(F.concat(F.lit("["), blob, F.lit("]")), f"array<{ddl}>", STRICT_JSON)
-    return F.when(blob.startswith("{") & (F.size(items) == 1), F.get(items, F.lit(0)))
+    inside = F.from_json(F.concat(F.lit('{"v":'), blob, F.lit("}")), f"struct<v:{ddl}>", STRICT_JSON)
+    alone = blob.startswith("{") & (F.size(items) == 1) & inside.getField("v").isNotNull()
+    return F.when(alone, F.get(items, F.lit(0)))
+
+
+def is_one_value(c: Column) -> Column:
+    """Whether the text is exactly one JSON value; the same two wraps as above."""
+    items = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    inside = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
+    first, second = (F.try_variant_get(items, f"$[{i}]", "variant") for i in (0, 1))
+    return inside.isNotNull() & first.isNotNull() & second.isNull()
 
 
 def call_arguments(c: Column) -> Column:
     """Tool arguments as a map; blank or broken text gives an empty map."""
     empty = F.from_json(F.lit("{}"), "map<string,string>")
-    return F.coalesce(one_object(F.trim(c), "map<string,string>"), empty)
+    return F.coalesce(one_object(F.btrim(c, F.lit(" \t\n\r")), "map<string,string>"), empty)
 
 
 def reading_state(reply: Column) -> Column:
@@ -91,6 +103,6 @@ def reading_state(reply: Column) -> Column:
     return (
         F.when(F.coalesce(reply, F.lit("")) == "", "empty")
         .when(one_object(blob, TICKET_TYPE).isNotNull(), "parsed")
-        .when(~F.contains(reply, F.lit("{")) & F.try_parse_json(reply).isNotNull(), "not_object")
+        .when(~F.contains(reply, F.lit("{")) & is_one_value(reply), "not_object")
         .otherwise("broken")
     )
