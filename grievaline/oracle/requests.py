@@ -177,6 +177,14 @@ view(
         THEN substr(image, instr(image, ',') + 1) ELSE image END, '{BLANK_CLASS}', '', 'g') AS bare
         FROM (SELECT request_id, reply, coalesce(ticket_image_base64, '') AS image FROM v_complaints))""",
 )
+view(
+    "v_answers",
+    """SELECT session || '-' || answer AS request_id,
+        CAST(to_json(list({'tool': tool, 'args': args, 'result': CASE WHEN tool = 'book_hotel' THEN 'error'
+          ELSE coalesce(sms_uri, 'success') END} ORDER BY seq)) AS VARCHAR) AS log,
+        min_by(sms_uri, seq) FILTER (WHERE tool = 'submit_grievance' AND coalesce(sms_uri, '') <> '') AS log_sms_uri
+      FROM v_calls WHERE ran GROUP BY session, answer""",
+)
 view(
     "v_unified",
     f"""SELECT c.request_id, route AS request_type,
@@ -186,7 +194,8 @@ view(
         WHEN route = 'chat' AND query IS NULL THEN 'empty query' WHEN route = 'chat' THEN 'Chat response generated'
         WHEN NOT good_image THEN 'Failed to process ticket: invalid base64 image'
         ELSE 'Ticket processed and journey details saved' END AS message,
-      CASE WHEN route = 'complaint' THEN sms_uri ELSE '' END AS sms_uri,
+      CASE WHEN route = 'complaint' THEN c.sms_uri WHEN route = 'chat' AND query IS NOT NULL
+        THEN coalesce(log_sms_uri, '') ELSE '' END AS sms_uri,
       CASE WHEN route = 'complaint' THEN formatted_complaint ELSE '' END AS formatted_complaint,
       CASE WHEN route = 'complaint' THEN char_count ELSE 0 END AS char_count,
       CASE WHEN route = 'complaint' THEN detected_language ELSE '' END AS detected_language,
@@ -195,8 +204,8 @@ view(
       CASE WHEN route = 'ticket' AND good_image THEN '{{}}' ELSE '' END AS extracted_data,
       CASE WHEN route = 'chat' AND query IS NOT NULL THEN
         coalesce({strip("regexp_replace(reply, '(?is)<think>.*?</think>', '', 'g')")}, '') ELSE '' END AS chat_reply,
-      '' AS tool_log
-      FROM v_complaints c JOIN v_tickets USING (request_id)""",
+      CASE WHEN route = 'chat' AND query IS NOT NULL THEN coalesce(log, '[]') ELSE '' END AS tool_log
+      FROM v_complaints c JOIN v_tickets USING (request_id) LEFT JOIN v_answers a ON a.request_id = c.request_id""",
 )
 query("unify_output", "SELECT * FROM v_unified")
 query(

@@ -7,16 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from grievaline.functions.labels import lookup
+from grievaline.functions.payloads import TICKET_KEYS
 from grievaline.functions.text import present
 from grievaline.operators.hotkeys import lookup_join
 
-POINT_READ = """
-    SELECT pnr, train_number, train_name, source_station, destination_station,
-           journey_date, departure_time, arrival_time, `class`, seat_number
-    FROM {journeys}
-    WHERE user_id = :user_id
-    ORDER BY created_at DESC, journey_id DESC
-    LIMIT 1
+POINT_READ = f"""
+    SELECT {", ".join(f"`{k}`" for k in TICKET_KEYS)}
+    FROM {{journeys}} WHERE user_id = :user_id
+    ORDER BY created_at DESC, journey_id DESC LIMIT 1
 """
 
 

@@ -12,20 +12,19 @@ from grievaline.functions.text import complaint_line, send_link, strip, visible_
 from grievaline.plans.requests import fill_defaults, route_requests
 
 MAX_CHARS = 160
-RESULT_COLUMNS = [
-    "request_type",
-    "status",
-    "message",
-    "sms_uri",
-    "formatted_complaint",
-    "char_count",
-    "detected_language",
-    "engine_notes",
-    "journey_id",
-    "extracted_data",
-    "chat_reply",
-    "tool_log",
-]
+# What a fallback message can need of a text.
+HEAD_CHARS = 80
+# Messages and notes of the result row.
+COMPLAINT_DONE = "Complaint generated"
+COMPLAINT_FAILED = "Failed to generate complaint"
+CHAT_DONE = "Chat response generated"
+TICKET_DONE = "Ticket processed and journey details saved"
+TICKET_FAILED = "Failed to process ticket: "
+NOTE_FORCED = "Language forced to: "
+NOTE_DETECTED = "Language auto-detected: "
+NOTE_ENGLISH = "Input is English — no translation needed."
+NOTE_FALLBACK = "LLM returned empty output — used structured fallback."
+NOTE_CUT = "Complaint truncated to 160 characters."
 
 
 def prompt_lines(issue: Column, train: Column, text: Column) -> Column:
@@ -39,7 +38,8 @@ def prompt_lines(issue: Column, train: Column, text: Column) -> Column:
 
 def fallback_message(issue: Column, train: Column, translation: Column, raw: Column) -> Column:
     """A message from the fields, for a reply that cleans to nothing."""
-    body = strip(F.substring(F.coalesce(F.nullif(translation, F.lit("")), raw), 1, 80))
+    text = F.coalesce(F.nullif(translation, F.lit("")), raw)
+    body = strip(F.substring(text, 1, HEAD_CHARS))
     return F.concat(
         issue_label(issue, F.lit(GENERAL)),
         F.when(train != "", F.concat(F.lit(" Train "), train)).otherwise(""),
@@ -86,15 +86,23 @@ def translation_table(turns: DataFrame) -> DataFrame:
     )
 
 
-def with_translation(rows: DataFrame, translations: DataFrame) -> DataFrame:
+def with_translation(
+    rows: DataFrame, translations: DataFrame, whole_text: bool = True
+) -> DataFrame:
     """``english_translation``: the text itself for English, else the stored translation.
 
     Null means that no translation is stored, which is the failed call of the job.
     Only rows that need one carry a text key; the others get no key and are spread
-    by the request id, so that they do not meet in one partition.
+    by the request id, so that they do not meet in one partition. Without
+    ``whole_text`` the text key is still that of the whole text, but only the head
+    that a fallback message can show is shuffled.
     """
+
+    def kept(c: str) -> Column:
+        return F.col(c) if whole_text else F.substring(c, 1, HEAD_CHARS)
+
     stored = translations.where(F.col("tgt") == "en-IN").select(
-        F.concat_ws("|", "src", "text_key").alias("_key"), "translated"
+        F.concat_ws("|", "src", "text_key").alias("_key"), kept("translated").alias("translated")
     )
     wanted = F.when(
         F.col("detected_language") != "en-IN",
@@ -104,6 +112,7 @@ def with_translation(rows: DataFrame, translations: DataFrame) -> DataFrame:
     # adaptive skew join splits; the stored side has one row per key.
     return (
         rows.withColumn("_key", wanted)
+        .withColumn("query", kept("query"))
         .join(stored, "_key", "left")
         .withColumn(
             "english_translation",
@@ -133,18 +142,14 @@ def complaint_columns(rows: DataFrame) -> DataFrame:
     notes = F.array_compact(
         F.array(
             F.concat(
-                F.when(F.col("language_code").isNotNull(), "Language forced to: ").otherwise(
-                    "Language auto-detected: "
-                ),
+                F.when(F.col("language_code").isNotNull(), NOTE_FORCED).otherwise(NOTE_DETECTED),
                 code,
             ),
-            F.when(code == "en-IN", "Input is English — no translation needed.").otherwise(
+            F.when(code == "en-IN", NOTE_ENGLISH).otherwise(
                 F.concat(F.lit("Translated from "), code, F.lit(" to English."))
             ),
-            F.when(used_fallback, "LLM returned empty output — used structured fallback."),
-            F.when(
-                too_long(F.col("_message")), f"Complaint truncated to {MAX_CHARS} characters."
-            ),
+            F.when(used_fallback, NOTE_FALLBACK),
+            F.when(too_long(F.col("_message")), NOTE_CUT),
         )
     )
     ok = F.col("failure").isNull()
@@ -155,9 +160,9 @@ def complaint_columns(rows: DataFrame) -> DataFrame:
     return rows.withColumns(
         {
             "status": F.when(ok, "success").otherwise("error"),
-            "message": F.when(ok, "Complaint generated")
+            "message": F.when(ok, COMPLAINT_DONE)
             .when(F.col("failure") == "empty query", "empty query")
-            .otherwise("Failed to generate complaint"),
+            .otherwise(COMPLAINT_FAILED),
             "truncated": ok & too_long(F.col("_message")),
             "used_fallback": ok & used_fallback,
             "notes": F.when(ok, notes).otherwise(
@@ -170,18 +175,23 @@ def complaint_columns(rows: DataFrame) -> DataFrame:
     ).drop("_message")
 
 
-def prepared(requests: DataFrame, translations: DataFrame) -> DataFrame:
+def prepared(
+    requests: DataFrame, translations: DataFrame, whole_text: bool = True
+) -> DataFrame:
     """Cleaned, routed, defaulted requests with language and translation."""
     rows = fill_defaults(route_requests(requests))
     rows = rows.withColumn("query", strip(F.col("query")))
-    return with_translation(with_language(rows), translations)
+    return with_translation(with_language(rows), translations, whole_text)
 
 
 def complaint_batch(
-    requests: DataFrame, replies: DataFrame, translations: DataFrame
+    requests: DataFrame, replies: DataFrame, translations: DataFrame, whole_text: bool = False
 ) -> DataFrame:
-    """Every complaint request with its message, link, notes and status."""
-    rows = prepared(requests, translations).where(F.col("route") == "complaint")
+    """Every complaint request with its message, link, notes and status.
+
+    ``whole_text`` keeps the whole raw text and translation for the full record.
+    """
+    rows = prepared(requests, translations, whole_text).where(F.col("route") == "complaint")
     rows = rows.join(reply_digest(replies), "request_id", "left")
     return complaint_columns(rows)
 
@@ -218,60 +228,61 @@ def complaint_record(batch: DataFrame) -> DataFrame:
     )
 
 
-def unify_output(requests: DataFrame, replies: DataFrame, translations: DataFrame) -> DataFrame:
+def unify_output(
+    requests: DataFrame, replies: DataFrame, translations: DataFrame, tool_logs: DataFrame
+) -> DataFrame:
     """One twelve-column row per request of any route, absent fields blank or zero.
 
-    The input is read once; each route fills its own columns.
+    The input is read once; each route fills its own columns. ``tool_logs`` holds
+    ``request_id, tool_log, log_sms_uri`` of the answers that called tools.
     """
-    rows = prepared(requests, translations)
+    rows = prepared(requests, translations, whole_text=False)
     line = complaint_line(F.col("reply"))
     is_chat = F.col("route") == "chat"
     is_ticket = F.col("route") == "ticket"
     is_complaint = F.col("route") == "complaint"
     rows = complaint_columns(
         rows.join(replies.select("request_id", "reply"), "request_id", "left")
+        .join(tool_logs, "request_id", "left")
         .withColumn("line", F.when(is_complaint, F.substring(line, 1, MAX_CHARS + 1)))
         .withColumn("has_reply", F.coalesce(F.col("reply"), F.lit("")) != "")
     )
     bare = payloads.bare_base64(F.coalesce(F.col("ticket_image_base64"), F.lit("")))
-    bad_image = ~payloads.is_strict_base64(bare) | (bare == "")
-    blob = payloads.json_blob(F.col("reply"))
-    no_query = F.col("query").isNull()
-    chat_error = is_chat & no_query
-    ticket_state = payloads.reading_state(F.col("reply"))
-    ticket_error = (
-        F.when(bad_image, "Failed to process ticket: invalid base64 image")
-        .when(ticket_state == "not_object", "Failed to process ticket: reply is not an object")
-        .otherwise("")
-    )
-    error = (is_chat & no_query) | (is_ticket & (ticket_error != ""))
-    filled = {
-        "status": F.when(is_complaint, F.col("status")).when(error, "error").otherwise("success"),
+    state = payloads.reading_state(F.col("reply"))
+    no_query = is_chat & F.col("query").isNull()
+    no_image = is_ticket & (~payloads.is_strict_base64(bare) | (bare == ""))
+    no_object = is_ticket & (state == "not_object")
+    chat_done = is_chat & ~no_query
+    ticket_done = is_ticket & ~no_image & ~no_object
+    blank = F.lit("")
+    columns = {
+        "status": F.when(is_complaint, F.col("status"))
+        .when(chat_done | ticket_done, "success")
+        .otherwise("error"),
         "message": F.when(is_complaint, F.col("message"))
-        .when(chat_error, "empty query")
-        .when(is_chat, "Chat response generated")
-        .when(ticket_error != "", ticket_error)
-        .otherwise("Ticket processed and journey details saved"),
-        "sms_uri": F.when(is_complaint, F.col("sms_uri")),
+        .when(no_query, "empty query")
+        .when(no_image, TICKET_FAILED + "invalid base64 image")
+        .when(no_object, TICKET_FAILED + "reply is not an object")
+        .when(is_chat, CHAT_DONE)
+        .otherwise(TICKET_DONE),
+        "sms_uri": F.when(is_complaint, F.col("sms_uri")).when(chat_done, F.col("log_sms_uri")),
         "formatted_complaint": F.when(is_complaint, F.col("formatted_complaint")),
         "char_count": F.when(is_complaint, F.col("char_count")).otherwise(0),
         "detected_language": F.when(is_complaint, F.col("detected_language")),
         "engine_notes": F.when(is_complaint, F.array_join("notes", ", ")),
         "journey_id": F.when(
-            is_ticket & ~error, F.sha2(F.concat_ws("|", "request_id", "user_id", bare), 256)
+            ticket_done, F.sha2(F.concat_ws("|", "request_id", "user_id", bare), 256)
         ),
         "extracted_data": F.when(
-            is_ticket & ~error, F.when(ticket_state == "parsed", blob).otherwise("{}")
+            ticket_done,
+            F.when(state == "parsed", payloads.json_blob(F.col("reply"))).otherwise("{}"),
         ),
-        "chat_reply": F.when(is_chat & ~error, visible_reply(F.col("reply"))),
+        "chat_reply": F.when(chat_done, visible_reply(F.col("reply"))),
+        "tool_log": F.when(chat_done, F.coalesce("tool_log", F.lit("[]"))),
     }
-    blank = F.lit("")
+    never_null = ("status", "message", "char_count")
     return rows.select(
         "request_id",
         F.col("route").alias("request_type"),
-        *[
-            (c if n in ("status", "message", "char_count") else F.coalesce(c, blank)).alias(n)
-            for n, c in filled.items()
-        ],
-        blank.alias("tool_log"),
+        *[(c if n in never_null else F.coalesce(c, blank)).alias(n) for n, c in columns.items()],
     )

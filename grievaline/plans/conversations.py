@@ -156,6 +156,28 @@ def first_sms_uri(calls: DataFrame) -> DataFrame:
     )
 
 
+def answer_results(calls: DataFrame) -> DataFrame:
+    """``request_id, tool_log, log_sms_uri`` of every answer that called a tool.
+
+    Answer n of a session is the one to the request of that conversation and turn.
+    """
+    entry = F.struct("seq", F.struct("tool", "args", call_result().alias("result")).alias("call"))
+    link = (F.col("tool") == "submit_grievance") & (F.coalesce("sms_uri", F.lit("")) != "")
+    ordered = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["call"])
+    return (
+        calls.where("ran")
+        .groupBy(
+            F.concat_ws(
+                "-", F.col("session").cast("string"), F.col("answer").cast("string")
+            ).alias("request_id")
+        )
+        .agg(
+            F.to_json(ordered).alias("tool_log"),
+            F.min_by(F.when(link, F.col("sms_uri")), F.when(link, F.col("seq"))).alias("log_sms_uri"),
+        )
+    )
+
+
 def tool_usage(calls: DataFrame) -> DataFrame:
     return calls.where("ran").groupBy("round", "tool").agg(F.count("*").alias("n"))
 

@@ -8,6 +8,8 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grievaline.operators.hotkeys import lookup_join
+
 GROUPS = ["zone", "category", "priority"]
 QUANTILES = [0.1, 0.5, 0.9]
 
@@ -17,8 +19,9 @@ def resolution_history(
 ) -> DataFrame:
     """One row per closed complaint; ``days`` is negative for records out of order.
 
-    Lines shrink to one row per order before the join. The small tables carry no
-    hint: their measured size decides whether they are broadcast.
+    Lines shrink to one row per order before the join, and a customer with very many
+    orders is spread. The small tables carry no hint: their measured size decides
+    whether they are broadcast.
     """
     closed = lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.max("l_shipdate").alias("closed_at")
@@ -28,10 +31,11 @@ def resolution_history(
         .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
         .select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", "r_name")
     )
+    filed = orders.select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
     return (
-        orders.select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
+        lookup_join(filed, places, "o_custkey", "o_orderkey")
+        .where("r_name IS NOT NULL")
         .join(closed, "o_orderkey")
-        .join(places, "o_custkey")
         .select(
             F.col("o_orderkey").alias("complaint_id"),
             F.col("r_name").alias("zone"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from grievaline.functions import labels
 from grievaline.functions.scripts import script_language as vote
 from grievaline.functions.text import complaint_line, send_link
-from grievaline.plans import complaints, quality, requests
+from grievaline.plans import complaints, conversations, quality, requests
 from grievaline.registry import registered
 from grievaline.sources.shapes import shaped
 from grievaline.sources.tables import read_table
@@ -31,8 +31,13 @@ def inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     )
 
 
-def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return complaints.complaint_batch(*inputs(spark, sf_dir))
+def tool_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = given(spark, sf_dir, "f_tool_events")
+    return conversations.answer_results(conversations.tool_calls(events))
+
+
+def batch(spark: SparkSession, sf_dir: str, whole_text: bool = False) -> DataFrame:
+    return complaints.complaint_batch(*inputs(spark, sf_dir), whole_text)
 
 
 def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +45,8 @@ def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     replies = given(spark, sf_dir, "f_model_replies").select(
         "request_id", F.length("reply").alias("reply_length")
     )
-    return batch(spark, sf_dir).where("status = 'success'").join(replies, "request_id", "left")
+    rows = batch(spark, sf_dir, whole_text=True).where("status = 'success'")
+    return rows.join(replies, "request_id", "left")
 
 
 @registered
@@ -147,7 +153,7 @@ def engine_notes(spark, sf_dir):
 
 @registered
 def complaint_record(spark, sf_dir):
-    return complaints.complaint_record(batch(spark, sf_dir))
+    return complaints.complaint_record(batch(spark, sf_dir, whole_text=True))
 
 
 @registered
@@ -157,7 +163,7 @@ def complaint_batch(spark, sf_dir):
 
 @registered
 def unify_output(spark, sf_dir):
-    return complaints.unify_output(*inputs(spark, sf_dir))
+    return complaints.unify_output(*inputs(spark, sf_dir), tool_logs(spark, sf_dir))
 
 
 @registered

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from grievaline.queries_chat import shown
-from grievaline.queries_requests import given, inputs
+from grievaline.queries_requests import given, inputs, tool_logs
 from grievaline.registry import registered
 from grievaline.sources.shapes import shaped
 from grievaline.sources.tables import stream_table
@@ -34,6 +34,7 @@ def request_stream(spark, sf_dir):
         arriving(spark, sf_dir, "f_requests"),
         replies,
         translations,
+        tool_logs(spark, sf_dir),
         f"{target}/rows",
         f"{target}/checkpoint",
     )

@@ -14,6 +14,7 @@ from grievaline.functions.text import hashed_counts
 from grievaline.plans.retrieval import DIMS, passages
 from grievaline.sources.sinks import read_or_none, write_batch
 from grievaline.sources.tables import spread
+from grievaline.sources.workdir import pinned
 from grievaline.streaming.runs import run_available
 
 
@@ -37,35 +38,47 @@ def sync_index(documents: DataFrame, path: str, batch_id: int, whole: bool) -> N
     with one ``batch_id`` sees the state before it and writes the same folder.
     """
     spark = documents.sparkSession
-    documents = spread(documents, "doc_id")
-    chunks = passages(documents).select(
-        "id", "doc_id", F.sha2("text", 256).alias("digest"), "text"
-    )
+    documents = spread(documents.select("doc_id", "text"), "doc_id")
     held = live_index(spark, path, before=batch_id)
-    vec = hashed_counts(F.col("text"), DIMS)
     if held is None:
-        write_batch(
-            chunks.select("id", "doc_id", "digest", vec.alias("vec"), F.lit(False).alias("gone")),
-            path,
-            batch_id,
-        )
+        write_batch(embedded(passages(documents)), path, batch_id)
         return
-    known = held.select("id", "doc_id", F.col("digest").alias("held_digest"))
-    changed = (
-        chunks.join(known.drop("doc_id"), "id", "left")
-        .where(~F.col("digest").eqNullSafe(F.col("held_digest")))
-        .select("id", "doc_id", "digest", vec.alias("vec"), F.lit(False).alias("gone"))
-    )
+    now = passages(documents).select("id", "doc_id", F.sha2("text", 256).alias("digest"))
+    known = held.select("id", F.col("doc_id").alias("held_doc"), F.col("digest").alias("held"))
     if not whole:
-        known = known.join(documents.select("doc_id").distinct(), "doc_id", "left_semi")
-    gone = known.join(chunks.select("id"), "id", "left_anti").select(
+        known = known.join(
+            documents.select(F.col("doc_id").alias("held_doc")).distinct(), "held_doc", "left_semi"
+        )
+    # Ids and digests meet; text is only read again where something changed.
+    changes = pinned(
+        now.join(known, "id", "full_outer")
+        .where(~F.col("digest").eqNullSafe(F.col("held")))
+        .select("id", F.coalesce("doc_id", "held_doc").alias("doc_id"), "digest")
+    )
+    present = changes.where("digest IS NOT NULL")
+    fresh = embedded(
+        passages(documents.join(present.select("doc_id").distinct(), "doc_id", "left_semi")).join(
+            present.select("id"), "id", "left_semi"
+        )
+    )
+    gone = changes.where("digest IS NULL").select(
         "id",
         "doc_id",
-        F.lit(None).cast("string").alias("digest"),
+        "digest",
         F.lit(None).cast("array<int>").alias("vec"),
         F.lit(True).alias("gone"),
     )
-    write_batch(changed.unionByName(gone), path, batch_id)
+    write_batch(fresh.unionByName(gone), path, batch_id)
+
+
+def embedded(chunks: DataFrame) -> DataFrame:
+    return chunks.select(
+        "id",
+        "doc_id",
+        F.sha2("text", 256).alias("digest"),
+        hashed_counts(F.col("text"), DIMS).alias("vec"),
+        F.lit(False).alias("gone"),
+    )
 
 
 def index_stream(documents: DataFrame, path: str, checkpoint: str) -> None:

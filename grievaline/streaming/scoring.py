@@ -10,11 +10,16 @@ from grievaline.streaming.runs import run_available
 
 
 def request_stream(
-    requests: DataFrame, replies: DataFrame, translations: DataFrame, target: str, checkpoint: str
+    requests: DataFrame,
+    replies: DataFrame,
+    translations: DataFrame,
+    tool_logs: DataFrame,
+    target: str,
+    checkpoint: str,
 ) -> None:
     """Unified result rows per batch of requests, under ``target``."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        write_batch(unify_output(batch, replies, translations), target, batch_id)
+        write_batch(unify_output(batch, replies, translations, tool_logs), target, batch_id)
 
     run_available(requests, each, checkpoint)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from grievaline import catalogue
 from grievaline.plans import bookings, complaints, conversations, requests, rules, tickets
-from grievaline.queries_requests import batch, given, inputs
+from grievaline.queries_requests import batch, given, inputs, tool_logs
 from grievaline.sources import workdir
 from grievaline.sources.shapes import shaped
 from grievaline.sources.sinks import append_missing
@@ -189,11 +189,16 @@ def test_request_stream_equals_batch(spark, tmp_path):
     asked, replies, translations = inputs(spark, SMALL)
     target = str(tmp_path / "out")
     scoring.request_stream(
-        shaped("f_requests", opened), replies, translations, target, str(tmp_path / "cp")
+        shaped("f_requests", opened),
+        replies,
+        translations,
+        tool_logs(spark, SMALL),
+        target,
+        str(tmp_path / "cp"),
     )
     got = spark.read.parquet(target)
     assert got.select("batch").distinct().count() == 3
-    expected = complaints.unify_output(asked, replies, translations)
+    expected = complaints.unify_output(asked, replies, translations, tool_logs(spark, SMALL))
     assert sorted(got.drop("batch").collect()) == sorted(expected.collect())
 
 
