@@ -70,13 +70,18 @@ def one_object(blob: Column, ddl: str) -> Column:
     """``blob`` as exactly one JSON object of type ``ddl``, else null.
 
     The parser stops behind the first value. Inside an array a second value shows as
-    a second item or breaks the array; what closes the array breaks an object around
-    the text. So text that passes in both is one value.
+    a second item or breaks the array. Only text with a closing bracket behind a
+    brace could close that array itself; it must also parse inside an object.
     """
     items = F.from_json(F.concat(F.lit("["), blob, F.lit("]")), f"array<{ddl}>", STRICT_JSON)
     inside = F.from_json(F.concat(F.lit('{"v":'), blob, F.lit("}")), f"struct<v:{ddl}>", STRICT_JSON)
-    alone = blob.startswith("{") & (F.size(items) == 1) & inside.getField("v").isNotNull()
-    return F.when(alone, F.get(items, F.lit(0)))
+    item = F.when(
+        blob.startswith("{")
+        & (~blob.rlike(r"\}\s*\]") | inside.getField("v").isNotNull()),
+        items,
+    )
+    # The one-element array binds the items, so that the text is parsed once.
+    return F.get(F.transform(F.array(item), lambda i: F.when(F.size(i) == 1, F.get(i, F.lit(0)))), F.lit(0))
 
 
 def is_one_value(c: Column) -> Column:
@@ -93,16 +98,15 @@ def call_arguments(c: Column) -> Column:
     return F.coalesce(one_object(F.btrim(c, F.lit(" \t\n\r")), "map<string,string>"), empty)
 
 
-def reading_state(reply: Column) -> Column:
+def reading_state(reply: Column, parsed: Column) -> Column:
     """``empty``, ``parsed``, ``broken`` or ``not_object`` for a ticket reply.
 
     A reply without braces that is JSON all the same (a list, a number) cannot
     give fields and fails the row; broken text only gives an empty reading.
     """
-    blob = json_blob(reply)
     return (
         F.when(F.coalesce(reply, F.lit("")) == "", "empty")
-        .when(one_object(blob, TICKET_TYPE).isNotNull(), "parsed")
+        .when(parsed, "parsed")
         .when(~F.contains(reply, F.lit("{")) & is_one_value(reply), "not_object")
         .otherwise("broken")
     )

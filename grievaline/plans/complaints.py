@@ -69,6 +69,7 @@ def reply_digest(replies: DataFrame) -> DataFrame:
         "request_id",
         F.substring(line, 1, MAX_CHARS + 1).alias("line"),
         (F.coalesce(F.col("reply"), F.lit("")) != "").alias("has_reply"),
+        F.length("reply").alias("reply_length"),
     )
 
 
@@ -241,14 +242,20 @@ def unify_output(
     is_chat = F.col("route") == "chat"
     is_ticket = F.col("route") == "ticket"
     is_complaint = F.col("route") == "complaint"
+    blob = payloads.json_blob(F.col("reply"))
+    reading = payloads.one_object(blob, payloads.TICKET_TYPE)
     rows = complaint_columns(
         rows.join(replies.select("request_id", "reply"), "request_id", "left")
         .join(tool_logs, "request_id", "left")
         .withColumn("line", F.when(is_complaint, F.substring(line, 1, MAX_CHARS + 1)))
         .withColumn("has_reply", F.coalesce(F.col("reply"), F.lit("")) != "")
+        .withColumn(
+            "reading_state",
+            F.when(is_ticket, payloads.reading_state(F.col("reply"), reading.isNotNull())),
+        )
     )
     bare = payloads.bare_base64(F.coalesce(F.col("ticket_image_base64"), F.lit("")))
-    state = payloads.reading_state(F.col("reply"))
+    state = F.col("reading_state")
     no_query = is_chat & F.col("query").isNull()
     no_image = is_ticket & (~payloads.is_strict_base64(bare) | (bare == ""))
     no_object = is_ticket & (state == "not_object")
@@ -275,7 +282,7 @@ def unify_output(
         ),
         "extracted_data": F.when(
             ticket_done,
-            F.when(state == "parsed", payloads.json_blob(F.col("reply"))).otherwise("{}"),
+            F.when(state == "parsed", blob).otherwise("{}"),
         ),
         "chat_reply": F.when(chat_done, visible_reply(F.col("reply"))),
         "tool_log": F.when(chat_done, F.coalesce("tool_log", F.lit("[]"))),

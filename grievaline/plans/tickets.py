@@ -48,13 +48,12 @@ def decode_payloads(images: DataFrame) -> DataFrame:
 
 def parse_readings(replies: DataFrame) -> DataFrame:
     """The ten reading columns and the state of every model reply."""
-    blob = payloads.json_blob(F.col("reply"))
-    rows = replies.withColumns(
-        {
-            "blob": blob,
-            "reading": payloads.one_object(blob, payloads.TICKET_TYPE),
-            "state": payloads.reading_state(F.col("reply")),
-        }
+    rows = (
+        replies.withColumn("blob", payloads.json_blob(F.col("reply")))
+        .withColumn("reading", payloads.one_object(F.col("blob"), payloads.TICKET_TYPE))
+        .withColumn(
+            "state", payloads.reading_state(F.col("reply"), F.col("reading").isNotNull())
+        )
     )
     return rows.select(
         *replies.columns,

@@ -41,12 +41,7 @@ def batch(spark: SparkSession, sf_dir: str, whole_text: bool = False) -> DataFra
 
 
 def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generated complaints with the length of the reply they came from."""
-    replies = given(spark, sf_dir, "f_model_replies").select(
-        "request_id", F.length("reply").alias("reply_length")
-    )
-    rows = batch(spark, sf_dir, whole_text=True).where("status = 'success'")
-    return rows.join(replies, "request_id", "left")
+    return batch(spark, sf_dir).where("status = 'success'")
 
 
 @registered

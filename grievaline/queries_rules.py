@@ -93,12 +93,13 @@ def decoded_images(spark, sf_dir):
 
 
 def readings(spark, sf_dir):
-    return tickets.parse_readings(given(spark, sf_dir, "f_ticket_replies"))
+    replies = spread(given(spark, sf_dir, "f_ticket_replies"), "event_id")
+    return tickets.parse_readings(replies)
 
 
 @registered
 def image_file_source(spark, sf_dir):
-    """Files written from the image table, one folder per brand, read back whole."""
+    """Files of bounded size written from the image table, read back whole."""
     folder = new_dir(spark, "images")
     text = F.when(F.col("p_partkey") % 3 == 0, "GIF89a").when(
         F.col("p_partkey") % 3 == 1, "RIFF....WEBP"
@@ -106,7 +107,7 @@ def image_file_source(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(
         "p_brand", F.concat(F.coalesce(text, F.lit("BM")), "p_name").alias("value")
     )
-    rows.repartition("p_brand").write.partitionBy("p_brand").text(folder)
+    rows.write.option("maxRecordsPerFile", 10_000).partitionBy("p_brand").text(folder)
     images = tickets.read_images(spark, folder, "*.txt")
     return images.select("name", "length", "image_type", "content_sha1")
 

@@ -113,7 +113,12 @@ def test_reading_state(spark):
     bits = ['{"pnr": "1"}', "{", "}", "[", "]", '"a"', ": 1", ",", " text ", "{'a': 1}", "12", "\n"]
     strings = ["".join(rng.choices(bits, k=rng.randint(0, 4))) for _ in range(1500)]
     strings += ['{"pnr": "1", "pnr": "2"}', '{"a": {"b": [1, 2]}} x', '{"a": 01}', '{"a": 1,}']
-    assert values(spark, strings, payloads.reading_state) == [reading_by_hand(s) for s in strings]
+
+    def state(c):
+        reading = payloads.one_object(payloads.json_blob(c), payloads.TICKET_TYPE)
+        return payloads.reading_state(c, reading.isNotNull())
+
+    assert values(spark, strings, state) == [reading_by_hand(s) for s in strings]
 
 
 def test_last_duplicate_key_wins(spark):
