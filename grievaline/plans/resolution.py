@@ -47,11 +47,19 @@ def resolution_history(
     )
 
 
+def counted_days(history: DataFrame) -> DataFrame:
+    """Complaints per group and number of days: what all quantiles are made of.
+
+    The size depends on the groups and the range of days, not on the history.
+    """
+    return history.where("days >= 0").groupBy(*GROUPS, "days").agg(F.count("*").alias("m"))
+
+
 def interval_columns() -> list:
-    """Count, expected days and the interval; exact, by partial counts per value."""
-    points = F.percentile("days", F.array(*[F.lit(q) for q in QUANTILES]))
+    """Count, expected days and the interval, exact, from counted days."""
+    points = F.percentile("days", F.array(*[F.lit(q) for q in QUANTILES]), F.col("m"))
     return [
-        F.count("*").alias("n"),
+        F.sum("m").alias("n"),
         F.round(points[0], 6).alias("low"),
         F.round(points[1], 6).alias("expected"),
         F.round(points[2], 6).alias("high"),
@@ -59,13 +67,13 @@ def interval_columns() -> list:
 
 
 def resolution_interval(history: DataFrame) -> DataFrame:
-    return history.where("days >= 0").groupBy(*GROUPS).agg(*interval_columns())
+    return counted_days(history).groupBy(*GROUPS).agg(*interval_columns())
 
 
 def resolution_cube(history: DataFrame) -> DataFrame:
     """The same over every combination of groups; ``level`` tells which are rolled up."""
     return (
-        history.where("days >= 0")
+        counted_days(history)
         .cube(*GROUPS)
         .agg(F.grouping_id().alias("level"), *interval_columns())
     )
@@ -83,12 +91,14 @@ def feature_drift(history: DataFrame, split: str, width: int = 10) -> DataFrame:
         F.lpad(F.floor(F.col("days") / width).cast("string"), 6, "0").alias("days"),
     )
     features = [*GROUPS, "days"]
+    # Counted before the columns become rows, so that no row is multiplied.
+    tallies = binned.groupBy("later", *features).agg(F.count("*").alias("m"))
     counts = (
-        binned.unpivot("later", features, "feature", "value")
+        tallies.unpivot(["later", "m"], features, "feature", "value")
         .groupBy("feature", "value")
         .agg(
-            F.count_if(~F.col("later")).alias("n_before"),
-            F.count_if("later").alias("n_after"),
+            F.sum(F.when(F.col("later"), 0).otherwise(F.col("m"))).alias("n_before"),
+            F.sum(F.when(F.col("later"), F.col("m")).otherwise(0)).alias("n_after"),
         )
     )
     totals = counts.groupBy("feature").agg(

@@ -11,6 +11,7 @@ from grievaline.plans import resolution, retrieval
 from grievaline.queries_requests import given
 from grievaline.registry import registered
 from grievaline.sources.tables import read_table, spread
+from grievaline.sources.workdir import pinned
 
 SPLIT = "1997-01-01 00:00:00"
 
@@ -68,13 +69,16 @@ def text_to_vector(spark, sf_dir):
 
 @registered
 def rule_search(spark, sf_dir):
-    hits = retrieval.rule_search(questions(spark, sf_dir), documents(spark, sf_dir))
+    texts = retrieval.passages(documents(spark, sf_dir).select("doc_id", "text"))
+    index = pinned(retrieval.text_vectors(texts, "id", "id"))
+    hits = retrieval.rule_search(questions(spark, sf_dir), index)
     return hits.select("query_id", "rank", F.col("vector_id").alias("id"), "score")
 
 
 @registered
 def rag_result(spark, sf_dir):
-    rows = retrieval.rag_result(questions(spark, sf_dir), documents(spark, sf_dir))
+    index = pinned(retrieval.passage_index(documents(spark, sf_dir)))
+    rows = retrieval.rag_result(questions(spark, sf_dir), index)
     place = F.transform("docs", lambda d: F.concat_ws(":", d["source"], d["page"].cast("string")))
     text = F.array_join(F.transform("docs", lambda d: d["text"]), "\n")
     return rows.select(
