@@ -17,6 +17,11 @@ BLANK_CLASS = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
 
+# Where a message is sent and the word it starts with.
+LINK_PREFIX = "sms:139?body="
+KEYWORD = "MADAD"
+
+
 def strip(c: Column) -> Column:
     """Both ends freed of every Unicode blank; linear in the text, no regex."""
     return F.btrim(c, F.lit(BLANKS))
@@ -73,7 +78,7 @@ def percent_encoded(c: Column) -> Column:
 
 
 def send_link(message: Column) -> Column:
-    return F.concat(F.lit("sms:139?body="), percent_encoded(F.concat(F.lit("MADAD "), message)))
+    return F.concat(F.lit(LINK_PREFIX), percent_encoded(F.concat(F.lit(KEYWORD + " "), message)))
 
 
 def flat_page(c: Column) -> Column:

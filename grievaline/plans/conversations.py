@@ -13,6 +13,8 @@ from grievaline.operators.numbering import with_lookback, with_rows_before
 HISTORY_CAP = 8
 MAX_ROUNDS = 3
 MAX_HITS = 5
+# The tools an answer may call.
+TOOLS = ["get_user_journey", "submit_grievance", "rag_search", "web_search"]
 SYSTEM_TEXT = "Choose the tools that answer the passenger."
 # How the tool events are cut into answers: rounds of two entries, four rounds.
 ROUND_ENTRIES = 2
@@ -120,7 +122,7 @@ def dispatched(events: DataFrame) -> DataFrame:
     def argument(name: str, default: str) -> Column:
         return F.when(F.map_contains_key(given, F.lit(name)), given[name]).otherwise(default)
 
-    known = F.col("tool").isin("get_user_journey", "submit_grievance", "rag_search", "web_search")
+    known = F.col("tool").isin(*TOOLS)
     grievance = F.col("tool") == "submit_grievance"
     search = F.col("tool").isin("rag_search", "web_search")
     return parse_arguments(events).select(
@@ -136,8 +138,7 @@ def dispatched(events: DataFrame) -> DataFrame:
 
 
 def call_result() -> Column:
-    unknown = F.col("tool") == "book_hotel"
-    return F.when(unknown, "error").otherwise(F.coalesce("sms_uri", F.lit("success")))
+    return F.when(~F.col("tool").isin(*TOOLS), "error").otherwise(F.coalesce("sms_uri", F.lit("success")))
 
 
 def tool_log_array(calls: DataFrame) -> DataFrame:
@@ -182,6 +183,11 @@ def tool_usage(calls: DataFrame) -> DataFrame:
     return calls.where("ran").groupBy("round", "tool").agg(F.count("*").alias("n"))
 
 
+def tool_usage_wide(calls: DataFrame, tools: list[str]) -> DataFrame:
+    """The same with one column per known tool."""
+    return calls.where("ran").groupBy("round").pivot("tool", tools).agg(F.count(F.lit(1))).na.fill(0)
+
+
 def grounded(calls: DataFrame) -> DataFrame:
     return calls.groupBy("session", "answer").agg(F.bool_or("ran").alias("grounded"))
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grievaline.functions.text import KEYWORD, LINK_PREFIX
+from grievaline.plans.complaints import MAX_CHARS
+
 Rules = dict[str, Column]
 
 
@@ -12,15 +15,15 @@ def complaint_rules() -> Rules:
     return {
         "text_not_empty": F.col("formatted_complaint") != "",
         "link_prefix": F.col("sms_uri").startswith("sms:139"),
-        "length_or_truncated": (F.col("char_count") <= 160) | F.col("truncated"),
+        "length_or_truncated": (F.col("char_count") <= MAX_CHARS) | F.col("truncated"),
     }
 
 
 def link_rules() -> Rules:
     link = F.col("sms_uri")
     return {
-        "body_prefix": link.startswith("sms:139?body="),
-        "holds_keyword": F.contains(link, F.lit("MADAD")),
+        "body_prefix": link.startswith(LINK_PREFIX),
+        "holds_keyword": F.contains(link, F.lit(KEYWORD)),
         "pnr_when_given": (F.col("pnr") == "") | F.contains(link, F.lit("PNR")),
         "no_blank": ~F.contains(link, F.lit(" ")),
     }

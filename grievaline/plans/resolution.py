@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grievaline.operators.hotkeys import lookup_join
+from grievaline.sources.workdir import pinned
 
 GROUPS = ["zone", "category", "priority"]
 QUANTILES = [0.1, 0.5, 0.9]
@@ -114,12 +115,16 @@ def feature_drift(history: DataFrame, split: str, width: int = 10) -> DataFrame:
     )
 
 
-def resolution_model(history: DataFrame, split: str, seed: int = 11):
-    """Boosted trees fitted before ``split``; returns the model and its error after it."""
+def resolution_model(history: DataFrame, split: str, path: str, seed: int = 11) -> DataFrame:
+    """Boosted trees fitted before ``split`` and saved; returns their error after it.
+
+    ``path/model`` holds the fitted pipeline, ``path/metrics`` a row per fit.
+    """
     rows = history.where("days >= 0").withColumn("month", F.month("filed_at").cast("double"))
     at = F.lit(split).cast("timestamp_ntz")
-    train, test = rows.where(F.col("filed_at") < at), rows.where(F.col("filed_at") >= at)
     indexed = [f"{g}_index" for g in GROUPS]
+    rows = pinned(rows.select("filed_at", "days", *GROUPS, "month"))
+    train, test = rows.where(F.col("filed_at") < at), rows.where(F.col("filed_at") >= at)
     model = Pipeline(
         stages=[
             StringIndexer(inputCols=GROUPS, outputCols=indexed, handleInvalid="keep"),
@@ -134,7 +139,9 @@ def resolution_model(history: DataFrame, split: str, seed: int = 11):
         F.sqrt(F.avg(error * error)).alias("rmse"),
         F.avg(F.abs(error)).alias("mae"),
     )
-    return model, metrics
+    model.write().overwrite().save(f"{path}/model")
+    metrics.write.mode("append").parquet(f"{path}/metrics")
+    return history.sparkSession.read.parquet(f"{path}/metrics")
 
 
 def token_usage(usage: DataFrame) -> DataFrame:

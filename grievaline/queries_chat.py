@@ -94,6 +94,11 @@ def tool_usage(spark, sf_dir):
     return chat.tool_usage(calls(spark, sf_dir))
 
 
+@registered
+def tool_usage_wide(spark, sf_dir):
+    return chat.tool_usage_wide(calls(spark, sf_dir), chat.TOOLS)
+
+
 @registered
 def tool_free_vs_grounded(spark, sf_dir):
     return chat.grounded(calls(spark, sf_dir))

@@ -11,7 +11,7 @@ from grievaline.plans import resolution, retrieval
 from grievaline.queries_requests import given
 from grievaline.registry import registered
 from grievaline.sources.tables import read_table, spread
-from grievaline.sources.workdir import pinned
+from grievaline.sources.workdir import new_dir, pinned
 
 SPLIT = "1997-01-01 00:00:00"
 
@@ -53,6 +53,20 @@ def topk_lsh(spark, sf_dir):
     return retrieval.nearest_by_buckets(vector_queries(spark, sf_dir), vectors(spark, sf_dir))
 
 
+@registered
+def topk_lsh_recall(spark, sf_dir):
+    """How many of the exact neighbours the bucket search finds."""
+    pair = ["query_id", "vector_id"]
+    exact = topk_l2(spark, sf_dir).select(*pair)
+    found = topk_lsh(spark, sf_dir).select(*pair, F.lit(1).alias("hit"))
+    rows = exact.join(found, pair, "left")
+    return rows.agg(
+        F.count("*").alias("n_exact"),
+        F.count("hit").alias("n_found"),
+        (F.count("hit") / F.count("*")).alias("recall"),
+    )
+
+
 @registered
 def hashed_text_vectors(spark, sf_dir):
     rows = questions(spark, sf_dir)
@@ -63,7 +77,7 @@ def hashed_text_vectors(spark, sf_dir):
 @registered
 def text_to_vector(spark, sf_dir):
     rows = documents(spark, sf_dir)
-    model = retrieval.text_vector_model(rows)
+    model = retrieval.text_vector_model(rows, new_dir(spark, "text_model"))
     return model.transform(rows).select("doc_id", vector_to_array("features").alias("vec"))
 
 
@@ -114,8 +128,8 @@ def resolution_rejects(spark, sf_dir):
 
 @registered
 def resolution_model(spark, sf_dir):
-    _, metrics = resolution.resolution_model(history(spark, sf_dir), SPLIT)
-    return metrics
+    path = new_dir(spark, "resolution_model")
+    return resolution.resolution_model(history(spark, sf_dir), SPLIT, path)
 
 
 @registered

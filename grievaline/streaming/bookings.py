@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from grievaline.plans.bookings import latest_by_aggregate
 from grievaline.sources.sinks import write_batch
-from grievaline.streaming.runs import run_available
+from grievaline.streaming.runs import run_stream
 
 
-def latest_journey_stream(journeys: DataFrame, target: str, checkpoint: str) -> None:
+def latest_journey_stream(
+    journeys: DataFrame, target: str, checkpoint: str, every: str | None = None
+) -> StreamingQuery:
     """Writes the users whose newest booking a batch may have changed.
 
     The state holds one row per user; partial aggregation runs before its shuffle.
@@ -19,7 +22,8 @@ def latest_journey_stream(journeys: DataFrame, target: str, checkpoint: str) ->
     def each(batch: DataFrame, batch_id: int) -> None:
         write_batch(batch, target, batch_id)
 
-    run_available(latest_by_aggregate(journeys), each, checkpoint, mode="update")
+    newest = latest_by_aggregate(journeys)
+    return run_stream(newest, each, checkpoint, mode="update", every=every)
 
 
 def current_journeys(updates: DataFrame) -> DataFrame:

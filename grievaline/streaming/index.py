@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from grievaline.functions.text import hashed_counts
 from grievaline.plans.retrieval import DIMS, passages
 from grievaline.sources.sinks import read_or_none, write_batch
 from grievaline.sources.tables import spread
 from grievaline.sources.workdir import pinned
-from grievaline.streaming.runs import run_available
+from grievaline.streaming.runs import run_stream
 
 
 def live_index(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
@@ -81,10 +82,13 @@ def embedded(chunks: DataFrame) -> DataFrame:
     )
 
 
-def index_stream(documents: DataFrame, path: str, checkpoint: str) -> None:
+def index_stream(
+    documents: DataFrame, path: str, checkpoint: str, every: str | None = None
+) -> StreamingQuery:
     """Indexes documents as they arrive; an arriving document replaces its chunks."""
-    run_available(
+    return run_stream(
         documents,
         lambda batch, batch_id: sync_index(batch, path, batch_id, whole=False),
         checkpoint,
+        every=every,
     )

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from grievaline.plans.requests import validate_phone
 from grievaline.sources.sinks import read_or_none, write_batch
-from grievaline.streaming.runs import run_available
+from grievaline.streaming.runs import run_stream
 
 
-def registration_stream(users: DataFrame, target: str, checkpoint: str) -> None:
+def registration_stream(
+    users: DataFrame, target: str, checkpoint: str, every: str | None = None
+) -> StreamingQuery:
     """Answers every registration and inserts the valid ones once per user.
 
     ``target/answers`` holds status and reason of all rows, ``target/users`` the
@@ -32,4 +35,4 @@ def registration_stream(users: DataFrame, target: str, checkpoint: str) -> None:
             batch_id,
         )
 
-    run_available(users, each, checkpoint)
+    return run_stream(users, each, checkpoint, every=every)

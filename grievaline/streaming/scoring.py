@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
 
 from grievaline.plans.complaints import unify_output
 from grievaline.sources.sinks import write_batch
-from grievaline.streaming.runs import run_available
+from grievaline.streaming.runs import run_stream
 
 
 def request_stream(
@@ -16,10 +17,11 @@ def request_stream(
     tool_logs: DataFrame,
     target: str,
     checkpoint: str,
-) -> None:
+    every: str | None = None,
+) -> StreamingQuery:
     """Unified result rows per batch of requests, under ``target``."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
         write_batch(unify_output(batch, replies, translations, tool_logs), target, batch_id)
 
-    run_available(requests, each, checkpoint)
+    return run_stream(requests, each, checkpoint, every=every)

@@ -117,6 +117,64 @@ def test_messages(spark):
         assert unquote(r["sms_uri"][len("sms:139?body=") :]) == "MADAD " + r["formatted_complaint"]
 
 
+def test_complaints_by_hand(spark):
+    """Few requests through the whole job, results written out."""
+    asked = [
+        # id, type, query, train, pnr, issue, language, image, user
+        ("a", "complaint", " रेल में पानी नहीं है ", "12345", "1234567890", "water", None, None, "u"),
+        ("b", "complaint", "खाना खराब", "", None, "parking", "hi-IN", None, "u"),
+        ("c", "complaint", "fan broken", None, None, "electricity", "", None, None),
+        ("d", "complaint", "no translation kept", None, None, None, "ta-IN", None, None),
+        ("e", "complaint", "  ", None, None, "food", None, None, None),
+        ("f", "complaint", "empty reply", None, None, "food", "en-IN", None, None),
+        ("g", "complaint", "x" * 300, "1", None, "food", "en-IN", None, None),
+    ]
+    replies = [
+        ("a", "<think>hm</think>\nSMS Complaint: **No water | S3**\nmore"),
+        ("b", "<think>only a plan"),
+        ("c", "ok\n\"Fan broken in coach\""),
+        ("d", "some reply"),
+        ("e", "some reply"),
+        ("f", ""),
+        ("g", "y" * 161),
+    ]
+    turns = [
+        ("hi-IN", "en-IN", "रेल में पानी नहीं है", "no water"),
+        ("hi-IN", "en-IN", "खाना खराब", ""),
+    ]
+    schema = "request_id string, " + ", ".join(f"{c} string" for c in requests.REQUEST_COLUMNS)
+    rows = [(i, kind, q, t, p, s, g, m, u) for i, kind, q, t, p, s, g, m, u in asked]
+    stored = complaints.translation_table(
+        spark.createDataFrame(turns, "src string, tgt string, text string, translated string")
+    )
+    done = complaints.complaint_result(
+        complaints.complaint_batch(
+            spark.createDataFrame(rows, schema),
+            spark.createDataFrame(replies, "request_id string, reply string"),
+            stored,
+        )
+    )
+    got = {r["request_id"]: r for r in done.collect()}
+    text = {i: r["formatted_complaint"] for i, r in got.items()}
+    assert text["a"] == "No water | S3 PNR 1234567890"
+    assert got["a"]["engine_notes"] == (
+        "Language auto-detected: hi-IN, Translated from hi-IN to English."
+    )
+    assert got["a"]["sms_uri"] == "sms:139?body=MADAD%20No%20water%20%7C%20S3%20PNR%201234567890"
+    assert text["b"] == "General Grievance | खाना खराब"
+    assert "structured fallback" in got["b"]["engine_notes"]
+    assert text["c"] == "Fan broken in coach"
+    assert got["c"]["detected_language"] == "en-IN"
+    assert [got[i]["status"] for i in "abcdefg"] == ["success"] * 3 + ["error"] * 3 + ["success"]
+    assert [got[i]["engine_notes"] for i in "def"] == [
+        "ERROR: no translation",
+        "ERROR: empty query",
+        "ERROR: empty model reply",
+    ]
+    assert got["e"]["message"] == "empty query"
+    assert text["g"] == "y" * 159 + "…" and got["g"]["truncated"] and got["g"]["char_count"] == 160
+
+
 def test_complaint_replies_shrink_before_the_join(spark):
     rows = inputs(spark, SMALL)
     text = plan(complaints.complaint_result(complaints.complaint_batch(*rows)))

@@ -9,7 +9,14 @@ import __spark_entry__ as entry_points
 QUERIES = entry_points.queries()
 ORACLE = entry_points.oracle_sql()
 # Files, random ids, approximate search and fitted models have no SQL form.
-ROWS_ONLY = {"image_file_source", "journey_ids", "topk_lsh", "text_to_vector", "resolution_model"}
+ROWS_ONLY = {
+    "image_file_source",
+    "journey_ids",
+    "topk_lsh",
+    "topk_lsh_recall",
+    "text_to_vector",
+    "resolution_model",
+}
 
 
 @pytest.fixture(scope="module")
