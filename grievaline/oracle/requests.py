@@ -172,7 +172,10 @@ view(
     "v_tickets",
     rf"""SELECT request_id, bare <> '' AND length(bare) % 4 = 0
         AND regexp_matches(bare, '\A[A-Za-z0-9+/]*={{0,2}}\z') AS good_image, bare,
-        CASE WHEN reply LIKE '%{{%' THEN regexp_extract(reply, '(?s)\{{.*\}}') ELSE reply END AS blob
+        CASE WHEN reply NOT LIKE '%{{%' THEN '{{}}'
+          WHEN json_valid(regexp_extract(reply, '(?s)\{{.*\}}')) THEN regexp_extract(reply, '(?s)\{{.*\}}')
+          ELSE '{{}}' END AS reading,
+        coalesce(reply NOT LIKE '%{{%' AND json_valid(reply), false) AS bad_reply
       FROM (SELECT request_id, reply, regexp_replace(CASE WHEN starts_with(image, 'data:') AND contains(image, ',')
         THEN substr(image, instr(image, ',') + 1) ELSE image END, '{BLANK_CLASS}', '', 'g') AS bare
         FROM (SELECT request_id, reply, coalesce(ticket_image_base64, '') AS image FROM v_complaints))""",
@@ -189,10 +192,11 @@ view(
     "v_unified",
     f"""SELECT c.request_id, route AS request_type,
       CASE WHEN route = 'complaint' THEN status WHEN route = 'chat' AND query IS NULL THEN 'error'
-        WHEN route = 'ticket' AND NOT good_image THEN 'error' ELSE 'success' END AS status,
+        WHEN route = 'ticket' AND (bad_reply OR NOT good_image) THEN 'error' ELSE 'success' END AS status,
       CASE WHEN route = 'complaint' THEN message
         WHEN route = 'chat' AND query IS NULL THEN 'empty query' WHEN route = 'chat' THEN 'Chat response generated'
         WHEN NOT good_image THEN 'Failed to process ticket: invalid base64 image'
+        WHEN bad_reply THEN 'Failed to process ticket: reply is not an object'
         ELSE 'Ticket processed and journey details saved' END AS message,
       CASE WHEN route = 'complaint' THEN c.sms_uri WHEN route = 'chat' AND query IS NOT NULL
         THEN coalesce(log_sms_uri, '') ELSE '' END AS sms_uri,
@@ -200,8 +204,8 @@ view(
       CASE WHEN route = 'complaint' THEN char_count ELSE 0 END AS char_count,
       CASE WHEN route = 'complaint' THEN detected_language ELSE '' END AS detected_language,
       CASE WHEN route = 'complaint' THEN engine_notes ELSE '' END AS engine_notes,
-      CASE WHEN route = 'ticket' AND good_image THEN sha256(concat_ws('|', c.request_id, user_id, bare)) ELSE '' END AS journey_id,
-      CASE WHEN route = 'ticket' AND good_image THEN '{{}}' ELSE '' END AS extracted_data,
+      CASE WHEN route = 'ticket' AND good_image AND NOT bad_reply THEN sha256(concat_ws('|', c.request_id, user_id, bare)) ELSE '' END AS journey_id,
+      CASE WHEN route = 'ticket' AND good_image AND NOT bad_reply THEN coalesce(reading, '{{}}') ELSE '' END AS extracted_data,
       CASE WHEN route = 'chat' AND query IS NOT NULL THEN
         coalesce({strip("regexp_replace(reply, '(?is)<think>.*?</think>', '', 'g')")}, '') ELSE '' END AS chat_reply,
       CASE WHEN route = 'chat' AND query IS NOT NULL THEN coalesce(log, '[]') ELSE '' END AS tool_log
