@@ -92,10 +92,28 @@ def is_one_value(c: Column) -> Column:
     return inside.isNotNull() & first.isNotNull() & second.isNull()
 
 
+def last_wins(fields: Column) -> Column:
+    """A parsed map with one entry per key; of repeated keys the last one stays."""
+    keys = F.array_distinct(F.map_keys(fields))
+    entries = F.map_entries(fields)
+
+    def value(key: Column) -> Column:
+        return F.element_at(F.filter(entries, lambda e: e["key"] == key), -1)["value"]
+
+    single = F.map_from_arrays(keys, F.transform(keys, value))
+    return F.when(F.size(keys) == F.size(fields), fields).otherwise(single)
+
+
+def object_fields(blob: Column) -> Column:
+    """The fields of one JSON object as a map; anything else gives an empty map."""
+    empty = F.from_json(F.lit("{}"), "map<string,string>")
+    parsed = F.array(one_object(blob, "map<string,string>"))
+    return F.coalesce(F.get(F.transform(parsed, last_wins), F.lit(0)), empty)
+
+
 def call_arguments(c: Column) -> Column:
     """Tool arguments as a map; blank or broken text gives an empty map."""
-    empty = F.from_json(F.lit("{}"), "map<string,string>")
-    return F.coalesce(one_object(F.btrim(c, F.lit(" \t\n\r")), "map<string,string>"), empty)
+    return object_fields(F.btrim(c, F.lit(" \t\n\r")))
 
 
 def reading_state(reply: Column, parsed: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from grievaline.functions.payloads import call_arguments, json_blob, one_object
+from grievaline.functions.payloads import call_arguments, json_blob, object_fields
 from grievaline.functions.text import filled, strip
 from grievaline.operators.numbering import with_lookback, with_rows_before
 
@@ -227,8 +227,7 @@ def new_clips(clips: DataFrame) -> DataFrame:
 
 def merged_reading(replies: DataFrame, key: Column) -> DataFrame:
     """Booking id and reading in one map; a reading's own value wins."""
-    empty = F.from_json(F.lit("{}"), "map<string,string>")
-    reading = F.coalesce(one_object(json_blob(F.col("reply")), "map<string,string>"), empty)
+    reading = object_fields(json_blob(F.col("reply")))
     rows = replies.withColumn("_reading", reading).withColumn("_key", key)
     own = F.map_filter(
         F.create_map(F.lit("journey_id"), F.col("_key")),

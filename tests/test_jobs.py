@@ -313,7 +313,7 @@ def test_index_stream_replaces_arriving_documents(spark, tmp_path):
 
 
 def test_arguments(spark):
-    strings = ['{"a": 1, "b": null}', "", "  ", "[1]", '{"a": 1} {"b": 2}', "{", None]
+    strings = ['{"a": 0, "b": 2, "a": 1, "b": null}', "", "  ", "[1]", '{"a": 1} {"b": 2}', "{", None]
     rows = spark.createDataFrame([(i, s) for i, s in enumerate(strings)], "i int, args string")
     got = {r["i"]: r["arguments"] for r in conversations.parse_arguments(rows).collect()}
     assert got[0] == {"a": "1", "b": None}
@@ -327,6 +327,16 @@ def test_reading_wins_over_booking_id(spark):
     assert [r["journey"].get("journey_id") for r in got] == ["own", "J1", "J1"]
 
 
+def test_last_of_repeated_keys_wins(spark):
+    replies = [('{"journey_id": "x", "pnr": "1", "journey_id": "y"}',), ('{"a": 1, "a": 2}',)]
+    rows = spark.createDataFrame(replies, "reply string")
+    got = conversations.merged_reading(rows, F.lit("J1")).collect()
+    assert [r["journey"] for r in got] == [
+        {"journey_id": "y", "pnr": "1"},
+        {"journey_id": "J1", "a": "2"},
+    ]
+
+
 def test_extracted_text_is_json(spark):
     rows = QUERIES["ticket_outcome"](spark, SMALL).where("status = 'success'").collect()
     assert all(isinstance(json.loads(r["extracted_data"]), dict) for r in rows)
