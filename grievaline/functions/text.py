@@ -41,8 +41,15 @@ def filled(c: Column, default: str) -> Column:
 
 
 def drop_closed_think(c: Column, any_case: bool = False) -> Column:
+    """``c`` without closed think blocks.
+
+    Blocks are only looked for up to the last closing tag: behind it every opening
+    tag would search the rest of the text in vain.
+    """
     flags = "(?is)" if any_case else "(?s)"
-    return F.regexp_replace(c, flags + "<think>.*?</think>", "")
+    head = F.regexp_extract(c, flags + r"\A.*</think>", 0)
+    blocks = F.regexp_replace(head, flags + "<think>.*?</think>", "")
+    return F.concat(blocks, F.substr(c, F.length(head) + 1))
 
 
 def visible_reply(c: Column) -> Column:
