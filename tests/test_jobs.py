@@ -175,6 +175,40 @@ def test_complaints_by_hand(spark):
     assert text["g"] == "y" * 159 + "…" and got["g"]["truncated"] and got["g"]["char_count"] == 160
 
 
+def test_a_frequent_text_is_split_over_tasks(spark):
+    """A third of the requests share one text: the translation join splits it."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+        "spark.sql.shuffle.partitions": "100",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows = spark.range(0, 30000, 1, 8).select(
+            F.col("id").cast("string").alias("request_id"),
+            F.when(F.col("id") % 3 == 0, "same").otherwise(F.md5(F.col("id").cast("string"))).alias("query"),
+            F.lit("hi-IN").alias("detected_language"),
+        )
+        turns = rows.select(
+            F.col("detected_language").alias("src"),
+            F.lit("en-IN").alias("tgt"),
+            F.col("query").alias("text"),
+            F.concat(F.lit("EN "), "query").alias("translated"),
+        )
+        done = complaints.with_translation(rows, complaints.translation_table(turns))
+        got = done.collect()
+        assert len(got) == 30000
+        assert all(r["english_translation"] == "EN " + r["query"] for r in got)
+        assert "skew=true" in plan(done)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_complaint_replies_shrink_before_the_join(spark):
     rows = inputs(spark, SMALL)
     text = plan(complaints.complaint_result(complaints.complaint_batch(*rows)))
