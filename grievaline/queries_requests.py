@@ -11,7 +11,7 @@ from grievaline.functions.text import complaint_line, send_link
 from grievaline.plans import complaints, conversations, quality, requests, scoring
 from grievaline.registry import registered
 from grievaline.sources.shapes import shaped
-from grievaline.sources.tables import read_table
+from grievaline.sources.tables import read_table, spread
 from grievaline.sources.workdir import new_dir
 
 
@@ -188,9 +188,13 @@ def route_counts(spark, sf_dir):
     return requests.route_counts(unify_output(spark, sf_dir))
 
 
+def written_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(given(spark, sf_dir, "f_scripts"), "conv_id")
+
+
 @registered
 def script_language(spark, sf_dir):
-    rows = given(spark, sf_dir, "f_scripts")
+    rows = written_texts(spark, sf_dir)
     return rows.select("conv_id", "turn", vote(F.col("text")).alias("language_code"))
 
 
@@ -204,7 +208,7 @@ def to_bcp47(spark, sf_dir):
 
 @registered
 def language_label(spark, sf_dir):
-    rows = given(spark, sf_dir, "f_scripts")
+    rows = written_texts(spark, sf_dir)
     return rows.select(
         "conv_id",
         "turn",
