@@ -84,6 +84,7 @@ FROM ranked
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_warc_from_arc": OP2,
         "op7_benchmark_decontamination": OP7,
         "op10_mixing": OP10,
     }
