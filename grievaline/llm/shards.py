@@ -6,6 +6,8 @@ first, so that the exchange needs no global order and no second pass over the ro
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,29 +107,18 @@ def communication_matrix(parts: DataFrame, shards: int, seed: int) -> DataFrame:
     shard sizes are dealt to groups of partitions and each group's to its partitions,
     so the two folds have about the square root of the number of partitions as steps.
     """
-    sizes = parts.agg(F.sum("rows").alias("n"), F.count("*").alias("p"))
-    grouped = parts.crossJoin(F.broadcast(sizes)).select(
-        "part",
-        F.col("rows").cast("double").alias("rows"),
-        F.expr("part div cast(ceil(sqrt(p)) as bigint)").alias("grp"),
-        "n",
+    total = parts.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n"), F.count("*").alias("p")).first()
+    wide = math.isqrt(max(0, total["p"] - 1)) + 1
+    room = [float(total["n"] // shards + (s < total["n"] % shards)) for s in range(shards)]
+    grouped = parts.select(
+        "part", F.col("rows").cast("double").alias("rows"), F.expr(f"part div {wide}").alias("grp")
     )
     groups = (
         grouped.groupBy("grp")
-        .agg(F.sum("rows").alias("rows"), F.first("n").alias("n"))
+        .agg(F.sum("rows").alias("rows"))
         .groupBy()
-        .agg(
-            F.sort_array(F.collect_list(F.struct(F.col("grp").alias("id"), "rows"))).alias("list"),
-            F.first("n").alias("n"),
-        )
-        .where("n > 0")
-        .withColumn(
-            "room",
-            F.transform(
-                F.sequence(F.lit(0), F.lit(shards - 1)),
-                lambda s: (F.expr(f"n div {shards}") + (s < F.col("n") % shards).cast("long")).cast("double"),
-            ),
-        )
+        .agg(F.sort_array(F.collect_list(F.struct(F.col("grp").alias("id"), "rows"))).alias("list"))
+        .withColumn("room", F.array(*map(F.lit, room)))
     )
     dealt = _matrix(groups, [], shards, f"{seed}:group").select(F.col("id").alias("grp"), F.col("counts").alias("room"))
     members = grouped.groupBy("grp").agg(
@@ -170,11 +161,10 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 8, seed: int = 1, block_r
         F.sequence(F.lit(1), F.lit(shards)),
         lambda s: F.aggregate(F.slice("counts", 1, s), F.lit(0).cast("long"), lambda a, b: a + b),
     )
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(block_rows * shards)))
-    total = parts.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n"))
+    n = parts.agg(F.sum("rows")).first()[0] or 0
+    blocks = F.lit(n // (block_rows * shards) + 1)
     sent = (
         rows.join(matrix.select("part", stops.alias("stops")), "part")
-        .crossJoin(F.broadcast(total))  # one row
         .select(
             "doc",
             F.size(F.filter("stops", lambda s: s <= F.col("place"))).alias("shard"),
