@@ -11,7 +11,7 @@ from grievaline.llm.common import per_text, travels
 
 travels(__name__)
 
-DIMENSIONS = 512
+DIMENSIONS = 1024
 SAMPLE_PER_LANGUAGE = 4000
 MAX_LANGUAGES = 1000
 UNDETERMINED = "und"

@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grievaline.llm.common import components, grouped_rows, per_text, pinned, travels, without
+from grievaline.operators.hotkeys import lookup_join
 
 travels(__name__)
 
 SLICE = 1 << 16
+HOT_ROWS = 1000
 LANES = 0x0101010101010101
 
 
@@ -216,8 +218,10 @@ def near_duplicates(
     classes = classes.join(reached, "fingerprint", "left").select(
         "fingerprint", F.coalesce("smallest", "first").alias("component_id")
     )
-    return rows.join(classes, "fingerprint").select(
-        *[rows[f"`{c}`"] for c in rows.columns if c != "fingerprint"],
+    # rows of a fingerprint that many copies share are spread over sub-keys
+    joined = lookup_join(rows, classes, "fingerprint", spread_by=key, floor=HOT_ROWS)
+    return joined.select(
+        *[F.col(f"`{c}`") for c in rows.columns if c != "fingerprint"],
         F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
         "component_id",
     )

@@ -22,9 +22,10 @@ travels(__name__)
 SAMPLE_TOXIC = 8_000  # labelled rows that the model may be fitted on, per label
 SAMPLE_CLEAN = 16_000
 MAX_TERMS = 20_000
-MIN_SHARE = 0.01  # of toxic rows that hold a term
-MIN_ODDS = 4.0
-PREFIXES = (4, 5, 6)
+MIN_SHARE = 0.03  # of toxic rows that hold a term
+MIN_ODDS = 1.5  # log odds, less their standard error
+SURE_ODDS = 5.0  # from here on a word also counts with marks on its letters
+PREFIXES = (4, 5, 6, 7, 8, 9)
 # Letters of other scripts, digits and signs that stand in for a letter.
 HOMOGLYPHS = dict(
     zip(
@@ -47,37 +48,44 @@ class Model:
     threshold: float = 0.6
 
 
-def fold_table() -> np.ndarray:
-    """Per code point of the basic plane: its folded letter, or a blank.
-
-    Letters lose case and marks; homoglyphs become the letter that they look like.
-    """
-    table = np.full(1 << 16, ord(" "), dtype="<u4")
-    for code in range(1 << 16):
-        char = chr(code)
-        if char.isalpha():
-            base = unicodedata.normalize("NFKD", char.lower())[0]
-            table[code] = ord(HOMOGLYPHS.get(base, base))
-    return table
-
-
 class Folder:
+    """Folds case, homoglyphs and stand-ins, with and without the marks of letters."""
+
     def __init__(self):
-        self.table = fold_table()
+        # per code point of the basic plane its folded letter, or a blank
+        self.marked = np.full(1 << 16, ord(" "), dtype="<u4")
+        self.plain = self.marked.copy()
+        for code in range(1 << 16):
+            char = chr(code)
+            if char.isalpha():
+                low = char.lower()[0]
+                low = HOMOGLYPHS.get(low, low)
+                base = unicodedata.normalize("NFKD", low)[0]
+                self.marked[code], self.plain[code] = ord(low), ord(HOMOGLYPHS.get(base, base))
         self.signs = {ord(k): ord(v) for k, v in HOMOGLYPHS.items() if not k.isalpha()}
 
-    def __call__(self, text: str) -> str:
-        """Folded letters between blanks; a digit or sign counts as a letter next to one."""
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-        plain = codes < self.table.size
+    def _fold(self, codes: np.ndarray, table: np.ndarray) -> str:
+        near = codes < table.size
         out = np.full(codes.size + 2, ord(" "), dtype="<u4")
-        out[1:-1][plain] = self.table[codes[plain]]
+        out[1:-1][near] = table[codes[near]]
         letter = out != ord(" ")
         beside = (letter[:-2] | letter[2:]) & ~letter[1:-1]
         for sign, stands in self.signs.items():
             out[1:-1][beside & (codes == sign)] = stands
         return out.tobytes().decode("utf-32-le", "surrogatepass")
 
+    def both(self, text: str) -> tuple[str, str]:
+        """Folded letters between blanks, with marks and without, at the same places.
+
+        A digit or sign counts as the letter it stands for next to a letter.
+        """
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        return self._fold(codes, self.marked), self._fold(codes, self.plain)
+
+    def __call__(self, text: str) -> str:
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        return self._fold(codes, self.marked)
+
 
 def candidates(folded: str) -> set[str]:
     """The distinct words of a folded text as terms, whole and by their beginnings."""
@@ -98,25 +106,31 @@ class Matcher:
         if len(self.machine):
             self.machine.make_automaton()
 
-    def matches(self, folded: str) -> list[tuple[int, int, float]]:
-        """``start, end, weight``; one per word, none inside an exception phrase."""
+    def matches(self, folded: str, plain: str | None = None) -> list[tuple[int, int, float]]:
+        """``start, end, weight``; the strongest term of a word, none in an exception phrase.
+
+        In the text without marks only whole words of sure weight count.
+        """
         if not len(self.machine):
             return []
         best: dict[int, tuple[int, float]] = {}
         spared: list[tuple[int, int]] = []
-        for last, (size, weight) in self.machine.iter(folded):
-            start = last + 1 - size
-            if weight is None:
-                spared.append((start, last))
-            elif start not in best or weight > best[start][1]:
-                best[start] = (last, weight)
+        for text in (folded, plain) if plain not in (None, folded) else (folded,):
+            for last, (size, weight) in self.machine.iter(text):
+                start = last + 1 - size
+                if weight is None:
+                    spared.append((start, last))
+                elif text is plain and (weight < SURE_ODDS or text[last] != " "):
+                    continue
+                elif start not in best or weight > best[start][1]:
+                    best[start] = (last, weight)
         inside = {p for a, b in spared for p in range(a, b)}
         return [(s, e, w) for s, (e, w) in best.items() if s not in inside]
 
     def strength(self, text: str) -> float:
         """Weight of what matches over the square root of the number of words."""
-        folded = self.folder(text)
-        found = self.matches(folded)
+        folded, plain = self.folder.both(text)
+        found = self.matches(folded, plain)
         return sum(w for *_, w in found) / math.sqrt(len(folded.split()) + 1) if found else 0.0
 
 
@@ -159,12 +173,16 @@ def _odds(toxic: int, clean: int, n_toxic: int, n_clean: int) -> float:
     return math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_clean + 1))
 
 
+def _sure_odds(toxic: int, clean: int, n_toxic: int, n_clean: int) -> float:
+    """Log odds less one standard error."""
+    return _odds(toxic, clean, n_toxic, n_clean) - math.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """Lexicon, exceptions and threshold from labelled rows that are not held out.
 
-    A term is a word or the beginning of words; it needs a share of the toxic sample and
-    its log odds as weight. Of a beginning and its continuation the longer stays if it
-    is nearly as frequent. A pair of a term and its neighbour that marks clean rows is
+    A term is a word or the beginning of words; it needs a share of the toxic sample,
+    and its log odds less their standard error are its weight. A pair of a term and its neighbour that marks clean rows is
     an exception. The threshold parts the sample's strengths with the fewest errors.
     Without labelled rows of both kinds the seed terms and a fixed threshold hold.
     """
@@ -188,14 +206,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         return lambda text: candidates(folder(text)) & hits.keys()
 
     misses = {r["term"]: r["n"] for r in _counted(sample.where("toxic = 0"), frequent_words).collect()}
-    odds = {t: _odds(n, misses.get(t, 0), n_toxic, n_clean) for t, n in hits.items()}
-    good = {t for t, o in odds.items() if o > MIN_ODDS}
-    dropped = set()
-    for term in sorted(good, key=len):
-        for short in (term[: k + 1] for k in PREFIXES if len(term.rstrip()) > k + 1):
-            if short in good and short not in dropped:
-                dropped.add(short if hits[term] >= 0.9 * hits[short] else term)
-    weights = seeds | {t: odds[t] for t in good - dropped}
+    odds = {t: _sure_odds(n, misses.get(t, 0), n_toxic, n_clean) for t, n in hits.items()}
+    weights = seeds | {t: o for t, o in odds.items() if o > MIN_ODDS}
     model = Model(weights, list(SEED_EXCEPTIONS))
     model.exceptions += _exceptions(sample, model, n_toxic, n_clean)
     model.threshold = _threshold(sample, model)
