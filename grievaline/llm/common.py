@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 from grievaline.sources.workdir import pinned
 
+ROWS_AT_ONCE = 1024
+
 # Executors need not have this package: its task functions travel with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -47,15 +49,17 @@ def per_text(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make()
-        for batch in batches:
-            values = batch.column(position).cast(pa.binary())
-            rows = [one(value.as_py()) for value in values]
-            made = [
-                pa.array([r[i] for r in rows], type=a.type) for i, a in enumerate(arrow)
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *made], schema=pa.schema([*batch.schema, *arrow])
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                values = batch.column(position).cast(pa.binary())
+                rows = [one(value.as_py()) for value in values]
+                made = [
+                    pa.array([r[i] for r in rows], type=a.type) for i, a in enumerate(arrow)
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, *made], schema=pa.schema([*batch.schema, *arrow])
+                )
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *fields]))
 

@@ -12,17 +12,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grievaline.llm.common import per_text, travels
+from grievaline.llm.common import travels
 from grievaline.sources.workdir import new_dir
 
 travels(__name__)
 
 END_ID = 2
-KEPT_WORDS = 500_000
+KEPT_WORDS = 250_000
+ROWS_AT_ONCE = 256
 STRIPE_BYTES = 16 << 20
 # In a text of these characters the pieces below are the ones that a byte-level
 # tokenizer cuts itself; behind a blank, or a line break as first character, a piece
@@ -110,19 +112,10 @@ def encoder(path: str) -> Encoder:
     return kept[path]
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", end_id: int = END_ID) -> DataFrame:
-    """``docs`` with ``ids``, the token ids of its whole texts and the end id; null is empty."""
-
-    def make():
-        ids_of = encoder(path)
-
-        def one(value: bytes | None) -> tuple[np.ndarray]:
-            ids = ids_of((value or b"").decode("utf-8", "replace"))
-            return (np.append(np.frombuffer(ids, dtype="<i4"), np.int32(end_id)),)
-
-        return one
-
-    return per_text(docs, text, [T.StructField("ids", T.ArrayType(T.IntegerType()))], make)
+def ids_of(encode: Encoder, text: bytes | None, end_id: int = END_ID) -> np.ndarray:
+    """Token ids of a whole text and the end id; null is empty."""
+    ids = encode((text or b"").decode("utf-8", "replace"))
+    return np.append(np.frombuffer(ids, dtype="<i4"), np.int32(end_id))
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id") -> None:
@@ -134,19 +127,25 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id"
     a reader skip row groups and stripes.
     """
     ranged = docs.select(key, "text").repartitionByRange(F.col(key).asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col(key).asc_nulls_first(), "text")
-    encoded = encode(ranged, tokenizer).drop("text").withColumn("part", F.spark_partition_id())
     names = [key, "part", "place", "ids"]
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = 0
-        for batch in batches:
-            sizes = np.diff(np.asarray(batch.column(1).offsets))
-            place = before + np.cumsum(sizes) - sizes
-            before += int(sizes.sum())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(place.astype(np.int64)), batch.column(1)],
-                names=names,
-            )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, part, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                ids = [ids_of(encode, t.as_py()) for t in batch.column(1).cast(pa.binary())]
+                ends = np.cumsum([0, *map(len, ids)])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0),
+                        pa.array(np.full(len(ids), part, dtype=np.int32)),
+                        pa.array(before + ends[:-1]),
+                        pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(ids))),
+                    ],
+                    names=names,
+                )
+                before += int(ends[-1])
 
     kind = docs.schema[key].dataType
     schema = T.StructType(
@@ -158,7 +157,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id"
         ]
     )
     (
-        encoded.mapInArrow(places, schema)
+        ranged.mapInArrow(run, schema)
         .write.option("orc.bloom.filter.columns", key)
         .option("orc.bloom.filter.fpp", "0.01")
         .option("orc.create.index", "true")
