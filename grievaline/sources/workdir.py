@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,12 +37,40 @@ def new_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/grievaline/{app}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+_owned: dict[str, list[str]] = {}
+_owner: ContextVar[str | None] = ContextVar("owner", default=None)
+
+
+@contextmanager
+def owned(owner: str) -> Iterator[None]:
+    """Folders that ``pinned`` writes meanwhile belong to ``owner``, who releases them."""
+    token = _owner.set(owner)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
+
+
+def release(spark: SparkSession, owner: str) -> int:
+    """Delete the folders of ``owner``; no frame that reads them may be used any more."""
+    paths = _owned.pop(owner, [])
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(paths)
+
+
 def pinned(frame: DataFrame) -> DataFrame:
     """``frame`` written to the shared folder and read back.
 
-    It is computed once, and what is read again after a lost executor is the same.
+    It is computed once, and what is read again after a lost executor is the same. Inside
+    ``owned`` the folder is noted for its owner; else it stays until the shared folder is
+    cleared.
     """
     spark = frame.sparkSession
     path = new_dir(spark, "pinned")
     frame.write.parquet(path)
+    if _owner.get():
+        _owned.setdefault(_owner.get(), []).append(path)
     return spark.read.schema(frame.schema).parquet(path)
