@@ -3,17 +3,21 @@
 ``STAGES`` lists the stages in order. A stage takes ``(spark, docs, sf_dir)`` and
 returns a DataFrame; ``run`` writes each result as Parquet to the shared folder and
 reads it back as the next stage's documents, so that a lost executor costs no earlier
-stage. All stages but the last return the columns of ``documents``; the last adds the
+stage. One pipeline runs at a time in a session. All stages but the last return the columns of ``documents``; the last adds the
 shard and the slot of every row. The mix repeats rows, so ids may repeat from there on.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from grievaline.llm import decontaminate, langid, mixing, shards, simhash
 from grievaline.sources.tables import read_table
-from grievaline.sources.workdir import pinned
+from grievaline.sources.workdir import owned, pinned, release
+
+SCRATCH = "corpus_pipeline"
 
 # Hypervectors, fingerprints and random offsets are not in SQL's reach.
 ORACLE_SQL = None
@@ -44,12 +48,27 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return shards.shuffle_into_shards(docs, 8)
 
 
+def tidy(stage):
+    """``stage`` that first deletes what the stage before it had to write on the way.
+
+    By then that stage's result is written, and nothing reads its intermediate tables.
+    """
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, SCRATCH)
+        with owned(SCRATCH):
+            return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("language_id", language_id),
-    ("simhash_near_dedup", simhash_near_dedup),
-    ("benchmark_decontamination", benchmark_decontamination),
-    ("mixing_to_target_weights", mixing_to_target_weights),
-    ("sharding", sharding),
+    ("language_id", tidy(language_id)),
+    ("simhash_near_dedup", tidy(simhash_near_dedup)),
+    ("benchmark_decontamination", tidy(benchmark_decontamination)),
+    ("mixing_to_target_weights", tidy(mixing_to_target_weights)),
+    ("sharding", tidy(sharding)),
 ]
 
 

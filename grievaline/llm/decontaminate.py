@@ -234,8 +234,12 @@ def contamination(
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a benchmark window, with their own columns."""
-    names = docs.columns
-    boxed = docs.select("text", F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c != "text"], F.lit(0).alias("_")).alias("doc"))
-    found = contamination(boxed, benchmark).where(~F.col("contaminated"))
-    return found.select([F.col("text") if c == "text" else F.col(f"doc.c{i}").alias(c) for i, c in enumerate(names)])
+    """The documents without a benchmark window, with their own columns.
+
+    The verdict on a text is joined back by id and a hash of the text, so that the index
+    holds no texts.
+    """
+    thin = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), "text")
+    dirty = contamination(thin, benchmark, ["_id", "_hash"]).where("contaminated").select("_id", "_hash").distinct()
+    same = docs["doc_id"].eqNullSafe(dirty["_id"]) & (F.xxhash64(docs["text"]) == dirty["_hash"])
+    return docs.join(dirty, same, "left_anti")

@@ -11,7 +11,7 @@ from grievaline.sources.tables import read_table
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
+    return simhash.near_duplicates(docs, carry=["doc_id"]).select("doc_id", "fingerprint", "component_id")
 
 
 def op2_warc_from_arc(spark: SparkSession, sf_dir: str) -> DataFrame:

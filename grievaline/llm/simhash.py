@@ -200,16 +200,22 @@ def linked_fingerprints(prints: DataFrame, bits: int = 4, shard_rows: int = 4096
 
 
 def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, bits: int = 4
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    shingle: int = 4,
+    bits: int = 4,
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """``docs`` with ``fingerprint`` (16 hex digits) and ``component_id``.
+    """``docs``, or its columns ``carry``, with ``fingerprint`` (16 hex digits) and ``component_id``.
 
     ``component_id`` is the smallest key that links reach, the row's own included.
     Equal fingerprints are one class before anything is compared. Null and empty texts
     have fingerprint zero and are linked like any other; null keys stay and count for
     no minimum; repeated rows stay; columns named like the results are replaced.
     """
-    rows = pinned(with_fingerprint(without(docs, "component_id"), text, shingle))
+    printed = with_fingerprint(without(docs, "component_id"), text, shingle)
+    rows = pinned(printed if carry is None else printed.select(*carry, "fingerprint"))
     classes = pinned(rows.groupBy("fingerprint").agg(F.min(key).alias("first")))
     roots = components(linked_fingerprints(classes.select("fingerprint"), bits))
     linked = classes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint")
@@ -230,25 +236,25 @@ def near_duplicates(
 def first_of_each_group(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
     """One row of each group of near copies, with the columns of ``docs``.
 
-    The row with the smallest id stays. Ids are taken as unique; of rows that share the
-    smallest id the one with the smallest hash of its columns stays, and a group with
-    null ids only keeps its row with the smallest hash.
+    The row with the smallest id stays; groups are found on ids and fingerprints, and the
+    texts travel once, to their ids. Of rows that share the smallest id the one with the
+    smallest hash of its columns stays; a group with null ids only keeps one row.
     """
     names = docs.columns
-    others = [c for c in names if c.lower() not in ("doc_id", "text")]
-    rows = docs.select(
-        "doc_id",
-        "text",
-        F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]).alias("_rest"),
-        F.monotonically_increasing_id().alias("_row"),
-    )
-    marked = pinned(
-        near_duplicates(rows.withColumn("_whole", F.xxhash64("text", "_rest")), shingle=shingle, bits=bits)
-    )
-    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_whole", "_row")
-    group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("f"))
-    kept = marked.groupBy(group.alias("g")).agg(F.min(order).alias("m")).select(F.col("m._row").alias("_row"))
-    place = {c: f"_rest.c{i}" for i, c in enumerate(others)}
-    return marked.join(kept, "_row", "left_semi").select(
-        [F.col(place.get(c, c)).alias(c) for c in names]
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c in names]).alias("_whole")
+    thin = docs.select(F.col("doc_id").alias("_id"), "text", whole)
+    marked = near_duplicates(thin, "_id", "text", shingle, bits, carry=["_id", "_whole"])
+    order = F.struct(F.col("_id").isNull().alias("none"), "_id", "_whole")
+    group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("print"))
+    kept = pinned(
+        marked.groupBy(group.alias("g"))
+        .agg(F.min(order).alias("m"))
+        .select(F.col("m._id").alias("_id"), F.col("m._whole").alias("_whole"))
     )
+    rows = docs.withColumn("_whole", whole)
+    same = rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_whole"] == kept["_whole"])
+    found = rows.join(kept, same, "left_semi")
+    keys = marked.groupBy("_id", "_whole").count().where("count > 1")
+    if not keys.isEmpty():  # rows that are equal in every column
+        found = found.dropDuplicates(["doc_id", "_whole"])
+    return found.select(names)
