@@ -5,9 +5,10 @@ from compare import connect, difference
 from conftest import SMALL
 
 import __spark_entry__ as entry_points
+from grievaline import catalogue
 
-QUERIES = entry_points.queries()
-ORACLE = entry_points.oracle_sql()
+QUERIES = catalogue.queries()
+ORACLE = catalogue.oracle_sql()
 # Files, random ids, approximate search and fitted models have no SQL form.
 ROWS_ONLY = {
     "image_file_source",
