@@ -17,7 +17,7 @@ MAX_LANGUAGES = 1000
 UNDETERMINED = "und"
 PIECE = 1 << 16
 KEPT_LETTERS = 20_000
-KEPT_GRAMS = 1 << 15
+KEPT_GRAMS = 1 << 14
 PART = 2048
 
 

@@ -90,6 +90,8 @@ def arc_records(stream) -> Iterator[tuple[str, dict[str, str], bytes]]:
     blanks, so fields are cut from the right. Bodies have exactly the declared length.
     """
     first = stream.readline()
+    if not first:  # an empty task leaves an empty file
+        return
     about = stream.read(int(first.split()[-1])).decode("utf-8", "replace").splitlines()
     version, names = about[0].split()[0], about[1].split()
     if ARC_FIELDS.get(version, "").split() != names:
