@@ -57,6 +57,7 @@ query(
       CASE WHEN tool = 'submit_grievance' THEN {argument('issue_type', 'other')} END AS issue_type,
       CASE WHEN tool = 'submit_grievance' THEN {argument('train_number', '')} END AS train_number,
       CASE WHEN tool = 'submit_grievance' THEN {argument('pnr', '')} END AS pnr,
+      CASE WHEN tool = 'submit_grievance' THEN nullif({argument('language_code', '')}, '') END AS language_code,
       CASE WHEN tool IN ('rag_search', 'web_search') THEN {argument('query', '')} END AS query,
       CASE WHEN tool = 'book_hotel' THEN 'Unknown tool: book_hotel' END AS error FROM v_args""",
 )

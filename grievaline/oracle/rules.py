@@ -120,7 +120,7 @@ query(
       CASE WHEN state = 'not_object' THEN 'Failed to process ticket: reply is not an object'
         ELSE 'Ticket processed and journey details saved' END AS message,
       CASE WHEN state = 'not_object' THEN '' ELSE
-        sha256(concat_ws('|', user_id, CAST(event_id AS VARCHAR), reply)) END AS journey_id,
+        sha256(concat_ws('|', coalesce(nullif(user_id, ''), 'unknown'), CAST(event_id AS VARCHAR), reply)) END AS journey_id,
       CASE WHEN state = 'not_object' THEN '' ELSE extracted END AS extracted_data FROM v_readings""",
 )
 query(

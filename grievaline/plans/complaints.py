@@ -14,6 +14,8 @@ from grievaline.plans.requests import fill_defaults, route_requests
 MAX_CHARS = 160
 # What a fallback message can need of a text.
 HEAD_CHARS = 80
+TEXTS = ("query", "english_translation")
+HEADS = ("query_head", "translation_head")
 # Messages and notes of the result row.
 COMPLAINT_DONE = "Complaint generated"
 COMPLAINT_FAILED = "Failed to generate complaint"
@@ -92,50 +94,57 @@ def with_translation(
 ) -> DataFrame:
     """``english_translation``: the text itself for English, else the stored translation.
 
-    Null means that no translation is stored, which is the failed call of the job.
-    Only rows that need one carry a text key; the others get no key and are spread
-    by the request id, so that they do not meet in one partition. Without
-    ``whole_text`` the text key is still that of the whole text, but only the head
-    that a fallback message can show is shuffled.
+    Null means that no translation is stored, which is the failed call of the job;
+    ``translation_length`` is that of the whole translation. Only rows that need one
+    carry a text key; the others get no key and are spread by the request id, so that
+    they do not meet in one partition. Without ``whole_text`` the heads that a fallback
+    message can show, ``query_head`` and ``translation_head``, are shuffled in place of
+    ``query`` and ``english_translation``; the text key is still that of the whole text.
     """
+    text, translation = TEXTS if whole_text else HEADS
 
     def kept(c: str) -> Column:
         return F.col(c) if whole_text else F.substring(c, 1, HEAD_CHARS)
 
     stored = translations.where(F.col("tgt") == "en-IN").select(
-        F.concat_ws("|", "src", "text_key").alias("_key"), kept("translated").alias("translated")
+        F.concat_ws("|", "src", "text_key").alias("_key"),
+        kept("translated").alias("_stored"),
+        F.length("translated").alias("_stored_length"),
     )
+    english = F.col("detected_language") == "en-IN"
     wanted = F.when(
-        F.col("detected_language") != "en-IN",
-        F.concat_ws("|", F.col("detected_language"), F.sha2(F.col("query"), 256)),
+        ~english, F.concat_ws("|", F.col("detected_language"), F.sha2(F.col("query"), 256))
     ).otherwise(F.concat(F.lit("#"), F.col("request_id")))
+    thin = rows.withColumn("_key", wanted).withColumn("_length", F.length("query"))
+    if not whole_text:
+        thin = thin.withColumn(text, kept("query")).drop("query")
     # A frequent text makes a skewed partition of a plain left join, which the
     # adaptive skew join splits; the stored side has one row per key.
     return (
-        rows.withColumn("_key", wanted)
-        .withColumn("query", kept("query"))
-        .join(stored, "_key", "left")
+        thin.join(stored, "_key", "left")
+        .withColumn(translation, F.when(english, F.col(text)).otherwise(F.col("_stored")))
         .withColumn(
-            "english_translation",
-            F.when(F.col("detected_language") == "en-IN", F.col("query")).otherwise(
-                F.col("translated")
-            ),
+            "translation_length", F.when(english, F.col("_length")).otherwise(F.col("_stored_length"))
         )
-        .drop("_key", "translated")
+        .drop("_key", "_length", "_stored", "_stored_length")
     )
 
 
 def complaint_columns(rows: DataFrame) -> DataFrame:
-    """Message, link, notes and status for rows with reply digest and translation."""
-    failed = F.when(F.col("query").isNull(), "empty query").when(
-        F.col("english_translation").isNull(), "no translation"
+    """Message, link, notes and status for rows with reply digest and translation.
+
+    The rows hold whole texts, or the heads that a fallback message can show.
+    """
+    text, translation = TEXTS if "query" in rows.columns else HEADS
+    failed = F.when(F.col(text).isNull(), "empty query").when(
+        F.col(translation).isNull(), "no translation"
     )
     failed = failed.when(~F.coalesce(F.col("has_reply"), F.lit(False)), "empty model reply")
     used_fallback = F.col("line") == ""
     message = F.when(
         used_fallback,
         fallback_message(
-            F.col("issue_type"), F.col("train_number"), F.col("english_translation"), F.col("query")
+            F.col("issue_type"), F.col("train_number"), F.col(translation), F.col(text)
         ),
     ).otherwise(F.col("line"))
     rows = rows.withColumn("failure", failed).withColumn("_message", message)
@@ -186,15 +195,16 @@ def prepared(
 
 
 def complaint_batch(
-    requests: DataFrame, replies: DataFrame, translations: DataFrame, whole_text: bool = False
+    requests: DataFrame, replies: DataFrame, translations: DataFrame, whole_text: bool = True
 ) -> DataFrame:
     """Every complaint request with its message, link, notes and status.
 
-    ``whole_text`` keeps the whole raw text and translation for the full record.
+    Without ``whole_text`` the raw text and the translation are left out, which spares
+    their shuffle; messages, lengths and notes are the same.
     """
     rows = prepared(requests, translations, whole_text).where(F.col("route") == "complaint")
     rows = rows.join(reply_digest(replies), "request_id", "left")
-    return complaint_columns(rows)
+    return complaint_columns(rows).drop(*HEADS)
 
 
 def complaint_result(batch: DataFrame) -> DataFrame:
@@ -256,7 +266,7 @@ def unify_output(
     )
     bare = payloads.bare_base64(F.coalesce(F.col("ticket_image_base64"), F.lit("")))
     state = F.col("reading_state")
-    no_query = is_chat & F.col("query").isNull()
+    no_query = is_chat & F.col("query_head").isNull()
     no_image = is_ticket & (~payloads.is_strict_base64(bare) | (bare == ""))
     no_object = is_ticket & (state == "not_object")
     chat_done = is_chat & ~no_query

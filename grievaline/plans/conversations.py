@@ -132,6 +132,7 @@ def dispatched(events: DataFrame) -> DataFrame:
         F.when(grievance, filled(given["issue_type"], "other")).alias("issue_type"),
         F.when(grievance, filled(given["train_number"], "")).alias("train_number"),
         F.when(grievance, filled(given["pnr"], "")).alias("pnr"),
+        F.when(grievance, F.nullif(argument("language_code", ""), F.lit(""))).alias("language_code"),
         F.when(search, argument("query", "")).alias("query"),
         F.when(~known, F.concat(F.lit("Unknown tool: "), F.col("tool"))).alias("error"),
     )

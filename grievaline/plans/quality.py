@@ -31,7 +31,7 @@ def link_rules() -> Rules:
 
 def length_rules() -> Rules:
     return {
-        "translation_over_10": F.length("english_translation") > 10,
+        "translation_over_10": F.col("translation_length") > 10,
         "reply_over_20": F.col("reply_length") > 20,
         "reply_over_10": F.col("reply_length") > 10,
         "language_not_empty": F.col("detected_language") != "",

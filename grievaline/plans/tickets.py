@@ -88,9 +88,12 @@ def journey_rows(
 
 
 def ticket_outcome(readings: DataFrame, key: Column) -> DataFrame:
-    """Status, message, id and reading of every ticket; broken text is still a success."""
+    """Status, message, id and reading of every ticket; broken text is still a success.
+
+    The id is that of the booking row: the key is taken behind the user's default.
+    """
     failed = F.col("state") == "not_object"
-    return readings.select(
+    return readings.withColumn("user_id", filled(F.col("user_id"), "unknown")).select(
         "event_id",
         F.when(failed, "error").otherwise("success").alias("status"),
         F.when(failed, "Failed to process ticket: reply is not an object")

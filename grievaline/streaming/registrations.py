@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from grievaline.plans.requests import validate_phone
-from grievaline.sources.sinks import read_or_none, write_batch
+from grievaline.sources.sinks import first_per_key, read_or_none, write_batch
 from grievaline.streaming.runs import run_stream
 
 
@@ -17,14 +17,15 @@ def registration_stream(
     """Answers every registration and inserts the valid ones once per user.
 
     ``target/answers`` holds status and reason of all rows, ``target/users`` the
-    accepted users. A batch that fails is run again and replaces its own folder, so
+    accepted users, of repeats in a batch the smallest phone. A batch that fails is run again and replaces its own folder, so
     no insert is lost or doubled.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         checked = validate_phone(batch)
         write_batch(checked, f"{target}/answers", batch_id)
-        fresh = checked.where("accepted").dropDuplicates(["user_id"])
+        accepted = checked.where("accepted").select("user_id", "phone_number")
+        fresh = first_per_key(accepted, "user_id")
         held = read_or_none(batch.sparkSession, f"{target}/users")
         if held is not None:
             earlier = held.where(F.col("batch") < batch_id).select("user_id")

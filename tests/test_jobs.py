@@ -374,3 +374,32 @@ def test_last_of_repeated_keys_wins(spark):
 def test_extracted_text_is_json(spark):
     rows = QUERIES["ticket_outcome"](spark, SMALL).where("status = 'success'").collect()
     assert all(isinstance(json.loads(r["extracted_data"]), dict) for r in rows)
+
+
+# --- what a round found ------------------------------------------------------
+
+
+def test_every_successful_ticket_names_its_booking(spark):
+    from grievaline import catalogue
+
+    done = catalogue.queries()["ticket_outcome"](spark, SMALL).where("status = 'success'")
+    booked = catalogue.queries()["journey_projection"](spark, SMALL).select("journey_id")
+    assert done.count() > 0 and done.join(booked, "journey_id", "left_anti").count() == 0
+
+
+def test_repeats_inside_one_append_are_one_row(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [("u", "2", 5), ("u", "1", 5), ("u", "0", 9), ("v", "3", 1)], "user_id string, phone string, created_at int"
+    )
+    for _ in range(2):
+        append_missing(rows.repartition(4), str(tmp_path / "u"), "user_id")
+    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "u")).collect()}
+    assert got == {("u", "1", 5), ("v", "3", 1)}
+
+
+def test_no_full_text_column_holds_a_head(spark):
+    rows = inputs(spark, SMALL)
+    assert not {"query", "english_translation"} & set(complaints.complaint_batch(*rows, False).columns)
+    whole = complaints.complaint_batch(*rows)
+    longest = whole.agg(F.max(F.length("query"))).first()[0]
+    assert longest > complaints.HEAD_CHARS
