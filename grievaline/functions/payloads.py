@@ -22,6 +22,7 @@ TICKET_KEYS = [
 ]
 TICKET_TYPE = "struct<" + ",".join(f"`{k}`:string" for k in TICKET_KEYS) + ">"
 # Python's parser refuses single quotes, Spark's default accepts them.
+JSON_BLANKS = " \t\n\r"
 STRICT_JSON = {"allowSingleQuotes": "false"}
 
 
@@ -113,7 +114,13 @@ def object_fields(blob: Column) -> Column:
 
 def call_arguments(c: Column) -> Column:
     """Tool arguments as a map; blank or broken text gives an empty map."""
-    return object_fields(F.btrim(c, F.lit(" \t\n\r")))
+    return object_fields(F.btrim(c, F.lit(JSON_BLANKS)))
+
+
+def call_object(c: Column) -> Column:
+    """Tool arguments as the text of one JSON object; blank or broken text gives ``{}``."""
+    bare = F.btrim(c, F.lit(JSON_BLANKS))
+    return F.when(one_object(bare, "map<string,string>").isNotNull(), bare).otherwise("{}")
 
 
 def reading_state(reply: Column, parsed: Column) -> Column:

@@ -65,19 +65,20 @@ view(
     "v_calls",
     """SELECT *, is_call AND round <= 3 AND round < coalesce(first_empty, 99) AS ran FROM (
         SELECT *, min(CASE WHEN n_calls = 0 THEN round END) OVER (PARTITION BY session, answer) AS first_empty FROM (
-          SELECT *, count(*) FILTER (WHERE is_call) OVER (PARTITION BY session, answer, round) AS n_calls FROM (
-            SELECT *, seq // 8 AS answer, CAST((seq % 8) // 2 + 1 AS INTEGER) AS round FROM (
-              SELECT *, row_number() OVER (PARTITION BY session ORDER BY event_id) - 1 AS seq FROM f_tool_events))))""",
+          SELECT * REPLACE (CASE WHEN json_valid(args) THEN CASE WHEN json_type(args) = 'OBJECT' THEN trim(args)
+              ELSE '{}' END ELSE '{}' END AS args),
+            count(*) FILTER (WHERE is_call) OVER (PARTITION BY session, answer, round) AS n_calls
+          FROM f_tool_events))""",
 )
 query(
     "tool_log_array",
     """SELECT session, answer, CAST(count(*) AS INTEGER) AS n, string_agg(concat_ws('|', tool, args,
-        CASE WHEN tool = 'book_hotel' THEN 'error' ELSE coalesce(sms_uri, 'success') END), chr(10) ORDER BY seq) AS log
+        CASE WHEN tool = 'book_hotel' THEN 'error' ELSE coalesce(sms_uri, 'success') END), chr(10) ORDER BY event_id) AS log
       FROM v_calls WHERE ran GROUP BY session, answer""",
 )
 query(
     "first_sms_uri",
-    """SELECT session, answer, coalesce(min_by(sms_uri, seq) FILTER
+    """SELECT session, answer, coalesce(min_by(sms_uri, event_id) FILTER
         (WHERE tool = 'submit_grievance' AND coalesce(sms_uri, '') <> ''), '') AS sms_uri
       FROM v_calls WHERE ran GROUP BY session, answer""",
 )

@@ -183,9 +183,10 @@ view(
 view(
     "v_answers",
     """SELECT session || '-' || answer AS request_id,
-        CAST(to_json(list({'tool': tool, 'args': args, 'result': CASE WHEN tool = 'book_hotel' THEN 'error'
-          ELSE coalesce(sms_uri, 'success') END} ORDER BY seq)) AS VARCHAR) AS log,
-        min_by(sms_uri, seq) FILTER (WHERE tool = 'submit_grievance' AND coalesce(sms_uri, '') <> '') AS log_sms_uri
+        '[' || string_agg('{"tool":' || to_json(tool) || ',"args":' || args || ',"result":' || to_json(CASE
+          WHEN tool = 'book_hotel' THEN 'error' ELSE coalesce(sms_uri, 'success') END) || '}', ',' ORDER BY event_id)
+          || ']' AS log,
+        min_by(sms_uri, event_id) FILTER (WHERE tool = 'submit_grievance' AND coalesce(sms_uri, '') <> '') AS log_sms_uri
       FROM v_calls WHERE ran GROUP BY session, answer""",
 )
 view(

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from grievaline.functions.payloads import call_arguments, json_blob, object_fields
+from grievaline.functions.payloads import call_arguments, call_object, json_blob, object_fields
 from grievaline.functions.text import filled, strip
-from grievaline.operators.numbering import with_lookback, with_rows_before
+from grievaline.operators.numbering import with_lookback
 
 HISTORY_CAP = 8
 MAX_ROUNDS = 3
@@ -16,9 +16,6 @@ MAX_HITS = 5
 # The tools an answer may call.
 TOOLS = ["get_user_journey", "submit_grievance", "rag_search", "web_search"]
 SYSTEM_TEXT = "Choose the tools that answer the passenger."
-# How the tool events are cut into answers: rounds of two entries, four rounds.
-ROUND_ENTRIES = 2
-ANSWER_ENTRIES = 8
 
 
 def spoken(role: Column, content: Column) -> Column:
@@ -54,9 +51,8 @@ def assemble_messages(
     turns = history.select(
         "conv_id", "turn", "role", strip(F.coalesce("content", F.lit(""))).alias("content")
     )
-    placed = with_rows_before(turns, ["conv_id"], "turn", {"place": F.lit(1)})
     message = F.struct("role", "content")
-    seen = with_lookback(placed, ["conv_id"], "place", cap, {"before": ("list", message)})
+    seen = with_lookback(turns, ["conv_id"], "turn", cap, {"before": ("list", message)})
     kept = F.filter("before", lambda m: spoken(m["role"], m["content"]))
 
     def say(role: str, content: Column) -> Column:
@@ -75,23 +71,17 @@ def assemble_messages(
 
 
 def tool_calls(events: DataFrame) -> DataFrame:
-    """Log entries with answer and round, and whether the answer got that far.
+    """Log entries with their arguments as one object, and whether the answer got that far.
 
-    An answer ends at its first round without a call, and after three rounds.
+    ``events`` has ``session, answer, round, event_id``: which answer of a session and
+    which of its rounds, from 1, an entry belongs to; a round may hold any number of
+    entries. An answer ends at its first round without a call, and after three rounds.
     """
-    placed = with_rows_before(events, ["session"], "event_id", {"seq": F.lit(1)})
-    entry = F.col("seq") % ANSWER_ENTRIES
-    rounds = placed.withColumns(
-        {
-            "answer": F.floor(F.col("seq") / F.lit(ANSWER_ENTRIES)),
-            "round": (F.floor(entry / F.lit(ROUND_ENTRIES)) + 1).cast("int"),
-        }
-    )
-    # An answer has at most ANSWER_ENTRIES rows, so these windows stay small.
     one_answer = W.partitionBy("session", "answer")
     same_round = one_answer.orderBy("round").rangeBetween(W.currentRow, W.currentRow)
     return (
-        rounds.withColumn("n_calls", F.sum(F.col("is_call").cast("int")).over(same_round))
+        events.withColumn("args", call_object(F.col("args")))
+        .withColumn("n_calls", F.sum(F.col("is_call").cast("int")).over(same_round))
         .withColumn(
             "first_empty", F.min(F.when(F.col("n_calls") == 0, F.col("round"))).over(one_answer)
         )
@@ -143,8 +133,8 @@ def call_result() -> Column:
 
 
 def tool_log_array(calls: DataFrame) -> DataFrame:
-    """The ordered entries of every answer that called a tool; at most six each."""
-    entry = F.struct("seq", "tool", "args", call_result().alias("result"))
+    """The ordered entries of every answer that called a tool."""
+    entry = F.struct("event_id", "tool", "args", call_result().alias("result"))
     return calls.where("ran").groupBy("session", "answer").agg(
         F.array_sort(F.collect_list(entry)).alias("log")
     )
@@ -152,18 +142,26 @@ def tool_log_array(calls: DataFrame) -> DataFrame:
 
 def first_sms_uri(calls: DataFrame) -> DataFrame:
     link = (F.col("tool") == "submit_grievance") & (F.coalesce("sms_uri", F.lit("")) != "")
-    found = F.min_by(F.when(link, F.col("sms_uri")), F.when(link, F.col("seq")))
+    found = F.min_by(F.when(link, F.col("sms_uri")), F.when(link, F.col("event_id")))
     return calls.where("ran").groupBy("session", "answer").agg(
         F.coalesce(found, F.lit("")).alias("sms_uri")
     )
 
 
+def call_text() -> Column:
+    """One log entry as JSON; the arguments are an object in it, not a string."""
+    tool = F.to_json(F.struct(F.coalesce("tool", F.lit("")).alias("tool")))
+    result = F.to_json(F.struct(call_result().alias("result")))
+    head = F.substr(tool, F.lit(1), F.length(tool) - 1)
+    return F.concat(head, F.lit(',"args":'), F.col("args"), F.lit(","), F.substr(result, F.lit(2)))
+
+
 def answer_results(calls: DataFrame) -> DataFrame:
     """``request_id, tool_log, log_sms_uri`` of every answer that called a tool.
 
     Answer n of a session is the one to the request of that conversation and turn.
     """
-    entry = F.struct("seq", F.struct("tool", "args", call_result().alias("result")).alias("call"))
+    entry = F.struct("event_id", call_text().alias("call"))
     link = (F.col("tool") == "submit_grievance") & (F.coalesce("sms_uri", F.lit("")) != "")
     ordered = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["call"])
     return (
@@ -174,8 +172,8 @@ def answer_results(calls: DataFrame) -> DataFrame:
             ).alias("request_id")
         )
         .agg(
-            F.to_json(ordered).alias("tool_log"),
-            F.min_by(F.when(link, F.col("sms_uri")), F.when(link, F.col("seq"))).alias("log_sms_uri"),
+            F.concat(F.lit("["), F.array_join(ordered, ","), F.lit("]")).alias("tool_log"),
+            F.min_by(F.when(link, F.col("sms_uri")), F.when(link, F.col("event_id"))).alias("log_sms_uri"),
         )
     )
 
@@ -217,9 +215,8 @@ def new_clips(clips: DataFrame) -> DataFrame:
     """
     ident = F.coalesce(F.nullif("clip_id", F.lit("")), F.when(F.col("clip") != "", F.sha1("clip")))
     known = clips.withColumn("ident", ident).where("ident IS NOT NULL")
-    placed = with_rows_before(known, ["session"], "event_id", {"place": F.lit(1)})
     seen = with_lookback(
-        placed, ["session"], "place", 1, {"last_ident": ("lag", F.col("ident"))}
+        known, ["session"], "event_id", 1, {"last_ident": ("lag", F.col("ident"))}
     )
     return seen.where(~F.col("ident").eqNullSafe(F.col("last_ident"))).select(
         "session", "event_id", "ident"

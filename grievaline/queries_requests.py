@@ -112,7 +112,7 @@ def reply_clean(spark, sf_dir):
 
 @registered
 def structured_fallback(spark, sf_dir):
-    rows = batch(spark, sf_dir).where("used_fallback")
+    rows = batch(spark, sf_dir, whole_text=True).where("used_fallback")
     text = complaints.fallback_message(
         F.col("issue_type"), F.col("train_number"), F.col("english_translation"), F.col("query")
     )

@@ -243,6 +243,9 @@ TOOL_EVENTS = Shape(
     {
         "session": "user_id",
         "event_id": "event_id",
+        "answer": "CAST(floor(event_id / 1000) AS BIGINT)",
+        "round": "CAST(CASE WHEN event_id % 1000 < 250 THEN 1 WHEN event_id % 1000 < 650 THEN 2 "
+        "WHEN event_id % 1000 < 750 THEN 3 WHEN event_id % 1000 < 900 THEN 4 ELSE 5 END AS INT)",
         "tool": "CASE event_type WHEN 'view' THEN 'get_user_journey' "
         "WHEN 'click' THEN 'rag_search' WHEN 'signup' THEN 'web_search' "
         "WHEN 'purchase' THEN 'submit_grievance' ELSE 'book_hotel' END",

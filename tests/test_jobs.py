@@ -403,3 +403,32 @@ def test_no_full_text_column_holds_a_head(spark):
     whole = complaints.complaint_batch(*rows)
     longest = whole.agg(F.max(F.length("query"))).first()[0]
     assert longest > complaints.HEAD_CHARS
+
+
+def test_rounds_of_any_size_and_parsed_arguments(spark):
+    """Three calls in one round, a round without a call, a fourth round; values by hand."""
+    rows = [
+        (1, 5, 1, 10, "rag_search", True, ' {"query": "refund", "n": 2} '),
+        (1, 5, 1, 11, "web_search", True, ""),
+        (1, 5, 1, 12, "book_hotel", True, '{"a"'),
+        (1, 5, 2, 13, "rag_search", True, "[1]"),
+        (1, 5, 3, 14, "rag_search", True, None),
+        (1, 5, 4, 15, "rag_search", True, "{}"),
+        (1, 6, 1, 16, "rag_search", False, "{}"),
+        (1, 6, 2, 17, "rag_search", True, "{}"),
+    ]
+    frame = spark.createDataFrame(
+        [(*r, None) for r in rows],
+        "session int, answer int, round int, event_id int, tool string, is_call boolean, args string, sms_uri string",
+    )
+    calls = conversations.tool_calls(frame)
+    cut = {(r["answer"], r["rounds"], r["n_calls"]) for r in conversations.round_cutoff(calls).collect()}
+    assert cut == {(5, 3, 5), (6, 0, 0)}
+    (found,) = conversations.answer_results(calls).collect()
+    assert json.loads(found["tool_log"]) == [
+        {"tool": "rag_search", "args": {"query": "refund", "n": 2}, "result": "success"},
+        {"tool": "web_search", "args": {}, "result": "success"},
+        {"tool": "book_hotel", "args": {}, "result": "error"},
+        {"tool": "rag_search", "args": {}, "result": "success"},
+        {"tool": "rag_search", "args": {}, "result": "success"},
+    ]
