@@ -131,7 +131,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
     """Language prototypes: the bundled unit vectors of each language's documents.
 
     Of each language about ``SAMPLE_PER_LANGUAGE`` documents are taken, by a hash of the
-    text; that bound is the model's, every text of the sample is read whole. Sums are
+    text; that bound is the model's, every text of the sample is read whole. Copies of a
+    text count once, so a text that fills a third of the rows is one of the sample. Sums are
     added up per task and language before the shuffle; the driver gets one vector per
     language, at most ``MAX_LANGUAGES`` of them (more is an error). Null text or
     language teaches nothing. What all languages share, the mean prototype, is taken
@@ -148,7 +149,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
     steps = 1 << 20
     parts = {r["lang"]: min(steps, SAMPLE_PER_LANGUAGE * steps // r["count"] + 1) for r in sizes}
     share = F.create_map(*[F.lit(x) for pair in parts.items() for x in pair])[F.col("lang")]
-    sample = known.where(F.pmod(F.xxhash64("text"), F.lit(steps)) < share)
+    drawn = known.withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(steps)) < share)
+    sample = drawn.dropDuplicates(["lang", "h"]).select("lang", "text")
 
     def sums(batches):
         import pyarrow as pa

@@ -210,6 +210,13 @@ def test_language_id(spark, docs, empty):
     assert langid.learn(empty) == {} and langid.identify(docs, {}).where("lang_pred <> 'und'").count() == 0
 
 
+def test_copies_of_a_text_teach_once(spark):
+    rows = [(t, lang) for lang, texts in (("x", ["abab", "baba"]), ("y", ["cdcd", "dcdc"])) for t in texts]
+    once = langid.learn(spark.createDataFrame(rows, "text string, lang string"))
+    often = langid.learn(spark.createDataFrame(rows + rows[:1] * 50, "text string, lang string"))
+    assert all(np.allclose(once[name], often[name]) for name in ("x", "y"))
+
+
 def test_shards_are_exact_and_uniform(spark, docs, empty):
     found = shards.shuffle_into_shards(docs, 4, block_rows=1).toPandas()
     sizes = found.groupby("shard")["slot"].agg(["count", "max"])
