@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from grievaline.functions.text import hashed_counts, strip
-from grievaline.operators.nearest import nearest
+from grievaline.operators.nearest import nearest, search_blocks
 from grievaline.plans import resolution, retrieval
 from grievaline.queries_requests import given
 from grievaline.registry import registered
@@ -50,20 +50,26 @@ def topk_l2(spark, sf_dir):
 
 @registered
 def topk_lsh(spark, sf_dir):
-    return retrieval.nearest_by_buckets(vector_queries(spark, sf_dir), vectors(spark, sf_dir))
+    queries, stored = vector_queries(spark, sf_dir), vectors(spark, sf_dir)
+    joined = retrieval.audited_joined(queries, stored)
+    return retrieval.nearest_by_buckets(queries, stored, joined=joined)
 
 
 @registered
 def topk_lsh_recall(spark, sf_dir):
-    """How many of the exact neighbours the bucket search finds."""
+    """How many of the exact neighbours the bucket search finds, and what share of all pairs it scores."""
     pair = ["query_id", "vector_id"]
+    queries, stored = vector_queries(spark, sf_dir), vectors(spark, sf_dir)
+    sides = retrieval.bucket_sides(queries, stored, joined=retrieval.audited_joined(queries, stored))
     exact = topk_l2(spark, sf_dir).select(*pair)
-    found = topk_lsh(spark, sf_dir).select(*pair, F.lit(1).alias("hit"))
+    found = search_blocks(*sides, 4, "l2", repeats=True).select(*pair, F.lit(1).alias("hit"))
     rows = exact.join(found, pair, "left")
+    every = queries.select(F.count("*")).scalar() * stored.select(F.count("*")).scalar()
     return rows.agg(
         F.count("*").alias("n_exact"),
         F.count("hit").alias("n_found"),
         (F.count("hit") / F.count("*")).alias("recall"),
+        F.any_value(retrieval.scored_pairs(*sides) / every).alias("scored_share"),
     )
 
 
