@@ -146,6 +146,11 @@ query(
     """SELECT request_id, coalesce(c.train_number, l.train_number) AS train_number, coalesce(c.pnr, l.pnr) AS pnr
       FROM v_clean c LEFT JOIN v_latest l ON c.user_id = l.user_id""",
 )
+query(
+    "users_without_first_class",
+    """SELECT user_id FROM f_users u
+      WHERE NOT EXISTS (FROM f_journey j WHERE j.user_id = u.user_id AND j.class = '1A')""",
+)
 query(
     "users_without_journey",
     "SELECT user_id FROM f_users u WHERE NOT EXISTS (FROM f_journey j WHERE j.user_id = u.user_id)",

@@ -33,7 +33,7 @@ def latest_journey(journeys: DataFrame) -> DataFrame:
 
 
 def latest_by_aggregate(journeys: DataFrame) -> DataFrame:
-    """The same by partial aggregation, without a sort."""
+    """The same by partial aggregation; rows with text are aggregated in sorted order."""
     row = F.struct(*[c for c in journeys.columns if c != "user_id"])
     newest = F.max_by(row, F.struct("created_at", "journey_id"))
     return journeys.groupBy("user_id").agg(newest.alias("j")).select("user_id", "j.*")
@@ -41,7 +41,7 @@ def latest_by_aggregate(journeys: DataFrame) -> DataFrame:
 
 def journey_status(requests: DataFrame, journeys: DataFrame) -> DataFrame:
     """Every request with the booking of its user, or why there is none."""
-    booked = latest_by_aggregate(
+    booked = latest_journey(
         journeys.select("user_id", "created_at", "journey_id", "pnr", "train_number", "class")
     ).drop("created_at")
     asked = requests.select("request_id", present(F.col("user_id")).alias("user_id"))
@@ -64,7 +64,7 @@ def journey_status(requests: DataFrame, journeys: DataFrame) -> DataFrame:
 
 def fill_from_journey(requests: DataFrame, journeys: DataFrame) -> DataFrame:
     """Train and PNR of a request, taken from the user's booking where absent."""
-    booked = latest_by_aggregate(
+    booked = latest_journey(
         journeys.select(
             "user_id",
             "created_at",

@@ -177,6 +177,14 @@ def fill_from_journey(spark, sf_dir):
     )
 
 
+@registered
+def users_without_first_class(spark, sf_dir):
+    """Users without a booking in first class; the given users all have some booking."""
+    users = given(spark, sf_dir, "f_users").select("user_id")
+    first = given(spark, sf_dir, "f_journey").where(F.col("class") == "1A")
+    return bookings.users_without_journey(users, first)
+
+
 @registered
 def users_without_journey(spark, sf_dir):
     users = given(spark, sf_dir, "f_users").select("user_id")
