@@ -130,9 +130,10 @@ def _unit(vector: np.ndarray) -> np.ndarray:
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, list[float]]:
     """Language prototypes: the bundled unit vectors of each language's documents.
 
-    Of each language about ``SAMPLE_PER_LANGUAGE`` documents are taken, by a hash of the
-    text; that bound is the model's, every text of the sample is read whole. Copies of a
-    text count once, so a text that fills a third of the rows is one of the sample. Sums are
+    Of each language about ``SAMPLE_PER_LANGUAGE`` different texts are taken, by a hash of
+    the text, or all where there are fewer; that bound is the model's, every text of the
+    sample is read whole. Copies of a text count once, in the share that is drawn too, so
+    a text that fills a third of the rows is one of the sample. Sums are
     added up per task and language before the shuffle; the driver gets one vector per
     language, at most ``MAX_LANGUAGES`` of them (more is an error). Null text or
     language teaches nothing. What all languages share, the mean prototype, is taken
@@ -141,7 +142,9 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).alias("text")
     )
-    sizes = known.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    hashed = known.withColumn("h", F.xxhash64("text"))
+    different = hashed.select("lang", "h").distinct()
+    sizes = different.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
@@ -149,7 +152,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
     steps = 1 << 20
     parts = {r["lang"]: min(steps, SAMPLE_PER_LANGUAGE * steps // r["count"] + 1) for r in sizes}
     share = F.create_map(*[F.lit(x) for pair in parts.items() for x in pair])[F.col("lang")]
-    drawn = known.withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(steps)) < share)
+    drawn = hashed.where(F.pmod("h", F.lit(steps)) < share)
     sample = drawn.dropDuplicates(["lang", "h"]).select("lang", "text")
 
     def sums(batches):

@@ -217,6 +217,16 @@ def test_copies_of_a_text_teach_once(spark):
     assert all(np.allclose(once[name], often[name]) for name in ("x", "y"))
 
 
+def test_a_language_of_copies_keeps_its_sample(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_PER_LANGUAGE", 20)
+    texts = {"x": [f"abab {a}{b}" for a in "abc" for b in "abc"], "y": [f"cdcd {a}{b}" for a in "cde" for b in "cde"]}
+    rows = [(t, lang) for lang, some in texts.items() for t in some]
+    once = langid.learn(spark.createDataFrame(rows, "text string, lang string"))
+    often = langid.learn(spark.createDataFrame(rows + [r for r in rows if r[1] == "x"] * 1000, "text string, lang string"))
+    assert set(often) == {"x", "y"}
+    assert all(np.allclose(once[name], often[name]) for name in ("x", "y"))
+
+
 def test_shards_are_exact_and_uniform(spark, docs, empty):
     found = shards.shuffle_into_shards(docs, 4, block_rows=1).toPandas()
     sizes = found.groupby("shard")["slot"].agg(["count", "max"])
