@@ -20,6 +20,7 @@ LINKS = 16
 BUILD_BEAM = 48
 FIRST_BEAM = 64
 AUDIT = 32
+NEAREST = 16
 RECALL = 0.99
 LOT = 256
 AT_ONCE = 4
@@ -154,6 +155,16 @@ class Graph:
             row[:] = -1
             row[: kept.size] = kept
 
+    def unreached(self) -> np.ndarray:
+        """Nodes that no path of level 0 leads to from the entry."""
+        known = np.zeros(len(self.unit) + 1, dtype=bool)  # the last one takes the blanks
+        edge = np.arange(min(1, len(self.unit)))
+        while edge.size:
+            known[edge] = True
+            around = np.unique(self.near[0][edge])
+            edge = around[(around >= 0) & ~known[around]]
+        return np.flatnonzero(~known[:-1]).astype(np.int32)
+
     def dump(self) -> bytes:
         out = io.BytesIO()
         np.savez(out, unit=self.unit, level=self.level, **{f"near{i}": x for i, x in enumerate(self.near)})
@@ -177,41 +188,72 @@ def unit_rows(vectors: list) -> np.ndarray:
 def candidates(graph: Graph, queries: np.ndarray, threshold: float) -> list[np.ndarray]:
     """Per query the nodes at or above a cosine (within rounding of single precision).
 
-    The beam of a lot is doubled until an audit of some of its queries against all nodes
-    finds the wanted recall. A query whose whole beam is above the threshold may have
-    more, so its own beam is widened; a beam as wide as a quarter of the shard is
-    replaced by a scan of the shard, which is exact.
+    The beam is doubled until an audit of queries from all over the block against all
+    nodes finds the wanted recall, both of their nearest nodes, whatever the cosine, and
+    of their links. Queries whose whole beam is above the threshold may have more: they
+    are searched again with wider beams, under an audit of their own. A beam as wide as
+    a quarter of the shard is replaced by a scan of the shard, which is exact. Nodes
+    that no walk reaches are compared with every query.
     """
     floor = np.float32(threshold - 1e-4)
     single = queries.astype(np.float32)
-    n = len(graph.unit)
     found: list[np.ndarray] = [None] * len(single)
-    lots = [np.arange(a, min(a + LOT, len(single))) for a in range(0, len(single), LOT)]
-    work = [(lot, FIRST_BEAM, True) for lot in lots]
+    stray = graph.unreached()
+    work = [(np.arange(len(single)), FIRST_BEAM)]
     while work:
-        lot, beam, audited = work.pop()
-        if beam * 4 >= n:
-            sims = single[lot] @ graph.unit.T
-            for i, row in zip(lot.tolist(), sims):
-                found[i] = np.flatnonzero(row >= floor)
-            continue
-        ids, sims = graph.search(single[lot], beam)
-        hits = sims >= floor
-        for i, row, ok in zip(lot.tolist(), ids, hits):
-            found[i] = row[ok]
-        full = hits.all(axis=1)
-        if audited:
-            some = np.linspace(0, lot.size - 1, min(AUDIT, lot.size)).astype(int)
-            some = some[~full[some]]
-            exact = (single[lot[some]] @ graph.unit.T >= floor).sum()
-            if hits[some].sum() < RECALL * exact:
-                work.append((lot, beam * 2, True))
+        rows, beam = work.pop()
+        beam = _audited_beam(graph, single[rows], beam, floor, stray)
+        more = []
+        for at in range(0, rows.size, LOT):
+            lot = rows[at : at + LOT]
+            if beam is None:
+                for i, row in zip(lot.tolist(), single[lot] @ graph.unit.T):
+                    found[i] = np.flatnonzero(row >= floor)
                 continue
-        if full.any():
-            work.append((lot[full], beam * 4, False))
+            ids, sims = _walk(graph, single[lot], beam, stray)
+            hits = sims >= floor
+            for i, row, ok in zip(lot.tolist(), ids, hits):
+                found[i] = np.unique(row[ok])
+            more.append(lot[hits[:, :beam].all(axis=1)])
+        if more and (full := np.concatenate(more)).size:
+            work.append((full, beam * 4))
     return found
 
 
+def _walk(graph: Graph, queries: np.ndarray, beam: int, stray: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The beam of each query, with the stray nodes behind it."""
+    ids, sims = graph.search(queries, beam)
+    if not stray.size:
+        return ids, sims
+    return np.hstack([ids, np.tile(stray, (len(queries), 1))]), np.hstack([sims, queries @ graph.unit[stray].T])
+
+
+def _audited_beam(graph: Graph, queries: np.ndarray, beam: int, floor: np.float32, stray: np.ndarray) -> int | None:
+    """The first beam from ``beam`` on whose audit passes; none if the shard is to be scanned."""
+    n, k = len(graph.unit), min(NEAREST, len(graph.unit))
+    size = min(len(queries), max(AUDIT, len(queries) * AUDIT // LOT))
+    some = queries[np.linspace(0, len(queries) - 1, size).astype(int)]
+    while beam * 4 < n:
+        near, near_found, links, links_found = 0, 0, 0, 0
+        for at in range(0, size, LOT):
+            lot = some[at : at + LOT]
+            ids, sims = _walk(graph, lot, beam, stray)
+            true = lot @ graph.unit.T
+            got = np.zeros((len(lot), n + 1), dtype=bool)
+            got[np.arange(len(lot))[:, None], ids] = True  # blanks are the last column
+            nearest = np.argpartition(-true, k - 1, axis=1)[:, :k]
+            near += nearest.size
+            near_found += np.take_along_axis(got, nearest, axis=1).sum()
+            # a full beam has no room for all links and is searched again
+            linked = (true >= floor) & ~(sims[:, :beam] >= floor).all(axis=1)[:, None]
+            links += linked.sum()
+            links_found += (linked & got[:, :n]).sum()
+        if near_found >= RECALL * near and links_found >= RECALL * links:
+            return beam
+        beam *= 2
+    return None
+
+
 def search_shard(graph: Graph, node_ids: np.ndarray, weights: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, nodes: np.ndarray, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Links of each query into a shard, weighted by copies, and a forest that joins them.
 

@@ -198,6 +198,42 @@ def test_vectors_are_brute_force(spark):
     assert hnsw.near_duplicates(frame.where("false")).count() == 0
 
 
+def beside(rng, unit, cosine):
+    """Unit vectors at a cosine from the given ones."""
+    other = rng.normal(size=unit.shape)
+    other -= (other * unit).sum(axis=1, keepdims=True) * unit
+    return cosine * unit + np.sqrt(1 - cosine**2) * hnsw.unit_rows(list(other))
+
+
+def linked_share(graph, queries):
+    true = queries.astype(np.float32) @ graph.unit.T >= np.float32(0.93)
+    found = np.zeros_like(true)
+    for i, nodes in enumerate(hnsw.candidates(graph, queries, 0.93)):
+        found[i, nodes] = True
+    return (found & true).sum() / true.sum()
+
+
+def test_vector_audit_measures_sparse_links_and_large_groups():
+    rng = np.random.default_rng(5)
+    nodes = hnsw.unit_rows(list(rng.normal(size=(2048, 48))))
+    few = hnsw.Graph(nodes, links=3)  # a graph that loses links at the first beam
+    # of every 256 queries the 32 evenly spaced ones link with nothing
+    queries = hnsw.unit_rows(list(rng.normal(size=(1024, 48))))
+    spaced = [np.linspace(a, a + 255, 32).astype(int) for a in range(0, 1024, 256)]
+    linking = np.setdiff1d(np.arange(1024), np.concatenate(spaced))
+    queries[linking] = beside(rng, nodes[linking], 0.94)
+    assert linked_share(few, queries) >= 0.99
+    few.near[0][few.near[0] % 97 == 5] = -1  # no link leads to these any more
+    assert set(range(5, 2048, 97)) <= set(few.unreached().tolist())
+    lost = beside(rng, nodes[5::97], 0.95)
+    queries[linking[: len(lost)]] = lost
+    found = hnsw.candidates(few, queries, 0.93)
+    assert all(n in found[i] for i, n in zip(linking.tolist(), range(5, 2048, 97)))
+    groups = [beside(rng, np.repeat(hnsw.unit_rows(list(rng.normal(size=(1, 48)))), 300, axis=0), 0.98) for _ in range(6)]
+    crowded = np.concatenate([*groups, hnsw.unit_rows(list(rng.normal(size=(248, 48))))])[rng.permutation(2048)]
+    assert linked_share(hnsw.Graph(crowded, links=3), crowded[:1024]) >= 0.99
+
+
 def test_language_id(spark, docs, empty):
     table = spark.read.parquet(f"{SMALL}/documents.parquet")
     found = LLM["op5_language_id"](spark, SMALL).join(table, "doc_id").toPandas()
