@@ -22,7 +22,8 @@ travels(__name__)
 SAMPLE_TOXIC = 8_000  # labelled rows that the model may be fitted on, per label
 SAMPLE_CLEAN = 16_000
 MAX_TERMS = 20_000
-MIN_SHARE = 0.03  # of toxic rows that hold a term
+MIN_ROWS = 5  # toxic rows that hold a term, whatever the size of the sample
+MIN_SHARE = 0.03  # a small sample asks for this share only, but for 3 rows
 MIN_ODDS = 1.5  # log odds, less their standard error
 SURE_ODDS = 5.0  # from here on a word also counts with marks on its letters
 PREFIXES = (4, 5, 6, 7, 8, 9)
@@ -181,9 +182,10 @@ def _sure_odds(toxic: int, clean: int, n_toxic: int, n_clean: int) -> float:
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """Lexicon, exceptions and threshold from labelled rows that are not held out.
 
-    A term is a word or the beginning of words; it needs a share of the toxic sample,
-    and its log odds less their standard error are its weight. A pair of a term and its neighbour that marks clean rows is
-    an exception. The threshold parts the sample's strengths with the fewest errors.
+    A term is a word or the beginning of words. Its log odds less their standard error
+    are its weight and decide alone, above a few toxic rows that do not grow with the
+    sample: a language with few of the toxic rows keeps its terms. A pair of a term and
+    its neighbour that marks clean rows is an exception. The threshold parts the sample's strengths with the fewest errors.
     Without labelled rows of both kinds the seed terms and a fixed threshold hold.
     """
     seeds = {f" {t} ": SEED_WEIGHT for t in SEED_TERMS}
@@ -197,7 +199,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         folder = Folder()
         return lambda text: candidates(folder(text))
 
-    least = max(3.0, MIN_SHARE * n_toxic)
+    least = min(MIN_ROWS, max(3.0, MIN_SHARE * n_toxic))
     frequent = _counted(sample.where("toxic = 1"), words).where(F.col("n") >= least)
     hits = {r["term"]: r["n"] for r in frequent.orderBy(F.desc("n"), "term").limit(MAX_TERMS).collect()}
 
