@@ -21,7 +21,7 @@ travels(__name__)
 
 SAMPLE_TOXIC = 8_000  # labelled rows that the model may be fitted on, per label
 SAMPLE_CLEAN = 16_000
-MAX_TERMS = 20_000
+TERMS_AT_ONCE = 1 << 18  # counted terms that a task holds before it hands them on
 MIN_ROWS = 5  # toxic rows that hold a term, whatever the size of the sample
 MIN_SHARE = 0.03  # a small sample asks for this share only, but for 3 rows
 MIN_ODDS = 1.5  # log odds, less their standard error
@@ -149,34 +149,55 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.where("text is not null").join(F.broadcast(picked), "doc_id").select("text", "toxic")
 
 
-def _counted(sample: DataFrame, terms_of) -> dict[tuple[str, int], int]:
-    """How many texts of the sample hold each term, added up per task before the shuffle."""
+def _counted(sample: DataFrame, terms_of) -> DataFrame:
+    """``term, t, c``: how many toxic and clean texts of the sample hold each term.
+
+    Counts are added up per task before the shuffle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = terms_of()
-        held: Counter = Counter()
+        held: tuple[Counter, Counter] = Counter(), Counter()
+
+        def counts() -> pa.RecordBatch:
+            pairs = [(term, x, n) for x in (0, 1) for term, n in held[x].items()]
+            columns = zip((pa.string(), pa.int32(), pa.int64()), zip(*pairs) if pairs else ((), (), ()))
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for kind, c in columns], names=["term", "toxic", "n"])
+
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
-                held.update((t, toxic) for t in one(text.as_py()))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([t for t, _ in held], pa.string()),
-                pa.array([x for _, x in held], pa.int32()),
-                pa.array(list(held.values()), pa.int64()),
-            ],
-            names=["term", "toxic", "n"],
-        )
+                held[toxic].update(one(text.as_py()))
+                if len(held[0]) + len(held[1]) > TERMS_AT_ONCE:
+                    yield counts()
+                    held = Counter(), Counter()
+        yield counts()
 
-    return sample.mapInArrow(run, "term string, toxic int, n long").groupBy("term", "toxic").agg(F.sum("n").alias("n"))
+    of = [F.sum(F.when(F.col("toxic") == x, F.col("n")).otherwise(0)).alias(name) for x, name in ((1, "t"), (0, "c"))]
+    return sample.mapInArrow(run, "term string, toxic int, n long").groupBy("term").agg(*of)
 
 
-def _odds(toxic: int, clean: int, n_toxic: int, n_clean: int) -> float:
-    return math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_clean + 1))
+def _odds(n_toxic: int, n_clean: int) -> Column:
+    """Log odds of a row of counts ``t, c``."""
+    return F.log((F.col("t") + 0.5) / (n_toxic + 1)) - F.log((F.col("c") + 0.5) / (n_clean + 1))
 
 
-def _sure_odds(toxic: int, clean: int, n_toxic: int, n_clean: int) -> float:
+def _sure_odds(n_toxic: int, n_clean: int) -> Column:
     """Log odds less one standard error."""
-    return _odds(toxic, clean, n_toxic, n_clean) - math.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
+    return _odds(n_toxic, n_clean) - F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
+
+
+def _needed(weights: dict[str, float]) -> dict[str, float]:
+    """``weights`` without the terms that a beginning of theirs outweighs at every place.
+
+    A sure whole word stays, since it also counts with marks on its letters.
+    """
+
+    def outweighed(term: str, weight: float) -> bool:
+        if term.endswith(" ") and weight >= SURE_ODDS:
+            return False
+        return any(weights.get(term[: k + 1], -math.inf) >= weight for k in PREFIXES if k + 1 < len(term))
+
+    return {t: w for t, w in weights.items() if not outweighed(t, w)}
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
@@ -184,7 +205,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 
     A term is a word or the beginning of words. Its log odds less their standard error
     are its weight and decide alone, above a few toxic rows that do not grow with the
-    sample: a language with few of the toxic rows keeps its terms. A pair of a term and
+    sample: a language with few of the toxic rows keeps its terms. Odds are computed
+    before anything is collected, so that no term is cut by its frequency. A pair of a term and
     its neighbour that marks clean rows is an exception. The threshold parts the sample's strengths with the fewest errors.
     Without labelled rows of both kinds the seed terms and a fixed threshold hold.
     """
@@ -200,23 +222,16 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         return lambda text: candidates(folder(text))
 
     least = min(MIN_ROWS, max(3.0, MIN_SHARE * n_toxic))
-    frequent = _counted(sample.where("toxic = 1"), words).where(F.col("n") >= least)
-    hits = {r["term"]: r["n"] for r in frequent.orderBy(F.desc("n"), "term").limit(MAX_TERMS).collect()}
-
-    def frequent_words():
-        folder = Folder()
-        return lambda text: candidates(folder(text)) & hits.keys()
-
-    misses = {r["term"]: r["n"] for r in _counted(sample.where("toxic = 0"), frequent_words).collect()}
-    odds = {t: _sure_odds(n, misses.get(t, 0), n_toxic, n_clean) for t, n in hits.items()}
-    weights = seeds | {t: o for t, o in odds.items() if o > MIN_ODDS}
+    counted = _counted(sample, words).where(F.col("t") >= least)
+    sure = counted.select("term", _sure_odds(n_toxic, n_clean).alias("odds")).where(F.col("odds") > MIN_ODDS)
+    weights = _needed(seeds | {r["term"]: r["odds"] for r in sure.orderBy(F.desc("odds"), "term").collect()})
     model = Model(weights, list(SEED_EXCEPTIONS))
     model.exceptions += _exceptions(sample, model, n_toxic, n_clean)
     model.threshold = _threshold(sample, model)
     return model
 
 
-def _exceptions(sample: DataFrame, model: Model, n_toxic: int, n_clean: int, least: int = 5, most: int = 1000) -> list[str]:
+def _exceptions(sample: DataFrame, model: Model, n_toxic: int, n_clean: int, least: int = 5) -> list[str]:
     def pairs():
         matcher = Matcher(model)
 
@@ -234,12 +249,8 @@ def _exceptions(sample: DataFrame, model: Model, n_toxic: int, n_clean: int, lea
 
         return one
 
-    counted = _counted(sample, pairs).groupBy("term").agg(
-        F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("clean"),
-        F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("toxic"),
-    )
-    rows = counted.where(F.col("clean") >= least).orderBy(F.desc("clean"), "term").limit(most).collect()
-    return [r["term"] for r in rows if _odds(r["toxic"], r["clean"], n_toxic, n_clean) < -1]
+    counted = _counted(sample, pairs).where((F.col("c") >= least) & (_odds(n_toxic, n_clean) < -1))
+    return [r["term"] for r in counted.orderBy(F.desc("c"), "term").collect()]
 
 
 def _threshold(sample: DataFrame, model: Model) -> float:
