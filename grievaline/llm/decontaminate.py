@@ -132,10 +132,10 @@ def _search(part: dict, index: np.ndarray, size: int, starts: np.ndarray, slack:
         place = index[first[window] + step] - terms[window, 0] * size
         text = np.searchsorted(starts, place, side="right") - 1
         start = place - offsets[window, 0]
-        inside = start >= starts[text]
-        window, start, text = window[inside], start[inside], text[inside]
         for within in (0, slack):
-            w, s, t = window, start, text
+            # words of a near match may have moved towards the text's first word
+            inside = start >= starts[text] - within
+            w, s, t = window[inside], start[inside], text[inside]
             for k in range(1, terms.shape[1]):
                 wanted = terms[w, k] * size + s + offsets[w, k]
                 at = np.searchsorted(index, np.maximum(wanted - within, terms[w, k] * size))

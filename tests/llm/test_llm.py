@@ -293,6 +293,16 @@ def test_decontamination_awkward_rows(spark, docs, empty):
     assert left.columns == docs.columns and left.count() == len(ROWS) - 3
 
 
+def test_near_passage_at_the_start_of_a_text(spark):
+    items = spark.createDataFrame([(1, "aa bb cc dd ee")], "item_id long, text string")
+    # the rarest word, dd, has moved two places towards the start
+    texts = [(1, "aa dd bb cc ee"), (2, "x y aa dd bb cc ee"), (3, "aa bb cc dd ee"), (4, "dd aa bb cc"), (5, "x")]
+    texts += [(10 + i, "aa bb cc ee") for i in range(3)]
+    found = {r["doc_id"]: r for r in decontaminate.contamination(spark.createDataFrame(texts, "doc_id long, text string"), items).collect()}
+    assert [found[i]["n_near"] for i in (1, 2, 3, 4, 5, 10)] == [1, 1, 1, 0, 0, 0]
+    assert [found[i]["n_hit"] for i in (1, 2, 3, 4, 5)] == [0, 0, 5, 0, 0]
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     table, items = (spark.read.parquet(f"{SMALL}/{n}.parquet") for n in ("documents", "benchmark"))
     names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"]
