@@ -64,6 +64,72 @@ def per_text(
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *fields]))
 
 
+def per_batch(
+    frame: DataFrame,
+    fields: list[T.StructField],
+    make: Callable[[], Callable[[pa.RecordBatch], list[list]]],
+    reads: list[str],
+    carry: list[str] | None = None,
+) -> DataFrame:
+    """``frame`` with ``fields`` computed from batches of the columns that ``reads`` names.
+
+    ``make`` is called once per task; its function gets at most ``ROWS_AT_ONCE`` rows
+    and returns a list of values per field. Columns that bear the name of a field give
+    way to it; all others, or those of ``carry``, come back as they are.
+    """
+    names = {f.name.lower() for f in fields}
+    kept = [c for c in (frame.columns if carry is None else carry) if c.lower() not in names]
+    more = [c for c in reads if c not in kept]
+    places = [kept.index(c) if c in kept else len(kept) + more.index(c) for c in reads]
+    arrow = [pa.field(f.name, _arrow(f.dataType)) for f in fields]
+    read = frame.select(
+        *[frame[f"`{c}`"] for c in kept], *[frame[f"`{c}`"].alias(f"read {i}") for i, c in enumerate(more)]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        several = make()
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                back = batch.select(range(len(kept)))
+                made = several(batch.select(places))
+                yield pa.RecordBatch.from_arrays(
+                    [*back.columns, *[pa.array(m, type=a.type) for m, a in zip(made, arrow)]],
+                    schema=pa.schema([*back.schema, *arrow]),
+                )
+
+    return read.mapInArrow(run, T.StructType([*read.schema.fields[: len(kept)], *fields]))
+
+
+def kept_in_worker(kind: str, key, make: Callable):
+    """``make()``, kept in this Python worker for the tasks that follow.
+
+    A worker holds one object per kind; another key replaces it.
+    """
+    kept = sys.__dict__.setdefault("_grievaline_kept", {})
+    if kept.get(kind, (None,))[0] != key:
+        kept[kind] = (key, make())
+    return kept[kind][1]
+
+
+class Recent:
+    """A bounded cache: what was not asked for while ``size`` others came is forgotten."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def get_or(self, key, make: Callable):
+        found = self.new.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is None:
+                found = make(key)
+            if len(self.new) >= self.size:
+                self.old, self.new = self.new, {}
+            self.new[key] = found
+        return found
+
+
 def _arrow(kind: T.DataType) -> pa.DataType:
     simple = {
         T.LongType(): pa.int64(),
