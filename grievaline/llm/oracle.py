@@ -81,10 +81,35 @@ SELECT doc_id, size, source_size, target,
 FROM ranked
 """
 
+OP12 = f"""
+WITH docs AS (
+    SELECT doc_id, regexp_extract_all({LOWER}, '{TERMS}') AS w FROM documents
+), totals AS (
+    SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_words FROM docs WHERE len(w) > 0
+), postings AS (
+    SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS term FROM docs)
+    GROUP BY ALL
+), asked AS (
+    SELECT item_id, term, count(*) AS qtf
+    FROM (SELECT item_id, unnest(regexp_extract_all({LOWER}, '{TERMS}')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark))
+    GROUP BY ALL
+), weights AS (
+    SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+    FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), totals
+), scores AS (
+    SELECT item_id, doc_id, CAST(sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_words)))) AS BIGINT) AS score
+    FROM asked JOIN weights USING (term) JOIN postings USING (term), totals
+    GROUP BY ALL HAVING score > 0
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores QUALIFY rank <= 20
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_warc_from_arc": OP2,
         "op7_benchmark_decontamination": OP7,
         "op10_mixing": OP10,
+        "op12_ranked_search": OP12,
     }

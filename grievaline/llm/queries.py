@@ -1,13 +1,32 @@
-"""The ten operators and the pipeline as queries over their whole tables."""
+"""The operators and the pipeline as queries over their whole tables."""
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grievaline.llm import chat, decontaminate, hnsw, langid, mixing, orc_tokens, shards, simhash, toxicity, warc
+from grievaline.llm import (
+    chat,
+    decontaminate,
+    hnsw,
+    langid,
+    mixing,
+    orc_tokens,
+    periodic,
+    ranked,
+    shards,
+    simhash,
+    token_counts,
+    toxicity,
+    warc,
+)
+from grievaline.llm.common import travels
 from grievaline.sources.tables import read_table
 
+travels(__name__)
+
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -100,6 +119,34 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def planted(doc_id, words: list[bytes]) -> list[bytes]:
+    """Every tenth document, by the checksum of its id, goes on with a period of its own."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic.periodic_runs(docs, prepare=planted, carry=["doc_id"])
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked.build_index(read_table(spark, sf_dir, "documents"))
+    return ranked.search(read_table(spark, sf_dir, "benchmark"), index)
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), carry=["doc_id"])
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
