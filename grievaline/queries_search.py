@@ -6,14 +6,18 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from grievaline.functions.text import hashed_counts, strip
-from grievaline.operators.nearest import nearest, search_blocks
-from grievaline.plans import resolution, retrieval
+from grievaline.operators import impacts, ivfpq
+from grievaline.operators.nearest import nearest
+from grievaline.plans import forecast, resolution, retrieval
 from grievaline.queries_requests import given
 from grievaline.registry import registered
-from grievaline.sources.tables import read_table, spread
+from grievaline.sources.sinks import write_batch
+from grievaline.sources.tables import read_table, spread, stream_table
 from grievaline.sources.workdir import new_dir, pinned
+from grievaline.streaming.runs import run_stream
 
 SPLIT = "1997-01-01 00:00:00"
+FIT_UNTIL, TOLD_FROM = "1998-01-01 00:00:00", "1999-07-01 00:00:00"
 
 
 def vectors(spark, sf_dir):
@@ -48,28 +52,34 @@ def topk_l2(spark, sf_dir):
     return nearest(vector_queries(spark, sf_dir), vectors(spark, sf_dir), 4, "l2")
 
 
+def vector_index(spark, sf_dir):
+    return ivfpq.build(vectors(spark, sf_dir), new_dir(spark, "vector_index"))
+
+
 @registered
 def topk_lsh(spark, sf_dir):
-    queries, stored = vector_queries(spark, sf_dir), vectors(spark, sf_dir)
-    joined = retrieval.audited_joined(queries, stored)
-    return retrieval.nearest_by_buckets(queries, stored, joined=joined)
+    """The approximate search: coded vectors in cells, the best of them compared exactly."""
+    return ivfpq.search(vector_index(spark, sf_dir), vector_queries(spark, sf_dir), 4)
 
 
 @registered
 def topk_lsh_recall(spark, sf_dir):
-    """How many of the exact neighbours the bucket search finds, and what share of all pairs it scores."""
+    """How many of the exact neighbours the index finds, what share of all pairs it
+    compares, and what share it estimates by code. The built index is opened again."""
     pair = ["query_id", "vector_id"]
     queries, stored = vector_queries(spark, sf_dir), vectors(spark, sf_dir)
-    sides = retrieval.bucket_sides(queries, stored, joined=retrieval.audited_joined(queries, stored))
+    index = ivfpq.open_index(spark, vector_index(spark, sf_dir).path)
     exact = topk_l2(spark, sf_dir).select(*pair)
-    found = search_blocks(*sides, 4, "l2", repeats=True).select(*pair, F.lit(1).alias("hit"))
-    rows = exact.join(found, pair, "left")
+    found = ivfpq.search(index, queries, 4).select(*pair, F.lit(1).alias("hit"))
+    compared, estimated = ivfpq.compared(index, queries, 4)
     every = queries.select(F.count("*")).scalar() * stored.select(F.count("*")).scalar()
+    rows = exact.join(found, pair, "left")
     return rows.agg(
         F.count("*").alias("n_exact"),
         F.count("hit").alias("n_found"),
         (F.count("hit") / F.count("*")).alias("recall"),
-        F.any_value(retrieval.scored_pairs(*sides) / every).alias("scored_share"),
+        F.any_value(compared.select(F.count("*")).scalar() / every).alias("scored_share"),
+        F.any_value(estimated / every).alias("estimated_share"),
     )
 
 
@@ -87,18 +97,34 @@ def text_to_vector(spark, sf_dir):
     return model.transform(rows).select("doc_id", vector_to_array("features").alias("vec"))
 
 
+def passage_index(spark, sf_dir):
+    """The stored passages and the term index over them."""
+    stored = pinned(retrieval.numbered_passages(documents(spark, sf_dir)))
+    return stored, impacts.build(stored, new_dir(spark, "term_index"))
+
+
 @registered
 def rule_search(spark, sf_dir):
-    texts = retrieval.passages(documents(spark, sf_dir).select("doc_id", "text"))
-    index = pinned(retrieval.text_vectors(texts, "id", "id"))
-    hits = retrieval.rule_search(questions(spark, sf_dir), index)
-    return hits.select("query_id", "rank", F.col("vector_id").alias("id"), "score")
+    _, index = passage_index(spark, sf_dir)
+    return retrieval.rule_search(questions(spark, sf_dir), index)
+
+
+@registered
+def rule_search_blocks(spark, sf_dir):
+    """How many posting blocks the questions' words have, and how many were not read."""
+    _, index = passage_index(spark, sf_dir)
+    rows = impacts.search(questions(spark, sf_dir), index, retrieval.TOP_K).where("rank = 1")
+    return rows.agg(
+        F.count("*").alias("n_questions"),
+        F.sum("n_blocks").alias("n_blocks"),
+        F.sum(F.col("n_blocks") - F.col("n_read")).alias("n_skipped"),
+    )
 
 
 @registered
 def rag_result(spark, sf_dir):
-    index = pinned(retrieval.passage_index(documents(spark, sf_dir)))
-    rows = retrieval.rag_result(questions(spark, sf_dir), index)
+    stored, index = passage_index(spark, sf_dir)
+    rows = retrieval.rag_result(questions(spark, sf_dir), index, stored)
     place = F.transform("docs", lambda d: F.concat_ws(":", d["source"], d["page"].cast("string")))
     text = F.array_join(F.transform("docs", lambda d: d["text"]), "\n")
     return rows.select(
@@ -138,6 +164,44 @@ def resolution_model(spark, sf_dir):
     return resolution.resolution_model(history(spark, sf_dir), SPLIT, path)
 
 
+@registered
+def resolution_forecast(spark, sf_dir):
+    """How often the days of later complaints lie in the interval that was told for them."""
+    path, rows = new_dir(spark, "forecast"), pinned(history(spark, sf_dir))
+    forecast.fit_forecast(rows, FIT_UNTIL, path)
+    later = rows.where((F.col("days") >= 0) & (F.col("filed_at") >= F.lit(TOLD_FROM).cast("timestamp_ntz")))
+    return forecast.coverage(forecast.forecast(later, path))
+
+
+@registered
+def model_scores(spark, sf_dir):
+    """Expected days of every complaint from the saved trees, scored in Python workers."""
+    path, rows = new_dir(spark, "scores"), pinned(history(spark, sf_dir))
+    forecast.fit_forecast(rows, FIT_UNTIL, path)
+    return forecast.batch_scores(rows.select("complaint_id", *resolution.GROUPS, "filed_at"), path).select(
+        "complaint_id", "expected"
+    )
+
+
+@registered
+def resolution_backoff(spark, sf_dir):
+    """Expected days for every complaint's groups; a seventh name a priority that is new."""
+    rows = history(spark, sf_dir)
+    new = F.when(F.col("complaint_id") % 7 == 0, "9-NEW").otherwise(F.col("priority"))
+    asked = rows.select("complaint_id", "zone", "category", new.alias("priority"))
+    return forecast.backed_off(asked, rows)
+
+
+@registered
+def drift_windows(spark, sf_dir):
+    """Drift of the event values per week, from daily sketches that a stream has closed."""
+    target = new_dir(spark, "drift")
+    events = stream_table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    sketches = forecast.daily_sketches(events, "event_type", "value", "ts")
+    run_stream(sketches, lambda batch, n: write_batch(batch, f"{target}/days", n), f"{target}/checkpoint")
+    return forecast.sliding_drift(spark.read.parquet(f"{target}/days"), "2024-01-11")
+
+
 @registered
 def feature_drift(spark, sf_dir):
     return resolution.feature_drift(history(spark, sf_dir), SPLIT)

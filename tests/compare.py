@@ -44,3 +44,10 @@ def difference(frame, con, sql: str) -> str | None:
         f"{len(left)} vs {len(right)} rows; only left {sorted(a - b)[:2]}; "
         f"only right {sorted(b - a)[:2]}"
     )
+
+
+def files_read(frame) -> int:
+    """How many files the scan of a plain filtered table opens."""
+    frame.collect()
+    leaf = frame._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return leaf.metrics().apply("numFiles").value()

@@ -15,8 +15,12 @@ ROWS_ONLY = {
     "journey_ids",
     "topk_lsh",
     "topk_lsh_recall",
+    "rule_search_blocks",
     "text_to_vector",
     "resolution_model",
+    "resolution_forecast",
+    "model_scores",
+    "drift_windows",
 }
 
 
