@@ -146,6 +146,33 @@ query(
     """SELECT request_id, coalesce(c.train_number, l.train_number) AS train_number, coalesce(c.pnr, l.pnr) AS pnr
       FROM v_clean c LEFT JOIN v_latest l ON c.user_id = l.user_id""",
 )
+view(
+    "v_as_of",
+    """SELECT r.request_id, r.user_id, r.asked_at, r.train_number, r.pnr, j.journey_id, j.class, j.created_at,
+        j.train_number AS booked_train, j.pnr AS booked_pnr
+      FROM (SELECT request_id, CASE WHEN trim(user_id) <> '' THEN user_id END AS user_id, asked_at, train_number,
+          CASE WHEN trim(pnr) <> '' THEN pnr END AS pnr FROM f_timed_requests) r
+      ASOF LEFT JOIN (SELECT * FROM f_journey
+          QUALIFY row_number() OVER (PARTITION BY user_id, created_at ORDER BY journey_id DESC) = 1) j
+        ON r.user_id = j.user_id AND r.asked_at >= j.created_at""",
+)
+query(
+    "booking_as_of",
+    """SELECT request_id, user_id, journey_id, class, strftime(created_at, '%Y-%m-%d') AS booked_on FROM v_as_of""",
+)
+query(
+    "journey_status_as_of",
+    """SELECT request_id, CASE WHEN user_id IS NULL THEN 'error' WHEN journey_id IS NULL THEN 'not_found'
+        ELSE 'success' END AS status,
+      CASE WHEN user_id IS NULL THEN 'Journey lookup not available.'
+        WHEN journey_id IS NULL THEN 'No booking on file for this user.' ELSE '' END AS message,
+      journey_id, booked_pnr AS pnr, booked_train AS train_number, class FROM v_as_of""",
+)
+query(
+    "fill_from_journey_as_of",
+    """SELECT request_id, coalesce(train_number, booked_train) AS train_number, coalesce(pnr, booked_pnr) AS pnr
+      FROM v_as_of""",
+)
 query(
     "users_without_first_class",
     """SELECT user_id FROM f_users u

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from grievaline.functions.labels import lookup
 from grievaline.functions.payloads import TICKET_KEYS
 from grievaline.functions.text import present
+from grievaline.operators.asof import as_of_join
 from grievaline.operators.hotkeys import lookup_join
 
 POINT_READ = f"""
@@ -23,6 +24,24 @@ def read_latest(spark: SparkSession, journeys: DataFrame, user_id: str) -> DataF
     return spark.sql(POINT_READ, args={"user_id": user_id}, journeys=journeys)
 
 
+def store_by_user(journeys: DataFrame, path: str, row_group_bytes: int = 1 << 20) -> DataFrame:
+    """The bookings laid out for point reads: sorted by user over files and row groups.
+
+    Ranges of users go to files, so that statistics and the page index leave few row
+    groups for a user; the Bloom filter spares those whose range merely spans it. A user
+    with very many bookings is spread over files by the time.
+    """
+    order = ["user_id", "created_at", "journey_id"]
+    (
+        journeys.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .write.option("parquet.bloom.filter.enabled#user_id", "true")
+        .option("parquet.block.size", str(row_group_bytes))
+        .parquet(path)
+    )
+    return journeys.sparkSession.read.parquet(path)
+
+
 def latest_journey(journeys: DataFrame) -> DataFrame:
     """The newest booking of every user; equal times are settled by the booking id.
 
@@ -39,26 +58,37 @@ def latest_by_aggregate(journeys: DataFrame) -> DataFrame:
     return journeys.groupBy("user_id").agg(newest.alias("j")).select("user_id", "j.*")
 
 
-def journey_status(requests: DataFrame, journeys: DataFrame) -> DataFrame:
-    """Every request with the booking of its user, or why there is none."""
-    booked = latest_journey(
-        journeys.select("user_id", "created_at", "journey_id", "pnr", "train_number", "class")
-    ).drop("created_at")
-    asked = requests.select("request_id", present(F.col("user_id")).alias("user_id"))
-    found = lookup_join(asked, booked, "user_id", "request_id")
-    status = (
+def lookup_status() -> Column:
+    return (
         F.when(F.col("user_id").isNull(), "error")
         .when(F.col("journey_id").isNull(), "not_found")
         .otherwise("success")
     )
-    message = (
+
+
+def lookup_message() -> Column:
+    return (
         F.when(F.col("user_id").isNull(), "Journey lookup not available.")
         .when(F.col("journey_id").isNull(), "No booking on file for this user.")
         .otherwise("")
     )
+
+
+def journey_status(requests: DataFrame, journeys: DataFrame) -> DataFrame:
+    """Every request with the booking of its user, or why there is none."""
+    booked = latest_journey(
+        journeys.select("user_id", "created_at", "journey_id", "pnr", "train_number", "class")
+    ).drop("created_at")
+    asked = requests.select("request_id", present(F.col("user_id")).alias("user_id"))
+    found = lookup_join(asked, booked, "user_id", "request_id")
     return found.select(
-        "request_id", status.alias("status"), message.alias("message"), "journey_id", "pnr",
-        "train_number", "class",
+        "request_id",
+        lookup_status().alias("status"),
+        lookup_message().alias("message"),
+        "journey_id",
+        "pnr",
+        "train_number",
+        "class",
     )
 
 
@@ -83,6 +113,57 @@ def fill_from_journey(requests: DataFrame, journeys: DataFrame) -> DataFrame:
     )
 
 
+BOOKED = ["journey_id", "pnr", "train_number", "class", "created_at"]
+
+
+def booking_as_of(requests: DataFrame, journeys: DataFrame) -> DataFrame:
+    """``request_id, asked_at`` with the user's booking as it stood at that time.
+
+    That is the newest one made at or before the request, equal times settled by the
+    booking id; a blank user has none.
+    """
+    asked = requests.select("request_id", present(F.col("user_id")).alias("user_id"), "asked_at")
+    booked = journeys.select("user_id", *BOOKED)
+    found = as_of_join(asked, booked, "user_id", "asked_at", "created_at", "journey_id", BOOKED)
+    return found.withColumnRenamed("created_at", "booked_at")
+
+
+def status_as_of(requests: DataFrame, journeys: DataFrame) -> DataFrame:
+    """Status and message of a lookup made when the request came, with its booking."""
+    found = booking_as_of(requests, journeys)
+    return found.select(
+        "request_id",
+        lookup_status().alias("status"),
+        lookup_message().alias("message"),
+        "journey_id",
+        "pnr",
+        "train_number",
+        "class",
+    )
+
+
+def fill_as_of(requests: DataFrame, journeys: DataFrame) -> DataFrame:
+    """Train and PNR of a request, where absent from the booking of that time."""
+    asked = requests.select(
+        "request_id",
+        "asked_at",
+        present(F.col("user_id")).alias("user_id"),
+        *[present(F.col(c)).alias(f"own_{c}") for c in ("train_number", "pnr")],
+    )
+    found = as_of_join(
+        asked,
+        journeys.select("user_id", "created_at", "journey_id", "train_number", "pnr"),
+        "user_id",
+        "asked_at",
+        "created_at",
+        "journey_id",
+        ["train_number", "pnr"],
+    )
+    return found.select(
+        "request_id", *[F.coalesce(f"own_{c}", c).alias(c) for c in ("train_number", "pnr")]
+    )
+
+
 def users_without_journey(users: DataFrame, journeys: DataFrame) -> DataFrame:
     """Users with no booking; bookings shrink to one row per user before they travel."""
     return users.join(journeys.select("user_id").distinct(), "user_id", "left_anti")

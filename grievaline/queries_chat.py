@@ -10,6 +10,7 @@ from grievaline.plans import conversations as chat
 from grievaline.queries_requests import given, translations
 from grievaline.registry import registered
 from grievaline.sources.shapes import UI_LABELS
+from grievaline.sources.workdir import new_dir
 
 
 def calls(spark, sf_dir):
@@ -144,7 +145,9 @@ def journey_caption(spark, sf_dir):
 
 @registered
 def journey_point_read(spark, sf_dir):
-    return bookings.read_latest(spark, given(spark, sf_dir, "f_journey"), "7")
+    """One user's newest booking, from bookings that are stored for such reads."""
+    stored = bookings.store_by_user(given(spark, sf_dir, "f_journey"), new_dir(spark, "bookings"))
+    return bookings.read_latest(spark, stored, "7")
 
 
 def shown(rows):
@@ -177,6 +180,28 @@ def fill_from_journey(spark, sf_dir):
     )
 
 
+def timed(spark, sf_dir):
+    return given(spark, sf_dir, "f_timed_requests"), given(spark, sf_dir, "f_journey")
+
+
+@registered
+def booking_as_of(spark, sf_dir):
+    """The booking as it stood when each request came; a third of them are one user's."""
+    rows = bookings.booking_as_of(*timed(spark, sf_dir))
+    day = F.date_format("booked_at", "yyyy-MM-dd")
+    return rows.select("request_id", "user_id", "journey_id", "class", day.alias("booked_on"))
+
+
+@registered
+def journey_status_as_of(spark, sf_dir):
+    return bookings.status_as_of(*timed(spark, sf_dir))
+
+
+@registered
+def fill_from_journey_as_of(spark, sf_dir):
+    return bookings.fill_as_of(*timed(spark, sf_dir))
+
+
 @registered
 def users_without_first_class(spark, sf_dir):
     """Users without a booking in first class; the given users all have some booking."""

@@ -207,6 +207,22 @@ JOURNEY = Shape(
     },
 )
 
+# Requests with a time: the month of events stretched over the years of the bookings, to
+# the day, so that a request and a booking may fall on one time.
+TIMED_REQUESTS = Shape(
+    "events",
+    {
+        "request_id": "event_id",
+        "user_id": "CASE WHEN event_id % 19 = 0 THEN ' ' WHEN event_id % 3 = 0 THEN '7' "
+        "ELSE CAST(user_id AS STRING) END",
+        "asked_at": "CASE WHEN event_id % 23 > 0 THEN CAST(DATE '1995-01-01' + "
+        "CAST(80 * (extract(DAY FROM ts) - 1) + 3 * extract(HOUR FROM ts) AS INT) AS TIMESTAMP) END",
+        "train_number": "CASE WHEN event_id % 4 = 0 THEN CAST(12000 + event_id % 900 AS STRING) END",
+        "pnr": "CASE WHEN event_id % 5 = 0 THEN lpad(CAST(event_id AS STRING), 10, '4') "
+        "WHEN event_id % 5 = 1 THEN ' ' END",
+    },
+)
+
 USERS = Shape(
     "customer",
     {
@@ -227,6 +243,16 @@ USERS = Shape(
     },
 )
 
+# Registrations arrive by customer number, up to two hours out of the order of their times.
+REGISTRATIONS = Shape(
+    "customer",
+    {
+        **USERS.columns,
+        "registered_at": "CAST(DATE '2024-01-01' AS TIMESTAMP) + INTERVAL '1' MINUTE * "
+        "CAST(floor(c_custkey / 4) + (c_custkey * 7) % 120 AS INT)",
+    },
+)
+
 HISTORY = Shape(
     "conversations",
     {
@@ -382,7 +408,9 @@ NAMED: dict[str, Shape] = {
     "f_image_bytes": IMAGE_BYTES,
     "f_images": IMAGES,
     "f_journey": JOURNEY,
+    "f_timed_requests": TIMED_REQUESTS,
     "f_users": USERS,
+    "f_registrations": REGISTRATIONS,
     "f_documents": DOCUMENTS,
     "f_old_documents": OLD_DOCUMENTS,
     "f_new_documents": NEW_DOCUMENTS,

@@ -15,6 +15,7 @@ from grievaline.sources import workdir
 from grievaline.sources.shapes import shaped
 from grievaline.sources.sinks import append_missing
 from grievaline.sources.tables import read_table
+from grievaline.sources.workdir import new_dir
 from grievaline.streaming import bookings as booking_stream
 from grievaline.streaming import index, registrations, scoring
 
@@ -432,3 +433,17 @@ def test_rounds_of_any_size_and_parsed_arguments(spark):
         {"tool": "rag_search", "args": {}, "result": "success"},
         {"tool": "rag_search", "args": {}, "result": "success"},
     ]
+
+
+def test_stored_bookings_are_read_by_row_group(spark):
+    """The registered point read pushes its key down and skips most of the stored row groups."""
+    frame = QUERIES["journey_point_read"](spark, "/root/testdata/sf0.01")
+    assert "EqualTo(user_id,7)" in plan(frame)
+    stored = bookings.store_by_user(
+        given(spark, "/root/testdata/sf0.01", "f_journey"), new_dir(spark, "bookings"), row_group_bytes=20_000
+    )
+    one = bookings.read_latest(spark, stored, "7")
+    rows = one.collect()
+    leaf = one._jdf.queryExecution().executedPlan().collectLeaves().head()
+    read = leaf.metrics().apply("numOutputRows").value()
+    assert len(rows) == 1 and read < stored.count() / 10
