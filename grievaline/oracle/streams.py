@@ -5,6 +5,7 @@ from grievaline.oracle.build import QUERIES, query, view
 query("registration_stream", QUERIES["user_append"])
 query("request_stream", QUERIES["unify_output"])
 query("latest_journey_stream", QUERIES["latest_journey"])
+query("latest_journey_changes", QUERIES["latest_journey"])
 view(
     "v_new_slots",
     """SELECT doc_id, start, text, list_transform(list_filter(

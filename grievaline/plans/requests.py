@@ -102,8 +102,8 @@ def split_required(images: DataFrame) -> DataFrame:
     )
 
 
-def validate_phone(users: DataFrame) -> DataFrame:
-    """Outer blanks off, then exactly ten decimal digits of any script."""
+def validate_phone(users: DataFrame, *more: str) -> DataFrame:
+    """Outer blanks off, then exactly ten decimal digits of any script; ``more`` columns stay."""
     phone = strip(F.coalesce(F.col("phone"), F.lit("")))
     valid = phone.rlike(r"\A\p{Nd}{10}\z")
     return users.select(
@@ -111,6 +111,7 @@ def validate_phone(users: DataFrame) -> DataFrame:
         phone.alias("phone_number"),
         valid.alias("accepted"),
         F.when(valid, "").otherwise("Phone number must be exactly 10 digits.").alias("reason"),
+        *more,
     )
 
 

@@ -21,7 +21,7 @@ def arriving(spark, sf_dir, name):
 def registration_stream(spark, sf_dir):
     target = new_dir(spark, "registrations")
     registrations.registration_stream(
-        arriving(spark, sf_dir, "f_users"), target, f"{target}/checkpoint"
+        arriving(spark, sf_dir, "f_registrations"), target, f"{target}/checkpoint"
     )
     return spark.read.parquet(f"{target}/users").select("user_id", "phone_number")
 
@@ -66,3 +66,13 @@ def latest_journey_stream(spark, sf_dir):
         arriving(spark, sf_dir, "f_journey"), f"{target}/updates", f"{target}/checkpoint"
     )
     return shown(bookings.current_journeys(spark.read.parquet(f"{target}/updates")))
+
+
+@registered
+def latest_journey_changes(spark, sf_dir):
+    """The last change of every user's newest booking, from keyed state."""
+    target = new_dir(spark, "changes")
+    bookings.booking_changes(
+        arriving(spark, sf_dir, "f_journey"), f"{target}/updates", f"{target}/checkpoint"
+    )
+    return shown(bookings.current_journeys(spark.read.parquet(f"{target}/updates")))

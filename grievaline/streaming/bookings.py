@@ -2,14 +2,109 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from grievaline.plans.bookings import latest_by_aggregate
 from grievaline.sources.sinks import write_batch
 from grievaline.streaming.runs import run_stream
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+class NewestBooking(StatefulProcessor):
+    """Keeps a user's newest booking as a value state and tells when it changes.
+
+    Bookings come as ``created_at, journey_id`` and further columns. With ``keep_ms`` a
+    timer clears the state that long after the booking's time, by the watermark. Bookings
+    older than the watermark do not arrive any more, so what comes later is newer than
+    the cleared one.
+    """
+
+    def __init__(self, names: list[str], kinds: str, keep_ms: int | None):
+        self.names, self.kinds, self.keep_ms = names, kinds, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", self.kinds)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = self.newest.get()
+        place = None if held is None else (pd.Timestamp(held[0]), held[1])
+        best = None
+        for frame in rows:
+            for row in frame[self.names].itertuples(index=False, name=None):
+                if place is None or row[:2] > place:
+                    best, place = row, row[:2]
+        if best is None:
+            return
+        self.newest.update((best[0].to_pydatetime(), *best[1:]))
+        if self.keep_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(int(best[0].timestamp() * 1000) + self.keep_ms)
+        yield pd.DataFrame([(*key, *best)], columns=["user_id", *self.names])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.newest.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def booking_changes(
+    journeys: DataFrame,
+    target: str,
+    checkpoint: str,
+    every: str | None = None,
+    delay: str | None = None,
+    keep_ms: int | None = None,
+) -> StreamingQuery:
+    """Writes a row when a user's newest booking changes, and nothing else.
+
+    The state is one value per user in the RocksDB store. With ``delay`` and ``keep_ms``
+    bookings later than ``delay`` are left out and users without a booking for
+    ``keep_ms`` (at least the delay) leave the state.
+    """
+    spark = journeys.sparkSession
+    first = ["created_at", "journey_id"]
+    given = [*first, *[c for c in journeys.columns if c not in (*first, "user_id")]]
+    # A column may be named like a word of Python, such as ``class``.
+    names = [f"v{i}" for i in range(len(given))]
+    rows = journeys.where("user_id IS NOT NULL AND created_at IS NOT NULL").select(
+        "user_id",
+        F.col("created_at").cast("timestamp").alias("v0"),
+        *[F.col(c).alias(n) for n, c in list(zip(names, given))[1:]],
+    )
+    if delay is not None:
+        rows = rows.withWatermark("v0", delay)
+    kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
+    changes = rows.groupBy("user_id").transformWithStateInPandas(
+        NewestBooking(names, kinds, keep_ms),
+        f"user_id {rows.schema['user_id'].dataType.simpleString()}, {kinds}",
+        "Append",
+        "EventTime" if keep_ms is not None else "None",
+    )
+    told = changes.select("user_id", *[F.col(n).alias(c) for n, c in zip(names, given)])
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, ROCKSDB)
+    try:
+        return run_stream(
+            told, lambda batch, batch_id: write_batch(batch, target, batch_id), checkpoint, every=every
+        )
+    finally:
+        spark.conf.set(STORE, before)
+
 
 def latest_journey_stream(
     journeys: DataFrame, target: str, checkpoint: str, every: str | None = None

@@ -1,8 +1,15 @@
-"""Phone registrations as a stream."""
+"""Phone registrations as a stream, with event times, repeats and late arrivals.
+
+Two queries follow each other. The first answers every registration and parts the valid
+ones into those on time and the late ones, which go to a table of their own. The second
+drops repeats of a user within the watermark, with a state that forgets users behind it,
+and inserts who is not in the user table yet; that table is kept in slots by user, and a
+batch reads only the slots of its users.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -10,30 +17,98 @@ from grievaline.plans.requests import validate_phone
 from grievaline.sources.sinks import first_per_key, read_or_none, write_batch
 from grievaline.streaming.runs import run_stream
 
+SLOTS = 256
+DELAY = "1 day"
+ACCEPTED = "user_id string, phone_number string, registered_at timestamp"
 
-def registration_stream(
-    users: DataFrame, target: str, checkpoint: str, every: str | None = None
+
+def slot_of(key: str):
+    return F.pmod(F.xxhash64(key), F.lit(SLOTS)).cast("int")
+
+
+def late_mark(spark: SparkSession, target: str, batch_id: int, delay: str):
+    """The time before which rows of a batch are late: the newest time of all batches
+    before it, less the delay; null for the first one."""
+    marks = read_or_none(spark, f"{target}/marks")
+    if marks is None:
+        return None
+    newest = marks.where(F.col("batch") < batch_id).agg(F.max("newest").alias("newest"))
+    return newest.select(F.col("newest") - F.expr(f"INTERVAL {delay}")).first()[0]
+
+
+def answer_stream(
+    users: DataFrame, target: str, checkpoint: str, delay: str = DELAY, every: str | None = None
 ) -> StreamingQuery:
-    """Answers every registration and inserts the valid ones once per user.
+    """Answers all rows (``target/answers``) and parts the valid ones by lateness.
 
-    ``target/answers`` holds status and reason of all rows, ``target/users`` the
-    accepted users, of repeats in a batch the smallest phone. A batch that fails is run again and replaces its own folder, so
-    no insert is lost or doubled.
+    Input is ``user_id, phone, registered_at``. ``target/on_time`` and ``target/late`` hold
+    the accepted rows, ``target/marks`` the newest time of each batch.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        checked = validate_phone(batch)
-        write_batch(checked, f"{target}/answers", batch_id)
-        accepted = checked.where("accepted").select("user_id", "phone_number")
-        fresh = first_per_key(accepted, "user_id")
-        held = read_or_none(batch.sparkSession, f"{target}/users")
-        if held is not None:
-            earlier = held.where(F.col("batch") < batch_id).select("user_id")
-            fresh = fresh.join(earlier, "user_id", "left_anti")
-        write_batch(
-            fresh.select("user_id", "phone_number", F.current_timestamp().alias("created_at")),
-            f"{target}/users",
-            batch_id,
-        )
+        spark = batch.sparkSession
+        write_batch(validate_phone(batch, "registered_at"), f"{target}/answers", batch_id)
+        checked = spark.read.parquet(f"{target}/answers/batch={batch_id}")
+        newest = checked.agg(F.max("registered_at").alias("newest"))
+        write_batch(newest.coalesce(1), f"{target}/marks", batch_id)
+        mark = late_mark(spark, target, batch_id, delay)
+        late = F.lit(False) if mark is None else F.coalesce(F.col("registered_at") < F.lit(mark), F.lit(True))
+        rows = checked.where("accepted").select("user_id", "phone_number", "registered_at")
+        write_batch(rows.where(late), f"{target}/late", batch_id)
+        write_batch(rows.where(~late), f"{target}/on_time", batch_id)
 
     return run_stream(users, each, checkpoint, every=every)
+
+
+def insert_missing(rows: DataFrame, target: str, batch: str) -> None:
+    """Inserts the users of ``rows`` that the table lacks, once each, as a folder ``batch``.
+
+    Only the slots of these users are read, at most ``SLOTS`` numbers are collected. A
+    repeated call with one ``batch`` leaves out what it wrote before and writes it again.
+    """
+    spark = rows.sparkSession
+    one = first_per_key(rows.select("user_id", "phone_number", "registered_at"), "user_id").withColumn("slot", slot_of("user_id"))
+    held = read_or_none(spark, f"{target}/users")
+    if held is not None:
+        slots = [r["slot"] for r in one.select("slot").distinct().collect()]
+        earlier = held.where(F.col("slot").isin(slots) & (F.col("batch") != batch))
+        one = one.join(earlier.select("user_id"), "user_id", "left_anti")
+    one = one.select("user_id", "phone_number", "registered_at", F.current_timestamp().alias("created_at"), "slot", F.lit(batch).alias("batch"))
+    # a replay of the batch replaces its own folders
+    one.repartition("slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot", "batch").parquet(f"{target}/users")
+
+
+def insert_stream(
+    spark: SparkSession, target: str, checkpoint: str, delay: str = DELAY, every: str | None = None
+) -> StreamingQuery:
+    """Inserts the users that arrived on time; repeats within the delay meet the state only."""
+    on_time = (
+        spark.readStream.schema(ACCEPTED + ", batch long").parquet(f"{target}/on_time")
+        .select("user_id", "phone_number", "registered_at")
+        .withWatermark("registered_at", delay)
+        .dropDuplicatesWithinWatermark(["user_id"])
+    )
+    return run_stream(
+        on_time, lambda batch, batch_id: insert_missing(batch, target, f"b{batch_id}"), checkpoint, every=every
+    )
+
+
+def insert_late(spark: SparkSession, target: str, name: str) -> None:
+    """Inserts the users who only registered late, in a batch of their own, ``name``."""
+    late = read_or_none(spark, f"{target}/late")
+    if late is not None:
+        insert_missing(late, target, name)
+
+
+def registration_stream(
+    users: DataFrame, target: str, checkpoint: str, every: str | None = None, delay: str = DELAY
+) -> StreamingQuery:
+    """Both queries over everything that has arrived; with ``every`` both keep running.
+
+    Rows without a ``registered_at`` column get the time of their arrival. Returns the
+    inserting query, whose progress tells the size of the state.
+    """
+    if "registered_at" not in users.columns:
+        users = users.withColumn("registered_at", F.current_timestamp())
+    answer_stream(users, target, f"{checkpoint}/answers", delay, every)
+    return insert_stream(users.sparkSession, target, f"{checkpoint}/inserts", delay, every)
