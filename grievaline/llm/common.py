@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +31,32 @@ def without(frame: DataFrame, *names: str) -> DataFrame:
     return frame.select([frame[f"`{c}`"] for c in frame.columns if c.lower() not in taken])
 
 
+def holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(holds_map(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return holds_map(kind.elementType)
+    return isinstance(kind, T.MapType)
+
+
+def row_hash(frame: DataFrame, *more: Column) -> Column:
+    """A hash of all columns of a row; maps, which Spark cannot hash, go in as JSON."""
+    columns = [
+        F.to_json(F.struct(F.col(f"`{f.name}`"))) if holds_map(f.dataType) else F.col(f"`{f.name}`")
+        for f in frame.schema.fields
+    ]
+    return F.xxhash64(*columns, *more)
+
+
+def boxed(frame: DataFrame) -> Column:
+    """All columns of a row as one struct, out of the way of helper columns."""
+    return F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(frame.columns)])
+
+
+def unboxed(names: list[str], box: str) -> list[Column]:
+    return [F.col(box).getField(f"c{i}").alias(c) for i, c in enumerate(names)]
+
+
 def per_text(
     frame: DataFrame,
     text: str,

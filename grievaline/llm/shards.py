@@ -11,7 +11,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grievaline.llm.common import pinned, without
+from grievaline.llm.common import pinned, row_hash, without
 
 POSITION_BITS = 33  # of monotonically_increasing_id
 SIGMAS = 9.0  # the tails beyond weigh less than a double can tell
@@ -141,9 +141,8 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 8, seed: int = 1, block_r
     """
     docs = without(docs, "shard", "slot")
     names = [F.col(f"`{c}`") for c in docs.columns]
-    boxed = docs.select(F.struct(*names).alias("doc"))
     local = (
-        boxed.withColumn("u", F.xxhash64("doc", F.lit(seed), F.monotonically_increasing_id()))
+        docs.select(F.struct(*names).alias("doc"), row_hash(docs, F.lit(seed), F.monotonically_increasing_id()).alias("u"))
         .sortWithinPartitions("u")
         .select("doc", F.monotonically_increasing_id().alias("at"))
     )

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grievaline.llm.common import components, grouped_rows, per_text, pinned, travels, without
+from grievaline.llm.common import boxed, components, grouped_rows, per_text, pinned, row_hash, travels, unboxed, without
 from grievaline.operators.hotkeys import lookup_join
 
 travels(__name__)
@@ -214,9 +214,11 @@ def near_duplicates(
     have fingerprint zero and are linked like any other; null keys stay and count for
     no minimum; repeated rows stay; columns named like the results are replaced.
     """
-    printed = with_fingerprint(without(docs, "component_id"), text, shingle)
-    rows = pinned(printed if carry is None else printed.select(*carry, "fingerprint"))
-    classes = pinned(rows.groupBy("fingerprint").agg(F.min(key).alias("first")))
+    docs = without(docs, "component_id", "fingerprint")
+    names = docs.columns if carry is None else carry
+    thin = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("box"), F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    rows = pinned(with_fingerprint(thin, "text", shingle).drop("text"))
+    classes = pinned(rows.groupBy("fingerprint").agg(F.min("id").alias("first")))
     roots = components(linked_fingerprints(classes.select("fingerprint"), bits))
     linked = classes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint")
     smallest = linked.groupBy("root").agg(F.min("first").alias("smallest"))
@@ -225,9 +227,9 @@ def near_duplicates(
         "fingerprint", F.coalesce("smallest", "first").alias("component_id")
     )
     # rows of a fingerprint that many copies share are spread over sub-keys
-    joined = lookup_join(rows, classes, "fingerprint", spread_by=key, floor=HOT_ROWS)
+    joined = lookup_join(rows, classes, "fingerprint", spread_by="id", floor=HOT_ROWS)
     return joined.select(
-        *[F.col(f"`{c}`") for c in rows.columns if c != "fingerprint"],
+        *unboxed(names, "box"),
         F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
@@ -241,20 +243,18 @@ def first_of_each_group(docs: DataFrame, shingle: int = 4, bits: int = 4) -> Dat
     smallest hash of its columns stays; a group with null ids only keeps one row.
     """
     names = docs.columns
-    whole = F.xxhash64(*[F.col(f"`{c}`") for c in names]).alias("_whole")
-    thin = docs.select(F.col("doc_id").alias("_id"), "text", whole)
-    marked = near_duplicates(thin, "_id", "text", shingle, bits, carry=["_id", "_whole"])
-    order = F.struct(F.col("_id").isNull().alias("none"), "_id", "_whole")
+    rows = docs.select(boxed(docs).alias("box"), F.col("doc_id").alias("id"), "text", row_hash(docs).alias("whole"))
+    marked = near_duplicates(rows.select("id", "text", "whole"), "id", "text", shingle, bits, carry=["id", "whole"])
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "whole")
     group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("print"))
     kept = pinned(
         marked.groupBy(group.alias("g"))
         .agg(F.min(order).alias("m"))
-        .select(F.col("m._id").alias("_id"), F.col("m._whole").alias("_whole"))
+        .select(F.col("m.id").alias("kept_id"), F.col("m.whole").alias("kept_whole"))
     )
-    rows = docs.withColumn("_whole", whole)
-    same = rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_whole"] == kept["_whole"])
-    found = rows.join(kept, same, "left_semi")
-    keys = marked.groupBy("_id", "_whole").count().where("count > 1")
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("whole") == F.col("kept_whole"))
+    found = rows.select("box", "id", "whole").join(kept, same, "left_semi")
+    keys = marked.groupBy("id", "whole").count().where("count > 1")
     if not keys.isEmpty():  # rows that are equal in every column
-        found = found.dropDuplicates(["doc_id", "_whole"])
-    return found.select(names)
+        found = found.dropDuplicates(["id", "whole"])
+    return found.select(*unboxed(names, "box"))

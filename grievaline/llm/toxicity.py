@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grievaline.llm.common import per_text, pinned, travels
+from grievaline.llm.common import per_text, pinned, travels, unboxed, without
 
 travels(__name__)
 
@@ -284,10 +284,15 @@ def toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     text is read; null and empty texts and texts without a match have the lowest score.
     Columns named like the results are replaced; repeated rows stay.
     """
-    scored = with_strength(docs, model, text)
+    names = without(docs, "score", "predicted").columns
+    others = [c for c in names if c != text]
+    box = F.struct(F.lit(0).alias("c"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
+    scored = with_strength(docs.select(box.alias("box"), F.col(f"`{text}`").alias("text")), model, "text")
     score = 1 / (1 + F.exp((F.lit(model.threshold) - F.col("strength")) * F.lit(4.0 / model.threshold)))
-    named = scored.select(*[c for c in scored.columns if c.lower() not in ("score", "predicted", "strength")], score.alias("score"))
-    return named.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    back = dict(zip(others, unboxed(others, "box"))) | {text: F.col("text").alias(text)}
+    return scored.select(*[back[c] for c in names], score.alias("score")).withColumn(
+        "predicted", (F.col("score") >= 0.5).cast("int")
+    )
 
 
 def held_out() -> Column:
