@@ -7,19 +7,20 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grievaline.llm.common import components, pinned, travels, without
+from grievaline.llm.common import boxed, components, pinned, travels, unboxed, without
+from grievaline.operators.hotkeys import lookup_join
 
 travels(__name__)
 
 THRESHOLD = 0.93
-SHARD_ROWS = 2048
+SHARD_BYTES = 32 << 20
 LINKS = 16
 BUILD_BEAM = 48
 FIRST_BEAM = 64
-AUDIT = 32
+AUDIT = 256
 NEAREST = 16
 RECALL = 0.99
 LOT = 256
@@ -229,9 +230,13 @@ def _walk(graph: Graph, queries: np.ndarray, beam: int, stray: np.ndarray) -> tu
 
 
 def _audited_beam(graph: Graph, queries: np.ndarray, beam: int, floor: np.float32, stray: np.ndarray) -> int | None:
-    """The first beam from ``beam`` on whose audit passes; none if the shard is to be scanned."""
+    """The first beam from ``beam`` on whose audit passes; none if the shard is to be scanned.
+
+    The audit compares ``AUDIT`` queries from all over the block with every node, however
+    many queries there are.
+    """
     n, k = len(graph.unit), min(NEAREST, len(graph.unit))
-    size = min(len(queries), max(AUDIT, len(queries) * AUDIT // LOT))
+    size = min(len(queries), AUDIT)
     some = queries[np.linspace(0, len(queries) - 1, size).astype(int)]
     while beam * 4 < n:
         near, near_found, links, links_found = 0, 0, 0, 0
@@ -278,12 +283,9 @@ def search_shard(graph: Graph, node_ids: np.ndarray, weights: np.ndarray, query_
     return totals, forest
 
 
-def _classes(vectors: DataFrame, key: str, vector: str, label: str) -> DataFrame:
+def _classes(vectors: DataFrame) -> DataFrame:
     """Equal vectors of a label as one row: ``cls, label, vec, dim, copies, first``."""
-    doubles = F.transform(F.col(vector), lambda x: x.cast("double"))
-    usable = vectors.where(
-        F.col(label).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0)
-    ).select(F.col(key).alias("id"), F.col(label).alias("label"), doubles.alias("vec"))
+    usable = vectors.where(F.col("label").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0)).select("id", "label", "vec")
     usable = usable.where(
         F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists("vec", lambda x: x != 0)
@@ -292,19 +294,25 @@ def _classes(vectors: DataFrame, key: str, vector: str, label: str) -> DataFrame
     return grouped.select(F.monotonically_increasing_id().alias("cls"), "label", "vec", F.size("vec").alias("dim"), "copies", "first")
 
 
+def digest(label: Column, vec: Column) -> Column:
+    """A label and a vector of doubles as one short key; the two zeros are one number."""
+    numbers = F.transform(vec, lambda x: x + F.lit(0.0))
+    return F.sha2(F.to_json(F.struct(label.alias("l"), numbers.alias("v"))), 256)
+
+
 def near_duplicates(
     vectors: DataFrame,
     key: str = "vec_id",
     vector: str = "embedding",
     label: str = "label",
     threshold: float = THRESHOLD,
-    shard_rows: int = SHARD_ROWS,
+    shard_rows: int | None = None,
 ) -> DataFrame:
     """``vectors`` with ``n_links``, ``component_id`` and ``kept``.
 
     Vectors of one label and length are compared. Equal ones are one class with a count.
-    Classes are dealt to shards of about ``shard_rows``; a graph is built per shard and
-    written once; every class searches every shard of its label, block by block. No
+    Classes are dealt to shards of about ``shard_rows``, by default as many as make
+    ``SHARD_BYTES`` of doubles; a graph is built per shard and written once; every class searches every shard of its label, block by block. No
     pairs leave a task: it gives counts and a forest, and components join the forests.
     Vectors without label, null, empty or zero ones and those with null or non-finite
     parts link with nothing. Null ids are never the smallest; a component of null ids
@@ -312,9 +320,17 @@ def near_duplicates(
     named like the results are replaced; an empty table gives no rows.
     """
     spark = vectors.sparkSession
-    vectors = without(vectors, "n_links", "component_id", "kept")
-    classes = pinned(_classes(vectors, key, vector, label))
-    sizes = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / F.lit(shard_rows)).cast("int").alias("shards"))
+    kept = without(vectors, "n_links", "component_id", "kept")
+    names = kept.columns
+    doubles = F.transform(F.col(f"`{vector}`"), lambda x: x.cast("double"))
+    vectors = vectors.select(
+        boxed(kept).alias("box"), F.col(f"`{key}`").alias("id"), F.col(f"`{label}`").alias("label"), doubles.alias("vec")
+    )
+    classes = pinned(_classes(vectors))
+    room = F.lit(shard_rows) if shard_rows else F.greatest(F.floor(F.lit(SHARD_BYTES // 8) / F.col("dim")), F.lit(1))
+    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).select(
+        "label", "dim", F.ceil(F.col("n") / room).cast("int").alias("shards")
+    )
     dealt = pinned(
         classes.join(sizes, ["label", "dim"]).select(
             "cls", "label", "dim", "vec", "copies", "shards", F.pmod(F.xxhash64("cls"), F.col("shards")).cast("int").alias("shard")
@@ -322,7 +338,7 @@ def near_duplicates(
     )
     tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     place = ["label", "dim", "shard"]
-    kind = vectors.schema[label].dataType.simpleString()
+    kind = vectors.schema["label"].dataType.simpleString()
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("cls")
@@ -379,24 +395,19 @@ def near_duplicates(
         classes.join(links, "cls", "left")
         .join(roots.join(smallest, "root").select("cls", "smallest"), "cls", "left")
         .select(
-            "label",
-            "vec",
+            digest(F.col("label"), F.col("vec")).alias("place"),
             (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
             F.coalesce("smallest", "first").alias("component_id"),
             F.lit(True).alias("usable"),
         )
     )
-    names = vectors.columns
-    rows = vectors.withColumn("_vec", F.transform(F.col(vector), lambda x: x.cast("double")))
-    joined = rows.join(
-        of_class.select(F.col("label").alias("_label"), F.col("vec").alias("_other"), "n_links", "component_id", "usable"),
-        (F.col(label) == F.col("_label")) & (F.col("_vec") == F.col("_other")),
-        "left",
-    )
-    component = F.when(F.col("usable"), F.col("component_id")).otherwise(F.col(key))
+    rows = vectors.select("box", "id", F.when(F.col("label").isNotNull(), digest(F.col("label"), F.col("vec"))).alias("place"))
+    # the rows of a vector that very many copies share are spread
+    joined = lookup_join(rows, of_class, "place", spread_by="id")
+    component = F.when(F.col("usable"), F.col("component_id")).otherwise(F.col("id"))
     return joined.select(
-        *[F.col(f"`{c}`") for c in names],
+        *unboxed(names, "box"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         component.alias("component_id"),
-        F.col(key).eqNullSafe(component).alias("kept"),
+        F.col("id").eqNullSafe(component).alias("kept"),
     )
