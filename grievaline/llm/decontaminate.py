@@ -19,12 +19,13 @@ WINDOW = 10
 SLACK = 3
 SHARD_WORDS = 1 << 20
 BLOCK_WINDOWS = 50_000
+MAX_TERMS = 1 << 22
 # Behind lower-casing A-Z: digits, a-z, and every character beyond ASCII.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 JAVA_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 POSTINGS = [("starts", T.LongType()), ("terms", T.IntegerType()), ("counts", T.IntegerType()), ("positions", T.IntegerType())]
-RESULTS = [("n_words", T.LongType()), ("hits", T.ArrayType(T.LongType())), ("exact", T.ArrayType(T.StringType())), ("near", T.ArrayType(T.StringType()))]
+RESULTS = [("n_words", T.LongType()), ("hits", T.ArrayType(T.LongType())), ("exact", T.ArrayType(T.LongType())), ("near", T.ArrayType(T.LongType()))]
 
 
 def items_as_words(benchmark: DataFrame) -> DataFrame:
@@ -34,11 +35,18 @@ def items_as_words(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("string").alias("item"), words.alias("words")).where(F.size("words") > 0)
 
 
-def windows_of(items: DataFrame, width: int = WINDOW) -> DataFrame:
-    """Distinct ``words`` windows with the list of their ``items``."""
+def windows_of(items: DataFrame, width: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """Distinct windows as ``words, owners``, and the sets of items as ``owners, items``.
+
+    Windows that are in the same items share one set, named by a digest: a passage that
+    many items hold does not repeat their ids for each of its windows.
+    """
     last = F.greatest(F.size("words") - width, F.lit(0))
     each = items.select("item", F.explode(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("words", i + 1, width))).alias("words"))
-    return each.groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    held = each.groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    named = pinned(held.withColumn("owners", F.sha2(F.to_json("items"), 256)))
+    sets = named.groupBy("owners").agg(F.any_value("items").alias("items"))
+    return named.select("words", "owners"), sets
 
 
 def build_index(docs: DataFrame, vocabulary: dict[bytes, int], shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -95,20 +103,20 @@ def build_index(docs: DataFrame, vocabulary: dict[bytes, int], shard_words: int
 
 
 def _block(windows: list, numbers: dict[bytes, int], frequency: dict[int, int]) -> dict:
-    """Windows as arrays: their terms with offsets, the rarest in the corpus first."""
+    """Windows as arrays: their numbers, and their terms with offsets, the rarest in the corpus first."""
     by_width: dict[int, list] = {}
-    for words, items in windows:
-        by_width.setdefault(len(words), []).append((words, items))
+    for number, words in windows:
+        by_width.setdefault(len(words), []).append((number, words))
     made = {}
     for width, some in by_width.items():
-        terms = np.array([[numbers[w.encode()] for w in words] for words, _ in some], dtype=np.int64)
+        terms = np.array([[numbers[w.encode()] for w in words] for _, words in some], dtype=np.int64)
         rarity = np.array([[frequency.get(t, 0) for t in row] for row in terms.tolist()], dtype=np.int64)
         order = np.argsort(rarity, axis=1, kind="stable")
         made[width] = {
             "terms": np.take_along_axis(terms, order, axis=1),
             "offsets": order.astype(np.int64),
             "possible": rarity.min(axis=1) > 0,
-            "items": [i for _, i in some],
+            "numbers": np.array([n for n, _ in some], dtype=np.int64),
         }
     return made
 
@@ -146,7 +154,7 @@ def _search(part: dict, index: np.ndarray, size: int, starts: np.ndarray, slack:
 
 
 def find(index: DataFrame, block: dict, slack: int = SLACK) -> DataFrame:
-    """Per text of the index: its words, the positions hit, and the items exact and near."""
+    """Per text of the index: its words, the positions hit, and the windows exact and near."""
     rest = index.schema["rest"].dataType.elementType
     schema = T.StructType([T.StructField("rest", rest)] + [T.StructField(n, t) for n, t in RESULTS])
 
@@ -164,13 +172,12 @@ def find(index: DataFrame, block: dict, slack: int = SLACK) -> DataFrame:
                 for part in block.values() if keys.size else ():
                     width = part["terms"].shape[1]
                     for found, at, text, is_exact in _search(part, keys, size, starts, slack):
-                        for w, s, t in zip(found.tolist(), at.tolist(), text.tolist()):
-                            near[t].update(part["items"][w])
+                        for w, s, t in zip(part["numbers"][found].tolist(), at.tolist(), text.tolist()):
+                            near[t].add(w)
                             if is_exact:
-                                exact[t].update(part["items"][w])
+                                exact[t].add(w)
                                 hits[t].update(range(s, s + width))
-                sets = [(hits, pa.int64()), (exact, pa.string()), (near, pa.string())]
-                lists = [pa.array([sorted(x) for x in xs], pa.list_(kind)) for xs, kind in sets]
+                lists = [pa.array([sorted(x) for x in xs], pa.list_(pa.int64())) for xs in (hits, exact, near)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[i].values, pa.array(lengths), *lists], names=schema.names
                 )
@@ -187,28 +194,34 @@ def contamination(
 ) -> DataFrame:
     """``docs`` (or its columns ``carry``) with ``n_words, n_hit, n_items, items_sha256, contaminated, n_near``.
 
-    The index of the whole corpus is written once; it carries the rows' columns, so
-    nothing is joined or shuffled. The benchmark is searched in blocks of about
-    ``BLOCK_WINDOWS`` windows, the only data that is sent to every task; an index holds
-    the postings of its block's terms. ``n_near`` counts items with a proximity match:
-    all words of a window within ``slack`` words of their place around the rarest one.
-    Null and empty texts have no words; items without words or with a null id match
-    nothing; equal item ids are one item; repeated rows stay; an empty benchmark marks
-    nothing. Columns named like the results are replaced.
+    The corpus is read once: its index, over the union of the benchmark's words, is
+    written and carries the rows' columns. The windows are searched in it in blocks of
+    about ``BLOCK_WINDOWS``, the only data that is sent to every task besides the words'
+    numbers while the index is built. (A benchmark of more than ``MAX_TERMS`` different
+    words is taken in parts of that size, each with an index of its own.) Tasks give the
+    numbers of the windows they find; items join them in Spark, for the texts that have
+    any. ``n_near`` counts items with a proximity match: all words of a window within
+    ``slack`` words of their place around the rarest one. Null and empty texts have no
+    words; items without words or with a null id match nothing; equal item ids are one
+    item; repeated rows stay; an empty benchmark marks nothing. Columns named like the
+    results are replaced.
     """
     names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near"]
     docs = without(docs, *names)
     columns = docs.columns if carry is None else carry
     rest = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]
     rows = docs.select("text", F.struct(*rest, F.monotonically_increasing_id().alias("row")).alias("rest"))
-    windows = pinned(windows_of(items_as_words(benchmark.where("item_id is not null")), width).withColumn("at", F.xxhash64("words")))
-    parts = max(1, -(-windows.count() // BLOCK_WINDOWS))
-    if parts > 1:
+    windows, sets = windows_of(items_as_words(benchmark.where("item_id is not null")), width)
+    windows = pinned(windows.withColumn("number", F.monotonically_increasing_id()))
+    terms = windows.select(F.explode("words").alias("w")).distinct()
+    passes = max(1, -(-terms.count() // MAX_TERMS))
+    if passes > 1:
         rows = pinned(rows)  # the same row numbers in every pass
     found = None
-    for p in range(parts):
-        some = windows.where(F.pmod("at", F.lit(parts)) == p).select("words", "items").collect()
-        numbers = {w: i for i, w in enumerate(sorted({w.encode() for r in some for w in r["words"]}))}
+    for number in range(passes):
+        mine = windows.where(F.pmod(F.xxhash64("words"), F.lit(passes)) == number)
+        words = mine.select(F.explode("words").alias("w")).distinct()
+        numbers = {w: i for i, w in enumerate(sorted(r["w"].encode() for r in words.collect()))}
         index = pinned(build_index(rows, numbers))
         frequency = (
             index.select(F.explode(F.arrays_zip("terms", "counts")).alias("t"))
@@ -216,19 +229,53 @@ def contamination(
             .agg(F.sum("t.counts").alias("n"))
             .collect()
         )
-        block = _block([(r["words"], r["items"]) for r in some], numbers, {r["terms"]: r["n"] for r in frequency})
-        part = find(index, block, slack)
-        found = part if found is None else found.union(part)
-    if parts > 1:
-        lists = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("hits", "exact", "near")]
+        counts = {r["terms"]: r["n"] for r in frequency}
+        blocks = max(1, -(-mine.count() // BLOCK_WINDOWS))
+        for at in range(blocks):
+            some = mine.where(F.pmod(F.xxhash64("words", F.lit(1)), F.lit(blocks)) == at)
+            block = _block([(r["number"], r["words"]) for r in some.select("number", "words").collect()], numbers, counts)
+            part = find(index, block, slack)
+            found = part if found is None else found.union(part)
+    if passes * blocks > 1:
+        lists = [F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("hits", "exact", "near")]
         found = found.groupBy(F.col("rest.row")).agg(F.first("rest").alias("rest"), F.first("n_words").alias("n_words"), *lists)
-    return found.select(
+    found = pinned(found.select("rest", "n_words", F.size("hits").cast("long").alias("n_hit"), "exact", "near"))
+    clear = found.where(F.size("near") == 0).select(
+        "rest", "n_words", "n_hit", F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"), F.lit(0).cast("long").alias("n_near")
+    )
+    marked = found.where(F.size("near") > 0)
+    items = _items_of(marked, windows.select("number", "owners"), sets)
+    hit = marked.withColumn("row", F.col("rest.row")).join(items, "row").select("rest", "n_words", "n_hit", "n_items", "items_sha256", "n_near")
+    return clear.union(hit).select(
         *[F.col(f"rest.c{i}").alias(c) for i, c in enumerate(columns)],
         "n_words",
-        F.size("hits").cast("long").alias("n_hit"),
+        "n_hit",
+        "n_items",
+        "items_sha256",
+        (F.col("n_hit") > 0).alias("contaminated"),
+        "n_near",
+    )
+
+
+def _items_of(marked: DataFrame, windows: DataFrame, sets: DataFrame) -> DataFrame:
+    """``row, n_items, items_sha256, n_near`` of texts with windows.
+
+    Windows become the sets they belong to, a text's sets are taken once each, and only
+    then become items.
+    """
+    row = F.col("rest.row").alias("row")
+    each = marked.select(row, F.explode("near").alias("number"), F.lit(False).alias("is_exact")).union(
+        marked.select(row, F.explode("exact"), F.lit(True))
+    )
+    owned = each.join(windows, "number").groupBy("row", "owners").agg(F.max("is_exact").alias("is_exact"))
+    lists = owned.join(sets, "owners").groupBy("row").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("is_exact"), F.col("items")))))).alias("exact"),
+        F.array_distinct(F.flatten(F.collect_list("items"))).alias("near"),
+    )
+    return lists.select(
+        "row",
         F.size("exact").cast("long").alias("n_items"),
         F.sha2(F.array_join("exact", ","), 256).alias("items_sha256"),
-        (F.size("hits") > 0).alias("contaminated"),
         F.size("near").cast("long").alias("n_near"),
     )
 
