@@ -5,13 +5,14 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import uuid
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grievaline.llm.common import travels
@@ -28,13 +29,16 @@ ARC_FIELDS = {
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EPOCH = datetime(2020, 1, 1, tzinfo=timezone.utc)
 
-CAPTURES = (
-    "page_id long, url string, ip string, captured string, mime string, version string, "
-    "payload string, payload_bytes long, payload_digest string"
+MEMBER_BYTES = 15 << 20
+
+THIN = (
+    "record_id string, page_id long, url string, captured string, payload_bytes long, payload_digest string, "
+    "is_http boolean"
 )
+CAPTURES = THIN + ", ip string, mime string, version string, truncated boolean, head binary, payload binary"
 RECORDS = (
-    "page_id long, record_id string, record_type string, url string, captured string, payload string, "
-    "payload_bytes long, payload_digest string, refers_to long"
+    "page_id long, record_id string, record_type string, url string, captured string, head binary, payload binary, "
+    "payload_bytes long, payload_digest string, refers_to long, refers_to_record string"
 )
 
 
@@ -52,12 +56,12 @@ def write_arc(pages: DataFrame, path: str) -> None:
         name = f"pages-{task:06d}.arc"
         offset = 0
 
-        def record(url: str, ip: str, date: str, mime: str, body: bytes) -> str:
+        def record(url: str, ip: str, date: str, mime: str, body: bytes) -> bytes:
             nonlocal offset
             middle = f" 200 - - {offset} {name}" if version == "2" else ""
             line = f"{url} {ip} {date} {mime}{middle} {len(body)}\n".encode() + body
             offset += len(line) + 1
-            return line.decode()
+            return line
 
         about = f"{version} 0 grievaline\n{ARC_FIELDS[version]}\n".encode()
         out = [record(f"filedesc://{name}", "0.0.0.0", EPOCH.strftime("%Y%m%d%H%M%S"), "text/plain", about)]
@@ -69,25 +73,28 @@ def write_arc(pages: DataFrame, path: str) -> None:
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {'' if page is None else page}\r\nContent-Length: {len(payload)}\r\n\r\n"
                 where = quote(url, safe=":/?#[]@!$&'()*+,;=%~") if url else "urn:none"
                 out.append(record(where, "0.0.0.0", date.strftime("%Y%m%d%H%M%S"), "text/html", head.encode() + payload))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
             out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     (
         pages.select("page_id", "url", "html")
-        .mapInArrow(run, "value string")
+        .mapInArrow(run, "value binary")
+        .select(F.col("value").cast("string"))
         .write.option("lineSep", "\n")
         .option("compression", "gzip")
         .text(path)
     )
 
 
-def arc_records(stream) -> Iterator[tuple[str, dict[str, str], bytes]]:
+def arc_records(stream, whole: bool = True) -> Iterator[tuple[str, dict[str, str], bytes]]:
     """``version, header fields, body`` of an ARC stream, its version block left out.
 
     The block's second line names the fields of every header line. A URL may hold
-    blanks, so fields are cut from the right. Bodies have exactly the declared length.
+    blanks, so fields are cut from the right. Bodies have exactly the declared length; a
+    stream that ends before is an error, or, if it need not be ``whole``, its last body
+    is what is there.
     """
     first = stream.readline()
     if not first:  # an empty task leaves an empty file
@@ -100,68 +107,110 @@ def arc_records(stream) -> Iterator[tuple[str, dict[str, str], bytes]]:
         if not line.strip():
             continue
         fields = line.decode("utf-8", "replace").rstrip("\r\n").rsplit(" ", len(names) - 1)
+        if not whole and (len(fields) != len(names) or not line.endswith(b"\n")):
+            return  # the stream ends inside a header line
         if len(fields) != len(names):
             raise ValueError(f"ARC header line has {len(fields)} fields, not {len(names)}")
         header = dict(zip(names, fields))
         length = int(header["Archive-length"])
         body = stream.read(length)
-        if len(body) != length:
+        if len(body) != length and whole:
             raise ValueError(f"ARC record ends after {len(body)} of {length} bytes")
         yield version, header, body
 
 
-def http_parts(block: bytes) -> tuple[dict[str, str], bytes]:
-    head, _, payload = block.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "replace").split("\r\n")[1:]
-    return {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, payload
+def http_parts(block: bytes) -> tuple[bytes, bytes]:
+    """Head, with the empty line behind it, and payload; a block without a head is all payload."""
+    if not block.startswith(b"HTTP/"):
+        return b"", block
+    ends = [block.find(e) + len(e) for e in (b"\r\n\r\n", b"\n\n") if e in block]
+    end = min(ends, default=len(block))
+    return block[:end], block[end:]
+
+
+def http_field(head: bytes, name: str) -> str:
+    for line in head.splitlines()[1:]:
+        key, _, value = line.decode("latin-1").partition(":")
+        if key.strip().lower() == name:
+            return value.strip()
+    return ""
+
 
+def record_id(file: str, number: int) -> str:
+    """A WARC record identifier that the place of a capture in its file fixes."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'capture:{file}:{number}')}>"
 
-def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """Captures of all ARC files below ``path``; a file is read record by record."""
+
+def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """Captures of all ARC files below ``path``; a file is read record by record.
+
+    Without ``payloads`` a row has what decides on revisits, and is short.
+    """
+    kind = CAPTURES if payloads else THIN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for content in _files(batches):
-            for rows in _chunks(_captures(content)):
-                yield _batch(rows, CAPTURES)
+        for name, content in _files(batches):
+            for rows in _chunks(_captures(name, content, payloads)):
+                yield _batch(rows, kind)
 
-    return _archives(spark, path).mapInArrow(run, CAPTURES)
+    return _archives(spark, path).mapInArrow(run, kind)
 
 
-def _captures(stream) -> Iterator[tuple]:
-    for version, header, body in arc_records(stream):
-        http, payload = http_parts(body)
+def _captures(file: str, stream, payloads: bool) -> Iterator[tuple]:
+    for number, (version, header, body) in enumerate(arc_records(stream, whole=False)):
+        head, payload = http_parts(body)
         date = datetime.strptime(header["Archive-date"], "%Y%m%d%H%M%S")
-        page = http.get("x-page-id", "")
-        yield (
-            int(page) if page else None,
+        page = http_field(head, "x-page-id")
+        thin = (
+            record_id(file, number),
+            int(page) if page.isdigit() or page[:1] == "-" and page[1:].isdigit() else None,
             header["URL"],
-            header["IP-address"],
             date.strftime("%Y-%m-%dT%H:%M:%SZ"),
-            header["Content-type"],
-            version,
-            payload.decode(),
             len(payload),
             hashlib.sha256(payload).hexdigest(),
+            bool(head),
         )
+        short = len(body) < int(header["Archive-length"])
+        yield (*thin, header["IP-address"], header["Content-type"], version, short, head, payload) if payloads else thin
 
 
 def _archives(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
-def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[io.BufferedIOBase]:
+def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, io.BufferedIOBase]]:
+    """Path and content of each file; a compressed one that breaks off ends there."""
     for batch in batches:
-        for content in batch.column(0):
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
             raw = content.as_buffer()
             stream = io.BytesIO(raw)
-            yield io.BufferedReader(gzip.GzipFile(fileobj=stream)) if bytes(raw[:2]) == b"\x1f\x8b" else stream
+            packed = bytes(raw[:2]) == b"\x1f\x8b"
+            yield path, io.BufferedReader(Unpacked(stream)) if packed else stream
+
+
+class Unpacked(io.RawIOBase):
+    """The bytes of gzip members behind one another, up to where the file breaks off."""
+
+    def __init__(self, packed: io.BytesIO):
+        self.source = gzip.GzipFile(fileobj=packed)
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        try:
+            data = self.source.read1(len(into))
+        except EOFError:
+            return 0
+        into[: len(data)] = data
+        return len(data)
 
 
 def _chunks(rows: Iterator[tuple], most: int = 512, size: int = 16 << 20) -> Iterator[list[tuple]]:
     held, total = [], 0
     for row in rows:
         held.append(row)
-        total += sum(len(v) for v in row if isinstance(v, str))
+        total += sum(len(v) for v in row if isinstance(v, (str, bytes)))
         if len(held) >= most or total >= size:
             yield held
             held, total = [], 0
@@ -171,79 +220,96 @@ def _chunks(rows: Iterator[tuple], most: int = 512, size: int = 16 << 20) -> Ite
 
 def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
     fields = [f.split() for f in ddl.split(", ")]
-    kinds = {"long": pa.int64(), "string": pa.string()}
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
     columns = [pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(fields)]
     return pa.RecordBatch.from_arrays(columns, names=[n for n, _ in fields])
 
 
-def record_id(page: Column) -> Column:
-    """A WARC record identifier that a page's id fixes."""
-    digest = F.md5(F.concat(F.lit("capture:"), F.coalesce(page.cast("string"), F.lit(""))))
-    parts = [F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
-
-
-def to_warc(captures: DataFrame) -> DataFrame:
-    """One WARC record per capture, as text in column ``value``.
+def revisits(thin: DataFrame) -> DataFrame:
+    """``record_id, first``: which captures revisit, and the capture that they refer to.
 
     Of equal payloads of at least 100 bytes the one with the smallest page id is the
-    response and the others are revisits without payload, which name it; shorter ones
-    are all responses. Captures that share that smallest id are all responses; a null id
+    response and the others are revisits; shorter ones and captures without an HTTP head
+    are all kept whole. Captures that share that smallest id are all responses; a null id
     is never the smallest, and payloads with null ids only are responses.
     """
+    long = thin.where((F.col("payload_bytes") >= LEAST_REVISIT) & F.col("is_http"))
+    known = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "record_id", "url", "captured"))
     repeated = (
-        captures.where(F.col("payload_bytes") >= LEAST_REVISIT)
-        .groupBy("payload_digest")
-        .agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+        long.groupBy("payload_digest")
+        .agg(F.min(known).alias("first"), F.count("*").alias("n"))
         .where("n > 1 and first is not null")
         .select("payload_digest", "first")
     )
-    rows = captures.join(repeated, "payload_digest", "left")
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-
-    def line(name: str, value) -> Column:
-        return F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-
-    page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
-    head = F.concat(
-        F.lit("HTTP/1.1 200 OK\r\nContent-Type: "),
-        "mime",
-        F.lit("\r\nContent-Length: "),
-        F.col("payload_bytes").cast("string"),
-        F.lit("\r\n\r\n"),
-    )
-    block = F.concat(head, F.when(revisit, F.lit("")).otherwise(F.col("payload")))
-    more = F.concat(
-        line("WARC-Profile", F.lit(PROFILE)),
-        line("WARC-Refers-To", record_id(F.col("first"))),
-        line("X-Refers-To-Page-Id", F.col("first").cast("string")),
-    )
-    return rows.select(
-        F.concat(
-            F.lit("WARC/1.1\r\n"),
-            line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-            line("WARC-Record-ID", record_id(F.col("page_id"))),
-            line("WARC-Date", F.col("captured")),
-            line("WARC-Target-URI", F.col("url")),
-            line("WARC-IP-Address", F.col("ip")),
-            line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "payload_digest")),
-            line("X-Payload-Length", F.col("payload_bytes").cast("string")),
-            line("X-Page-Id", page),
-            F.when(revisit, more).otherwise(F.lit("")),
-            line("Content-Type", F.lit("application/http; msgtype=response")),
-            line("Content-Length", F.octet_length(block).cast("string")),
-            F.lit("\r\n"),
-            block,
-        ).alias("value")
+    return (
+        long.join(repeated, "payload_digest")
+        .where(~F.col("page_id").eqNullSafe(F.col("first.page_id")))
+        .select("record_id", "first")
     )
 
 
+def warc_record(row: dict) -> bytes:
+    """One WARC record as a gzip member, so that a reader can begin at it.
+
+    A capture with an HTTP head keeps it as it was, status line and fields; without one
+    it is a resource record of the capture's own type.
+    """
+    first = row["first"]
+    kind = "revisit" if first else "response" if row["is_http"] else "resource"
+    block = row["head"] + (b"" if first else row["payload"])
+    page = "" if row["page_id"] is None else str(row["page_id"])
+    fields = [
+        ("WARC-Type", kind),
+        ("WARC-Record-ID", row["record_id"]),
+        ("WARC-Date", row["captured"]),
+        ("WARC-Target-URI", row["url"]),
+        ("WARC-IP-Address", row["ip"]),
+        ("WARC-Payload-Digest", f"sha256:{row['payload_digest']}"),
+        ("WARC-Truncated", "disconnect" if row["truncated"] else None),
+        ("X-Payload-Length", str(row["payload_bytes"])),
+        ("X-Page-Id", page),
+        ("WARC-Profile", PROFILE if first else None),
+        ("WARC-Refers-To", first and first["record_id"]),
+        ("WARC-Refers-To-Target-URI", first and first["url"]),
+        ("WARC-Refers-To-Date", first and first["captured"]),
+        ("X-Refers-To-Page-Id", first and str(first["page_id"])),
+        ("Content-Type", "application/http; msgtype=response" if row["is_http"] else row["mime"]),
+        ("Content-Length", str(len(block))),
+    ]
+    lines = "".join(f"{n}: {v}\r\n" for n, v in fields if v is not None)
+    return packed(b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n")
+
+
+def packed(record: bytes) -> bytes:
+    """Gzip members of a record, one unless it is very long.
+
+    A member ends with the length of its content, little-endian, so below 16 MiB its last
+    byte is zero.
+    """
+    pieces = [record[i : i + MEMBER_BYTES] for i in range(0, len(record), MEMBER_BYTES)]
+    return b"".join(gzip.compress(p, 6, mtime=0) for p in pieces)
+
+
 def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
-    """ARC files to gzip WARC files; the writer's separator ends each record."""
+    """ARC files to WARC files of gzip members.
+
+    What revisits what is decided on short rows; whole captures meet the decisions by
+    their record id, so that a payload which very many captures share is no hot key. The
+    text writer ends every row with the last byte of its member, a zero.
+    """
+    decisions = revisits(read_arc(spark, arc_path, payloads=False))
+    captures = read_arc(spark, arc_path).join(decisions.hint("shuffle_hash"), "record_id", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                rows = [warc_record(r)[:-1] for r in whole.slice(at, 64).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["value"])
+
     (
-        to_warc(read_arc(spark, arc_path))
-        .write.option("lineSep", "\r\n\r\n")
-        .option("compression", "gzip")
+        captures.mapInArrow(run, "value binary")
+        .select(F.col("value").cast("string"))
+        .write.option("lineSep", "\0")
         .text(warc_path)
     )
 
@@ -268,22 +334,25 @@ def warc_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def _records(stream) -> Iterator[tuple]:
     for headers, block in warc_records(stream):
-        _, payload = http_parts(block)
-        digest = headers["warc-payload-digest"].removeprefix("sha256:")
         kind = headers["warc-type"]
-        if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
+        head, payload = http_parts(block) if headers["content-type"].startswith("application/http") else (b"", block)
+        digest = headers["warc-payload-digest"].removeprefix("sha256:")
+        whole = kind != "revisit"
+        if whole and hashlib.sha256(payload).hexdigest() != digest:
             raise ValueError(f"payload of {headers['warc-record-id']} differs from its digest")
-        page, refers = headers["x-page-id"], headers.get("x-refers-to-page-id", "")
+        page, refers = headers.get("x-page-id", ""), headers.get("x-refers-to-page-id", "")
         yield (
             int(page) if page else None,
             headers["warc-record-id"],
             kind,
             headers["warc-target-uri"],
             headers["warc-date"],
-            payload.decode() if kind == "response" else None,
-            len(payload) if kind == "response" else int(headers["x-payload-length"]),
+            head,
+            payload if whole else None,
+            len(payload) if whole else int(headers["x-payload-length"]),
             digest,
             int(refers) if refers else None,
+            headers.get("warc-refers-to"),
         )
 
 
@@ -291,7 +360,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records of all WARC files below ``path``; payloads are checked against their digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for content in _files(batches):
+        for _, content in _files(batches):
             for rows in _chunks(_records(content)):
                 yield _batch(rows, RECORDS)
 
