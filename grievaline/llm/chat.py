@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grievaline.llm.common import travels
+from grievaline.llm.common import pinned, travels
 
 travels(__name__)
 
@@ -18,6 +18,9 @@ BEGIN, BREAK, END = "<|im_start|>", "\n", "<|im_end|>\n"
 # Control strings of common templates, behind their first character.
 CONTROLS = r"\|im_start\||\|im_end\||\|endoftext\||/?s>|/?INST\]|\|eot_id\||/?SYS>"
 
+# Sequence numbers that a message may use, and how far behind an edit comes.
+EVENTS, LATE = 8, 20
+
 
 def escape(text: Column) -> Column:
     r"""Text in which no control string occurs: a backslash goes behind its first character.
@@ -36,59 +39,71 @@ def event_log(conversations: DataFrame) -> DataFrame:
     """A streaming log of the table: ``conv_id, message, role, seq, kind, text``.
 
     What a chat service would have written for each row, told by a hash of its text:
-    one delta; deltas in pieces; a draft and an edit to the final text; a draft, a
-    regeneration and the final deltas. ``message`` orders the messages of a conversation
-    by turn, then role and text; equal rows are messages of their own. ``seq`` orders the
-    events of a conversation. A null text is empty, null turns come first.
+    one delta; deltas in pieces; a draft, and an edit to the final text that comes after
+    later messages have begun; a draft, a regeneration and the final deltas. ``seq``
+    ascends over all events of a conversation, with gaps; ``message`` numbers its
+    messages. They follow from one sort of the rows by conversation, turn, role and text,
+    dealt by ranges, so that a long conversation is many tasks. Equal rows are messages of
+    their own. A null text is empty, null turns come first.
     """
-    text = F.coalesce("text", F.lit(""))
     rows = conversations.select(
-        "conv_id",
-        F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row")).alias("message"),
-        F.coalesce("role", F.lit("")).alias("role"),
-        text.alias("text"),
+        "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
+    order = [F.asc_nulls_first("conv_id"), F.asc_nulls_first("turn"), F.col("role"), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = pinned(ordered.withColumn("message", F.monotonically_increasing_id()))
     half = (F.length("text") / 2).cast("int")
     head, tail = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
 
     def events(*pairs):
-        return F.array(*[F.struct(F.lit(i).alias("seq"), F.lit(k).alias("kind"), t.alias("text")) for i, (k, t) in enumerate(pairs)])
+        # numbers below EVENTS are the message's own; LATE ones lie among later messages'
+        return F.array(
+            *[
+                F.struct(F.lit(i + (LATE if k == "edit" else 0)).alias("seq"), F.lit(k).alias("kind"), t.alias("text"))
+                for i, (k, t) in enumerate(pairs)
+            ]
+        )
 
     whole, draft = F.col("text"), F.concat(F.lit("draft: "), head)
     log = (
-        F.when(F.col("kind") == 0, events(("delta", whole)))
-        .when(F.col("kind") == 1, events(("delta", head), ("delta", tail)))
-        .when(F.col("kind") == 2, events(("delta", draft), ("edit", whole)))
+        F.when(F.col("way") == 0, events(("delta", whole)))
+        .when(F.col("way") == 1, events(("delta", head), ("delta", tail)))
+        .when(F.col("way") == 2, events(("delta", draft), ("edit", whole)))
         .otherwise(events(("delta", draft), ("regenerate", F.lit("")), ("delta", head), ("delta", tail)))
     )
     return (
-        rows.withColumn("kind", F.pmod(F.xxhash64("text"), F.lit(4)))
+        placed.withColumn("way", F.pmod(F.xxhash64("text"), F.lit(4)))
         .select("conv_id", "message", "role", F.explode(log).alias("e"))
-        .select("conv_id", "message", "role", "e.seq", "e.kind", "e.text")
+        .select("conv_id", "message", "role", (F.col("message") * EVENTS + F.col("e.seq")).alias("seq"), "e.kind", "e.text")
     )
 
 
 def fold(log: DataFrame) -> DataFrame:
     """Final messages of a log: ``conv_id, message, role, text``.
 
-    The key is the message inside its conversation, so a conversation of any length
-    spreads over tasks. Events are sorted by sequence; a regeneration empties the text,
-    an edit replaces it, a delta is added behind it. Unknown kinds change nothing and a
-    null text adds nothing.
+    Events are sorted by the sequence of their conversation; a regeneration empties the
+    text of its message, an edit replaces it, a delta is added behind it, also where
+    events of other messages lie between. ``message`` begins with the sequence of the
+    message's first event, which orders a conversation. The key is the message inside its
+    conversation, so a conversation of any length spreads over tasks. Unknown kinds change
+    nothing and a null text adds nothing.
     """
     events = F.array_sort(F.collect_list(F.struct("seq", "kind", "text")))
     # only what follows the last edit or regeneration counts, an edit itself included
     resets = F.filter("events", lambda e: e["kind"].isin("edit", "regenerate"))
-    since = F.coalesce(F.array_max(F.transform(resets, lambda e: e["seq"])), F.lit(-1))
+    since = F.array_max(F.transform(resets, lambda e: e["seq"]))
     parts = F.transform(
-        F.filter(F.col("events"), lambda e: (e["seq"] >= F.col("since")) & e["kind"].isin("edit", "delta")),
+        F.filter(
+            F.col("events"),
+            lambda e: (F.col("since").isNull() | (e["seq"] >= F.col("since"))) & e["kind"].isin("edit", "delta"),
+        ),
         lambda e: F.coalesce(e["text"], F.lit("")),
     )
     return (
         log.groupBy("conv_id", "message", "role")
-        .agg(events.alias("events"))
+        .agg(events.alias("events"), F.min("seq").alias("begins"))
         .withColumn("since", since)
-        .select("conv_id", "message", "role", F.array_join(parts, "").alias("text"))
+        .select("conv_id", F.struct("begins", "message").alias("message"), "role", F.array_join(parts, "").alias("text"))
     )
 
 

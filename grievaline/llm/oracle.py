@@ -46,6 +46,30 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM docs AS d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+# Control strings of common templates behind their first character, as the operator has them.
+CONTROLS = r"\|im_start\||\|im_end\||\|endoftext\||/?s>|/?INST\]|\|eot_id\||/?SYS>"
+
+
+def escaped(column: str) -> str:
+    return rf"regexp_replace({column}, '([<\[])(\\*)({CONTROLS})', '\1\\\2\3', 'g')"
+
+
+OP9 = f"""
+WITH turns AS (
+    SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), made AS (
+    SELECT conv_id, turn, role || chr(10) || text || chr(10) AS line,
+           CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss,
+           length('<|im_start|>' || {escaped("role")} || chr(10) || {escaped("text")} || '<|im_end|>' || chr(10)) AS chars
+    FROM turns
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(line, '' ORDER BY turn)) AS turns_sha256,
+       CAST(sum(length(loss)) AS BIGINT) AS loss_chars, sha256(string_agg(loss, '' ORDER BY turn)) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM made GROUP BY conv_id
+"""
+
 OP10 = f"""
 WITH docs AS (
     SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORDS}')), 0) AS BIGINT) AS size
@@ -110,6 +134,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_warc_from_arc": OP2,
         "op7_benchmark_decontamination": OP7,
+        "op9_chat_formatting": OP9,
         "op10_mixing": OP10,
         "op12_ranked_search": OP12,
     }
