@@ -5,26 +5,26 @@ from __future__ import annotations
 import json
 import os
 import re
-import struct
-import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grievaline.llm.common import travels
-from grievaline.sources.workdir import new_dir
+from grievaline.llm.common import Recent, kept_in_worker, travels
+from grievaline.sources.workdir import new_dir, pinned
 
 travels(__name__)
 
 END_ID = 2
-KEPT_WORDS = 250_000
-ROWS_AT_ONCE = 256
+KEPT_PIECES = 400_000
+TEXT_BYTES = 4 << 20
 STRIPE_BYTES = 16 << 20
 # In a text of these characters the pieces below are the ones that a byte-level
 # tokenizer cuts itself; behind a blank, or a line break as first character, a piece
@@ -45,7 +45,11 @@ def byte_letters() -> dict[int, int]:
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, which merges each distinct piece once."""
+    """Ids of whole texts by the tokenizers library, which merges a piece when it is new.
+
+    Pieces that were seen lately are kept, at most twice ``KEPT_PIECES`` of them, so that
+    a long task forgets the rare ones and not those that come again.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -61,61 +65,53 @@ class Encoder:
             and self.tokenizer.post_processor is None
             and (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex")) == ("ByteLevel", False, True)
         )
-        self.letters = byte_letters()
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        letters = byte_letters()
+        self.shown = [chr(letters.get(b, b)) for b in range(256)]
+        self.pieces = Recent(KEPT_PIECES)
 
     def whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
-
-    def cut(self, text: str) -> bytes:
-        return b"".join([self.pieces.get(p) or self.piece(p) for p in CUTS.findall(text)])
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def piece(self, piece: str) -> bytes:
-        shown = piece.encode().decode("latin-1").translate(self.letters)
-        ids = [t.id for t in self.model.tokenize(shown)]
-        found = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self.pieces) < KEPT_WORDS:
-            self.pieces[piece] = found
-        return found
-
-    def word(self, word: str) -> bytes:
-        """Ids of a word as it stands behind a blank; a line break comes without one."""
-        found = self.cut(word if word[:1] == "\n" else " " + word)
-        if len(self.words) < KEPT_WORDS:
-            self.words[word] = found
-        return found
+        if piece.isascii():  # of these bytes only blanks and line breaks stand as other letters
+            shown = piece.replace(" ", self.shown[32]).replace("\n", self.shown[10])
+        else:
+            shown = "".join([self.shown[b] for b in piece.encode()])
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def cut(self, text: str) -> np.ndarray:
+        pieces = CUTS.findall(text)
+        found = list(map(self.pieces.new.get, pieces))
+        if None in found:
+            found = [f or self.pieces.get_or(p, self.piece) for f, p in zip(found, pieces)]
+        return np.frombuffer(b"".join(found), dtype="<i4")
 
-    def __call__(self, text: str) -> bytes:
-        """The ids of one text as little-endian 32-bit integers."""
+    def ids(self, text: str) -> np.ndarray:
         if not text:
-            return b""
+            return np.zeros(0, dtype="<i4")
         if not self.by_pieces or not PLAIN.fullmatch(text) or (self.special and self.special.search(text)):
-            return self.whole(text)
-        # a run of blanks, or a blank beside a line break, is a piece of its own
-        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[-1] in "\n ":
-            return self.cut(text)
-        words = text.replace("\n", " \n").split(" ")
-        first = self.cut(words[0]) if words[0] else b""
-        found = list(map(self.words.get, words[1:]))
-        if None in found:
-            found = [f or self.word(w) for f, w in zip(found, words[1:])]
-        return first + b"".join(found)
+            return np.frombuffer(self.whole(text), dtype="<i4")
+        return self.cut(text)
+
+    def __call__(self, text: str) -> bytes:
+        """The ids of one text as little-endian 32-bit integers."""
+        return self.ids(text).tobytes()
 
 
 def encoder(path: str) -> Encoder:
-    """The encoder of this worker process; tasks that follow each other share its pieces."""
-    kept = sys.__dict__.setdefault("_grievaline_encoders", {})
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
+    """The encoder of this worker process; the tasks that follow share its pieces.
+
+    A worker holds one encoder; another file replaces it.
+    """
+    return kept_in_worker("encoder", path, lambda: Encoder(path))
 
 
-def ids_of(encode: Encoder, text: bytes | None, end_id: int = END_ID) -> np.ndarray:
-    """Token ids of a whole text and the end id; null is empty."""
-    ids = encode((text or b"").decode("utf-8", "replace"))
-    return np.append(np.frombuffer(ids, dtype="<i4"), np.int32(end_id))
+def batches_of(column: pa.Array, most: int = TEXT_BYTES) -> Iterator[slice]:
+    """Slices of rows whose texts have about ``most`` bytes together, one row at least."""
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    number = (np.cumsum(lengths) - lengths) // most
+    cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(column)]
+    yield from (slice(a, b) for a, b in zip(cuts, cuts[1:]) if b > a)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id") -> None:
@@ -131,15 +127,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        end = np.array([END_ID], dtype="<i4")
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(at, ROWS_AT_ONCE)
-                ids = [ids_of(encode, t.as_py()) for t in batch.column(1).cast(pa.binary())]
-                ends = np.cumsum([0, *map(len, ids)])
+            for rows in batches_of(whole.column(1).cast(pa.binary())):
+                batch = whole.slice(rows.start, rows.stop - rows.start)
+                texts = [(t.as_py() or b"").decode("utf-8", "replace") for t in batch.column(1).cast(pa.binary())]
+                ids = [x for t in texts for x in (encode.ids(t), end)]
+                ends = np.cumsum([0, *[len(x) + 1 for x in ids[::2]]])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),
-                        pa.array(np.full(len(ids), part, dtype=np.int32)),
+                        pa.array(np.full(batch.num_rows, part, dtype=np.int32)),
                         pa.array(before + ends[:-1]),
                         pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(ids))),
                     ],
@@ -193,11 +191,12 @@ def token_rows(stored: DataFrame, key: str = "doc_id") -> DataFrame:
             )
 
     kind = stored.schema[key].dataType.simpleString()
-    rows = stored.select(key, "part", "place", "ids").mapInArrow(
+    read = stored.select(key, "part", "place", "ids").mapInArrow(
         checks, f"`{key}` {kind}, part int, place long, n_tokens long, ids_crc32 long"
     )
+    rows = pinned(read)  # short rows; the files are read once
     running = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = stored.groupBy("part").agg(F.sum(F.size("ids")).alias("n"))
+    sums = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = sums.select("part", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("before"))
     return rows.join(before, "part").select(
         key, (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids_crc32"
