@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from grievaline.functions.payloads import call_arguments, call_object, json_blob, object_fields
 from grievaline.functions.text import filled, strip
+from grievaline.operators.hotkeys import lookup_join, unused
 from grievaline.operators.numbering import with_lookback
 
 HISTORY_CAP = 8
@@ -76,22 +77,30 @@ def tool_calls(events: DataFrame) -> DataFrame:
     ``events`` has ``session, answer, round, event_id``: which answer of a session and
     which of its rounds, from 1, an entry belongs to; a round may hold any number of
     entries. An answer ends at its first round without a call, and after three rounds.
+    Only two flags per round and answer decide; they are aggregated before anything is
+    shuffled, and the arguments of calls that ran are parsed behind the join. An answer
+    of any size is spread over tasks.
     """
-    one_answer = W.partitionBy("session", "answer")
-    same_round = one_answer.orderBy("round").rangeBetween(W.currentRow, W.currentRow)
-    return (
-        events.withColumn("args", call_object(F.col("args")))
-        .withColumn("n_calls", F.sum(F.col("is_call").cast("int")).over(same_round))
-        .withColumn(
-            "first_empty", F.min(F.when(F.col("n_calls") == 0, F.col("round"))).over(one_answer)
-        )
-        .withColumn(
-            "ran",
-            F.col("is_call")
-            & (F.col("round") < F.coalesce("first_empty", F.lit(MAX_ROUNDS + 1)))
-            & (F.col("round") <= MAX_ROUNDS),
-        )
+    at = F.col("round")
+    flags = {}
+    for n in range(1, MAX_ROUNDS + 1):
+        flags[f"has_{n}"] = F.bool_or(at == n)
+        flags[f"calls_{n}"] = F.bool_or(F.when(at == n, F.col("is_call")))
+    empty = [F.when(F.col(f"has_{n}") & ~F.col(f"calls_{n}"), n) for n in range(1, MAX_ROUNDS + 1)]
+    (place,) = unused(events.columns, "place")
+    answer = F.struct("session", "answer")
+    ends = (
+        events.groupBy(answer.alias(place))
+        .agg(*[c.alias(n) for n, c in flags.items()])
+        .select(place, F.least(*empty).alias("first_empty"))
+    )
+    ran = (
+        F.col("is_call")
+        & (at < F.coalesce("first_empty", F.lit(MAX_ROUNDS + 1)))
+        & (at <= MAX_ROUNDS)
     )
+    rows = lookup_join(events.withColumn(place, answer), ends, place, "event_id").drop(place)
+    return rows.withColumn("ran", ran).withColumn("args", F.when(F.col("ran"), call_object(F.col("args"))))
 
 
 def round_cutoff(calls: DataFrame) -> DataFrame:

@@ -1,11 +1,16 @@
 """Properties of the jobs, sources, streams and plans."""
 
+import hashlib
 import json
+import math
 import re
+from collections import Counter
 from urllib.parse import unquote
 
 import pytest
+import regex
 from conftest import SMALL
+from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 
 from grievaline import catalogue
@@ -447,3 +452,61 @@ def test_stored_bookings_are_read_by_row_group(spark):
     leaf = one._jdf.queryExecution().executedPlan().collectLeaves().head()
     read = leaf.metrics().apply("numOutputRows").value()
     assert len(rows) == 1 and read < stored.count() / 10
+
+
+def test_calls_are_not_windowed(spark):
+    """Rounds are cut by flags per answer: no window over the log, arguments parsed behind the join."""
+    rows = conversations.tool_calls(given(spark, SMALL, "f_tool_events"))
+    text = plan(rows.select("session", "answer", "args", "ran"))
+    assert "Window" not in text
+    assert rows.where("ran AND args IS NULL").count() == 0 and rows.where("NOT ran AND args IS NOT NULL").count() == 0
+
+
+def test_image_files_by_value(spark):
+    """Every image of the table is in a file, with its length, type and hash."""
+    table = read_table(spark, SMALL, "part").collect()
+    head = {0: "GIF89a", 1: "RIFF....WEBP", 2: "BM"}
+    lines = {}
+    for r in table:
+        lines.setdefault(r["p_brand"], []).append(head[r["p_partkey"] % 3] + r["p_name"])
+    found = QUERIES["image_file_source"](spark, SMALL).collect()
+    assert sum(r["length"] for r in found) == sum(len(x.encode()) + 1 for rows in lines.values() for x in rows)
+    assert len({r["content_sha1"] for r in found}) >= len(lines)
+    whole = {hashlib.sha1("".join(f"{x}\n" for x in rows).encode()).hexdigest() for rows in lines.values()}
+    assert len(found) > len(lines) or {r["content_sha1"] for r in found} == whole
+
+
+def test_random_booking_ids(spark):
+    rows = QUERIES["journey_ids"](spark, SMALL).collect()
+    form = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}")
+    assert len({r["journey_id"] for r in rows}) == len(rows) > 100 and all(form.fullmatch(r["journey_id"]) for r in rows)
+    assert len({r["created_at"] for r in rows}) == 1
+    assert sorted(r["user_id"] for r in rows) == sorted(
+        r["user_id"] for r in QUERIES["journey_projection"](spark, SMALL).collect()
+    )
+
+
+def test_text_vectors_by_value(spark):
+    """Unit vectors of term counts times inverse document frequencies, from the definition."""
+    texts = {r["doc_id"]: r["text"] or "" for r in read_table(spark, SMALL, "documents").collect()}
+    found = {r["doc_id"]: r["vec"] for r in QUERIES["text_to_vector"](spark, SMALL).collect()}
+    hashing = HashingTF(numFeatures=1 << 10)
+    slots = {}
+    for i, text in texts.items():
+        words = [w for w in regex.split(r"[^\p{L}\p{Nd}]+", text.lower()) if w]
+        slots[i] = Counter(hashing.indexOf(w) for w in words)
+    held = Counter(s for c in slots.values() for s in c)
+    assert found.keys() == texts.keys()
+    for i in list(texts)[:60]:
+        weights = {s: n * math.log((len(texts) + 1) / (held[s] + 1)) for s, n in slots[i].items()}
+        norm = math.sqrt(sum(w * w for w in weights.values()))
+        got = {s: x for s, x in enumerate(found[i]) if x}
+        want = {s: w / norm for s, w in weights.items() if w}
+        assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-9 for s in want)
+
+
+def test_chunk_ids_of_large_text_ids(spark):
+    texts = [(2**62 + i, "y " * 600) for i in range(20)] + [(2**39 - 1, "x " * 600), (3, "x " * 600)]
+    rows = spark.createDataFrame(texts, "doc_id bigint, text string")
+    ids = [r["id"] for r in rules.sliding_chunks(rows).select(rules.chunk_id().alias("id")).collect()]
+    assert len(ids) == len(set(ids)) == 22 * 3 and sum(i < 0 for i in ids) == 60
