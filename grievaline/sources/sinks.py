@@ -41,3 +41,11 @@ def append_missing(rows: DataFrame, path: str, key: str) -> None:
 def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     """One stream batch in a folder of its own; a replayed batch replaces itself."""
     rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def write_batch_once(rows: DataFrame, path: str, batch_id: int) -> None:
+    """The same, but a complete folder stays: a stream that follows may have listed its files."""
+    spark = rows.sparkSession
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={batch_id}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        write_batch(rows, path, batch_id)

@@ -31,19 +31,26 @@ def shared_dir(spark: SparkSession) -> str:
     return _local[app]
 
 
-def new_dir(spark: SparkSession, label: str) -> str:
-    """A path nobody has used yet, so that a rerun never meets old files."""
-    app = spark.sparkContext.applicationId
-    return f"{shared_dir(spark)}/grievaline/{app}/{label}-{uuid.uuid4().hex[:12]}"
-
-
 _owned: dict[str, list[str]] = {}
 _owner: ContextVar[str | None] = ContextVar("owner", default=None)
 
 
+def new_dir(spark: SparkSession, label: str) -> str:
+    """A path nobody has used yet, so that a rerun never meets old files.
+
+    Inside ``owned`` the folder is noted for its owner; else it stays until the shared
+    folder is cleared.
+    """
+    app = spark.sparkContext.applicationId
+    path = f"{shared_dir(spark)}/grievaline/{app}/{label}-{uuid.uuid4().hex[:12]}"
+    if _owner.get():
+        _owned.setdefault(_owner.get(), []).append(path)
+    return path
+
+
 @contextmanager
 def owned(owner: str) -> Iterator[None]:
-    """Folders that ``pinned`` writes meanwhile belong to ``owner``, who releases them."""
+    """Folders that ``new_dir`` and ``pinned`` give meanwhile belong to ``owner``, who releases them."""
     token = _owner.set(owner)
     try:
         yield
@@ -64,13 +71,9 @@ def release(spark: SparkSession, owner: str) -> int:
 def pinned(frame: DataFrame) -> DataFrame:
     """``frame`` written to the shared folder and read back.
 
-    It is computed once, and what is read again after a lost executor is the same. Inside
-    ``owned`` the folder is noted for its owner; else it stays until the shared folder is
-    cleared.
+    It is computed once, and what is read again after a lost executor is the same.
     """
     spark = frame.sparkSession
     path = new_dir(spark, "pinned")
     frame.write.parquet(path)
-    if _owner.get():
-        _owned.setdefault(_owner.get(), []).append(path)
     return spark.read.schema(frame.schema).parquet(path)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from grievaline.plans.requests import validate_phone
-from grievaline.sources.sinks import first_per_key, read_or_none, write_batch
+from grievaline.sources.sinks import first_per_key, read_or_none, write_batch, write_batch_once
 from grievaline.streaming.runs import run_stream
 
 SLOTS = 256
@@ -26,14 +26,13 @@ def slot_of(key: str):
     return F.pmod(F.xxhash64(key), F.lit(SLOTS)).cast("int")
 
 
-def late_mark(spark: SparkSession, target: str, batch_id: int, delay: str):
-    """The time before which rows of a batch are late: the newest time of all batches
-    before it, less the delay; null for the first one."""
-    marks = read_or_none(spark, f"{target}/marks")
-    if marks is None:
-        return None
-    newest = marks.where(F.col("batch") < batch_id).agg(F.max("newest").alias("newest"))
-    return newest.select(F.col("newest") - F.expr(f"INTERVAL {delay}")).first()[0]
+def newest_before(spark: SparkSession, target: str, batch_id: int):
+    """The newest time of all batches before this one; each mark holds that of its own too."""
+    last = read_or_none(spark, f"{target}/marks/batch={batch_id - 1}")
+    if last is None:
+        marks = read_or_none(spark, f"{target}/marks")
+        last = marks.where(F.col("batch") < batch_id) if marks is not None else None
+    return None if last is None else last.agg(F.max("newest")).first()[0]
 
 
 def answer_stream(
@@ -49,13 +48,17 @@ def answer_stream(
         spark = batch.sparkSession
         write_batch(validate_phone(batch, "registered_at"), f"{target}/answers", batch_id)
         checked = spark.read.parquet(f"{target}/answers/batch={batch_id}")
-        newest = checked.agg(F.max("registered_at").alias("newest"))
+        before = newest_before(spark, target, batch_id)
+        known = F.lit(before).cast("timestamp")
+        newest = checked.agg(F.greatest(F.max("registered_at"), known).alias("newest"))
         write_batch(newest.coalesce(1), f"{target}/marks", batch_id)
-        mark = late_mark(spark, target, batch_id, delay)
-        late = F.lit(False) if mark is None else F.coalesce(F.col("registered_at") < F.lit(mark), F.lit(True))
+        mark = known - F.expr(f"INTERVAL {delay}")
+        late = F.col("registered_at").isNull()
+        if before is not None:
+            late = late | (F.col("registered_at") < mark)
         rows = checked.where("accepted").select("user_id", "phone_number", "registered_at")
         write_batch(rows.where(late), f"{target}/late", batch_id)
-        write_batch(rows.where(~late), f"{target}/on_time", batch_id)
+        write_batch_once(rows.where(~late), f"{target}/on_time", batch_id)
 
     return run_stream(users, each, checkpoint, every=every)
 
@@ -110,5 +113,8 @@ def registration_stream(
     """
     if "registered_at" not in users.columns:
         users = users.withColumn("registered_at", F.current_timestamp())
+    spark = users.sparkSession
+    if read_or_none(spark, f"{target}/on_time") is None:  # the second query follows a folder
+        write_batch_once(spark.createDataFrame([], ACCEPTED), f"{target}/on_time", -1)
     answer_stream(users, target, f"{checkpoint}/answers", delay, every)
-    return insert_stream(users.sparkSession, target, f"{checkpoint}/inserts", delay, every)
+    return insert_stream(spark, target, f"{checkpoint}/inserts", delay, every)
