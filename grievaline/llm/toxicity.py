@@ -23,7 +23,6 @@ SAMPLE_TOXIC = 8_000  # labelled rows that the model may be fitted on, per label
 SAMPLE_CLEAN = 16_000
 TERMS_AT_ONCE = 1 << 18  # counted terms that a task holds before it hands them on
 MIN_ROWS = 5  # toxic rows that hold a term, whatever the size of the sample
-MIN_SHARE = 0.03  # a small sample asks for this share only, but for 3 rows
 MIN_ODDS = 1.5  # log odds, less their standard error
 SURE_ODDS = 5.0  # from here on a word also counts with marks on its letters
 PREFIXES = (4, 5, 6, 7, 8, 9)
@@ -221,8 +220,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         folder = Folder()
         return lambda text: candidates(folder(text))
 
-    least = min(MIN_ROWS, max(3.0, MIN_SHARE * n_toxic))
-    counted = _counted(sample, words).where(F.col("t") >= least)
+    counted = _counted(sample, words).where(F.col("t") >= MIN_ROWS)
     sure = counted.select("term", _sure_odds(n_toxic, n_clean).alias("odds")).where(F.col("odds") > MIN_ODDS)
     weights = _needed(seeds | {r["term"]: r["odds"] for r in sure.orderBy(F.desc("odds"), "term").collect()})
     model = Model(weights, list(SEED_EXCEPTIONS))
