@@ -97,11 +97,12 @@ class Graph:
             all_ids = np.concatenate([ids[active], around], axis=1)
             all_sims = np.concatenate([sims[active], close], axis=1)
             all_open = np.concatenate([open_[active], around >= 0], axis=1)
-            best = np.argsort(-all_sims, axis=1, kind="stable")[:, : ids.shape[1]]
+            best = np.argpartition(-all_sims, ids.shape[1] - 1, axis=1)[:, : ids.shape[1]]
             ids[active] = np.take_along_axis(all_ids, best, axis=1)
             sims[active] = np.take_along_axis(all_sims, best, axis=1)
             open_[active] = np.take_along_axis(all_open, best, axis=1) & (ids[active] >= 0)
-        return ids[:, :beam], sims[:, :beam]
+        best = np.argsort(-sims, axis=1, kind="stable")[:, :beam]
+        return np.take_along_axis(ids, best, axis=1), np.take_along_axis(sims, best, axis=1)
 
     def _insert(self, lot: np.ndarray) -> None:
         queries = self.unit[lot]
@@ -192,9 +193,10 @@ def candidates(graph: Graph, queries: np.ndarray, threshold: float) -> list[np.n
     The beam is doubled until an audit of queries from all over the block against all
     nodes finds the wanted recall, both of their nearest nodes, whatever the cosine, and
     of their links. Queries whose whole beam is above the threshold may have more: they
-    are searched again with wider beams, under an audit of their own. A beam as wide as
-    a quarter of the shard is replaced by a scan of the shard, which is exact. Nodes
-    that no walk reaches are compared with every query.
+    are searched again with wider beams, under an audit of their own. A walk looks at the
+    ``2 * LINKS`` neighbours of every place of its beam; where these are as many as the
+    shard's nodes, it is replaced by a scan of the shard, which is exact. Nodes that no walk
+    reaches are compared with every query.
     """
     floor = np.float32(threshold - 1e-4)
     single = queries.astype(np.float32)
@@ -238,7 +240,7 @@ def _audited_beam(graph: Graph, queries: np.ndarray, beam: int, floor: np.float3
     n, k = len(graph.unit), min(NEAREST, len(graph.unit))
     size = min(len(queries), AUDIT)
     some = queries[np.linspace(0, len(queries) - 1, size).astype(int)]
-    while beam * 4 < n:
+    while beam * 2 * LINKS < n:
         near, near_found, links, links_found = 0, 0, 0, 0
         for at in range(0, size, LOT):
             lot = some[at : at + LOT]
