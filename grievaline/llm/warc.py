@@ -32,14 +32,15 @@ EPOCH = datetime(2020, 1, 1, tzinfo=timezone.utc)
 MEMBER_BYTES = 15 << 20
 
 THIN = (
-    "record_id string, page_id long, url string, captured string, payload_bytes long, payload_digest string, "
-    "is_http boolean"
+    "file string, number long, record_id string, page_id long, url string, captured string, payload_bytes long, "
+    "payload_digest string, is_http boolean"
 )
 CAPTURES = THIN + ", ip string, mime string, version string, truncated boolean, head binary, payload binary"
 RECORDS = (
-    "page_id long, record_id string, record_type string, url string, captured string, head binary, payload binary, "
+    "page_id long, record_id string, record_type string, url string, captured string, "
     "payload_bytes long, payload_digest string, refers_to long, refers_to_record string"
 )
+WHOLE_RECORDS = RECORDS + ", head binary, payload binary"
 
 
 def write_arc(pages: DataFrame, path: str) -> None:
@@ -162,6 +163,8 @@ def _captures(file: str, stream, payloads: bool) -> Iterator[tuple]:
         date = datetime.strptime(header["Archive-date"], "%Y%m%d%H%M%S")
         page = http_field(head, "x-page-id")
         thin = (
+            file,
+            number,
             record_id(file, number),
             int(page) if page.isdigit() or page[:1] == "-" and page[1:].isdigit() else None,
             header["URL"],
@@ -226,7 +229,7 @@ def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
 
 
 def revisits(thin: DataFrame) -> DataFrame:
-    """``record_id, first``: which captures revisit, and the capture that they refer to.
+    """``file, number, first``: which captures revisit, and the capture that they refer to.
 
     Of equal payloads of at least 100 bytes the one with the smallest page id is the
     response and the others are revisits; shorter ones and captures without an HTTP head
@@ -244,17 +247,16 @@ def revisits(thin: DataFrame) -> DataFrame:
     return (
         long.join(repeated, "payload_digest")
         .where(~F.col("page_id").eqNullSafe(F.col("first.page_id")))
-        .select("record_id", "first")
+        .select("file", "number", "first")
     )
 
 
-def warc_record(row: dict) -> bytes:
+def warc_record(row: dict, first: dict | None) -> bytes:
     """One WARC record as a gzip member, so that a reader can begin at it.
 
     A capture with an HTTP head keeps it as it was, status line and fields; without one
     it is a resource record of the capture's own type.
     """
-    first = row["first"]
     kind = "revisit" if first else "response" if row["is_http"] else "resource"
     block = row["head"] + (b"" if first else row["payload"])
     page = "" if row["page_id"] is None else str(row["page_id"])
@@ -293,21 +295,34 @@ def packed(record: bytes) -> bytes:
 def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
     """ARC files to WARC files of gzip members.
 
-    What revisits what is decided on short rows; whole captures meet the decisions by
-    their record id, so that a payload which very many captures share is no hot key. The
-    text writer ends every row with the last byte of its member, a zero.
+    What revisits what is decided on short rows. A file, packed as it is, meets the
+    decisions on its own captures and is converted record by record; payloads are not
+    shuffled, and one that very many captures share is no hot key. The text writer ends
+    every row with the last byte of its member, a zero.
     """
-    decisions = revisits(read_arc(spark, arc_path, payloads=False))
-    captures = read_arc(spark, arc_path).join(decisions.hint("shuffle_hash"), "record_id", "left")
+    decided = (
+        revisits(read_arc(spark, arc_path, payloads=False))
+        .groupBy("file")
+        .agg(F.collect_list(F.struct("number", "first")).alias("revisits"))  # no more than its records
+    )
+    files = _archives(spark, arc_path).withColumnRenamed("path", "file").join(decided, "file", "left")
+    names = [f.split()[0] for f in CAPTURES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                rows = [warc_record(r)[:-1] for r in whole.slice(at, 64).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["value"])
+        for batch in batches:
+            for i, (name, content) in enumerate(_files([batch.select(["file", "content"])])):
+                first = {r["number"]: r["first"] for r in batch.column("revisits")[i].as_py() or []}
+                out, size = [], 0
+                for row in _captures(name, content, True):
+                    out.append(warc_record(dict(zip(names, row)), first.get(row[1]))[:-1])
+                    size += len(out[-1])
+                    if size >= MEMBER_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+                        out, size = [], 0
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     (
-        captures.mapInArrow(run, "value binary")
+        files.mapInArrow(run, "value binary")
         .select(F.col("value").cast("string"))
         .write.option("lineSep", "\0")
         .text(warc_path)
@@ -332,7 +347,7 @@ def warc_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, block
 
 
-def _records(stream) -> Iterator[tuple]:
+def _records(stream, payloads: bool) -> Iterator[tuple]:
     for headers, block in warc_records(stream):
         kind = headers["warc-type"]
         head, payload = http_parts(block) if headers["content-type"].startswith("application/http") else (b"", block)
@@ -341,34 +356,37 @@ def _records(stream) -> Iterator[tuple]:
         if whole and hashlib.sha256(payload).hexdigest() != digest:
             raise ValueError(f"payload of {headers['warc-record-id']} differs from its digest")
         page, refers = headers.get("x-page-id", ""), headers.get("x-refers-to-page-id", "")
-        yield (
+        row = (
             int(page) if page else None,
             headers["warc-record-id"],
             kind,
             headers["warc-target-uri"],
             headers["warc-date"],
-            head,
-            payload if whole else None,
             len(payload) if whole else int(headers["x-payload-length"]),
             digest,
             int(refers) if refers else None,
             headers.get("warc-refers-to"),
         )
+        yield (*row, head, payload if whole else None) if payloads else row
+
 
+def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """Records of all WARC files below ``path``; payloads are checked against their digest.
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all WARC files below ``path``; payloads are checked against their digest."""
+    Without ``payloads`` they are checked all the same, but do not leave the task.
+    """
+    kind = WHOLE_RECORDS if payloads else RECORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, content in _files(batches):
-            for rows in _chunks(_records(content)):
-                yield _batch(rows, RECORDS)
+            for rows in _chunks(_records(content, payloads)):
+                yield _batch(rows, kind)
 
-    return _archives(spark, path).mapInArrow(run, RECORDS)
+    return _archives(spark, path).mapInArrow(run, kind)
 
 
-def archive(pages: DataFrame) -> DataFrame:
-    """Pages to ARC, ARC to WARC, and what the WARC files hold.
+def archive(pages: DataFrame, payloads: bool = True) -> DataFrame:
+    """Pages to ARC, ARC to WARC, and what the WARC files hold, with or without ``payloads``.
 
     Null html is an empty payload, repeated rows are records of their own, an empty
     table gives no rows, other columns are left out.
@@ -377,4 +395,4 @@ def archive(pages: DataFrame) -> DataFrame:
     arc, warc = new_dir(spark, "arc"), new_dir(spark, "warc")
     write_arc(pages, arc)
     convert(spark, arc, warc)
-    return read_warc(spark, warc)
+    return read_warc(spark, warc, payloads)
