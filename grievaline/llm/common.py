@@ -138,21 +138,24 @@ def kept_in_worker(kind: str, key, make: Callable):
     return kept[kind][1]
 
 
-class Recent:
-    """A bounded cache: what was not asked for while ``size`` others came is forgotten."""
+class Recent(dict):
+    """``make(key)`` by key, bounded: what was not asked for while ``size`` others came is forgotten.
 
-    def __init__(self, size: int):
-        self.size, self.new, self.old = size, {}, {}
+    A key that is held is found without a call into Python, also through ``map``.
+    """
+
+    def __init__(self, size: int, make: Callable):
+        super().__init__()
+        self.size, self.make, self.old = size, make, {}
 
-    def get_or(self, key, make: Callable):
-        found = self.new.get(key)
+    def __missing__(self, key):
+        found = self.old.get(key)
         if found is None:
-            found = self.old.get(key)
-            if found is None:
-                found = make(key)
-            if len(self.new) >= self.size:
-                self.old, self.new = self.new, {}
-            self.new[key] = found
+            found = self.make(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
         return found
 
 

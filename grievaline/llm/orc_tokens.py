@@ -67,7 +67,7 @@ class Encoder:
         )
         letters = byte_letters()
         self.shown = [chr(letters.get(b, b)) for b in range(256)]
-        self.pieces = Recent(KEPT_PIECES)
+        self.pieces = Recent(KEPT_PIECES, self.piece)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -80,11 +80,7 @@ class Encoder:
         return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def cut(self, text: str) -> np.ndarray:
-        pieces = CUTS.findall(text)
-        found = list(map(self.pieces.new.get, pieces))
-        if None in found:
-            found = [f or self.pieces.get_or(p, self.piece) for f, p in zip(found, pieces)]
-        return np.frombuffer(b"".join(found), dtype="<i4")
+        return np.frombuffer(b"".join(map(self.pieces.__getitem__, CUTS.findall(text))), dtype="<i4")
 
     def ids(self, text: str) -> np.ndarray:
         if not text:

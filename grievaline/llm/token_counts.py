@@ -52,7 +52,7 @@ class Lengths:
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.by_pieces = self.cuts_like_this(path)
         self.letters = byte_letters()
-        self.pieces, self.words = Recent(KEPT), Recent(KEPT // 8)
+        self.pieces, self.words = Recent(KEPT, self.of_piece), Recent(KEPT // 8, self.whole)
 
     @staticmethod
     def cuts_like_this(path: str) -> bool:
@@ -77,29 +77,32 @@ class Lengths:
     def plain(self, text: str) -> bool:
         return PLAIN.fullmatch(text) is not None and not (self.special and self.special.search(text))
 
-    def count(self, text: str, frequent: dict[str, int]) -> int:
+    def count(self, text: str, table: dict[str, int]) -> int:
         """Tokens of a whole text: the table first, then the worker's cache, then the model."""
         if not self.by_pieces:
             return self.whole(text)
         if self.plain(text):
-            return self.of_plain(text, frequent)
+            return self.of_plain(text, table)
         # ASCII blanks end pre-tokens and special strings, so words may be counted apart
         words = [w.decode() for w in text.encode().split()]
         apart = [w for w in words if not self.plain(w)]
         rest = " ".join(w for w in words if self.plain(w))
-        return self.of_plain(rest, frequent) + sum(self.words.get_or(w, self.whole) for w in apart)
+        return self.of_plain(rest, table) + sum(map(self.words.__getitem__, apart))
 
-    def of_plain(self, text: str, frequent: dict[str, int]) -> int:
-        pieces = CUTS.findall(text.lower())
-        found = list(map(frequent.get, pieces))
-        if None not in found:
-            return sum(found)
-        missed = [p for p, n in zip(pieces, found) if n is None]
-        total = sum(n for n in found if n is not None)
-        again = list(map(self.pieces.new.get, missed))
-        if None not in again:
-            return total + sum(again)
-        return total + sum(n or self.pieces.get_or(p, self.of_piece) for p, n in zip(missed, again))
+    @staticmethod
+    def of_plain(text: str, table: dict[str, int]) -> int:
+        return sum(map(table.__getitem__, CUTS.findall(text.lower())))
+
+
+class Tiers(dict):
+    """The table of frequent pre-tokens, behind it the worker's cache; the table does not grow."""
+
+    def __init__(self, frequent: dict[str, int], cache: Recent):
+        super().__init__(frequent)
+        self.cache = cache
+
+    def __missing__(self, piece: str) -> int:
+        return self.cache[piece]
 
 
 def lengths(path: str) -> Lengths:
@@ -167,11 +170,12 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", limit: int
     table = spark.sparkContext.broadcast(frequent_lengths(docs, tokenizer, text, entries))
 
     def make():
-        known, frequent = lengths(tokenizer), table.value
+        known = lengths(tokenizer)
+        tiers = Tiers(table.value, known.pieces)
 
         def several(batch: pa.RecordBatch) -> list[list]:
             texts = [t.as_py() or b"" for t in batch.column(0).cast(pa.binary())]
-            counts = [known.count(t.decode("utf-8", "replace"), frequent) for t in texts]
+            counts = [known.count(t.decode("utf-8", "replace"), tiers) for t in texts]
             return [[len(t) for t in texts], counts, [n > limit for n in counts]]
 
         return several

@@ -230,7 +230,9 @@ PARTS = ["a", "don't", "'S", " ", "\n", "é", "12", "...", "'ll", "’", "<|endo
 def test_counts_are_the_librarys(parts):
     text = "".join(parts)
     known = token_counts.lengths(word_path())
-    assert known.count(text, {}) == known.whole(text) == known.count(text, {"a": 1, "'": 1})
+    for table in ({}, {"a": 1, "'": 1}):
+        tiers = token_counts.Tiers(table, known.pieces)
+        assert known.count(text, tiers) == known.whole(text) and len(tiers) == len(table)
 
 
 def test_counts_of_awkward_rows(docs):
@@ -262,7 +264,8 @@ def test_bounded_tables_and_caches(spark, docs, monkeypatch):
     kept = token_counts.Lengths(word_path())
     kept.pieces.size = 3
     text = " ".join(f"w{i % 11}" for i in range(200))
-    assert kept.count(text, {}) == kept.whole(text) and len(kept.pieces.new) <= 3 and len(kept.pieces.old) <= 3
+    tiers = token_counts.Tiers({}, kept.pieces)
+    assert kept.count(text, tiers) == kept.whole(text) and len(kept.pieces) <= 3 and len(kept.pieces.old) <= 3
 
 
 def test_counts_query_is_the_library(spark):
