@@ -22,12 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grievaline.llm.common import travels
-from grievaline.sources.workdir import pinned
+from grievaline.sources.workdir import new_dir, pinned
 
 travels(__name__)
 
 TOP_K = 20
 SHARD_WORDS = 1 << 20
+FILE_SHARDS = 16
 BLOCK_TERMS = 1 << 20
 ITEMS_AT_ONCE = 256
 SPLITS_AT_ONCE = 8
@@ -106,8 +107,12 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_
         if ids:
             yield shard()
 
-    read = docs.select(F.col(key).cast("long"), F.col(text))
-    return pinned(read.mapInArrow(run, INDEX))
+    spark = docs.sparkSession
+    path = new_dir(spark, "index")
+    read = docs.select(F.col(f"`{key}`").cast("long"), F.col(f"`{text}`"))
+    # a reader takes a file's rows at once, so a file holds few shards
+    read.mapInArrow(run, INDEX).write.option("maxRecordsPerFile", FILE_SHARDS).parquet(path)
+    return spark.read.schema(INDEX).parquet(path)
 
 
 def item_terms(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
