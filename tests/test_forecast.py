@@ -80,6 +80,18 @@ def test_scores_in_workers_equal_the_model(spark, tmp_path):
     assert max(abs(got[k] - want[k]) for k in want) <= 1e-9
 
 
+def test_model_errors_by_value(spark):
+    """The stored errors are those of the trees that the definition gives, fitted here anew."""
+    (row,) = QUERIES["resolution_model"](spark, SMALL).collect()
+    rows = forecast.model_inputs(history(spark, SMALL).where("days >= 0")).cache()
+    at = F.lit("1997-01-01").cast("timestamp_ntz")
+    model = forecast.fitted_trees(rows.where(F.col("filed_at") < at))
+    errors = [r["days"] - r["prediction"] for r in model.transform(rows.where(F.col("filed_at") >= at)).collect()]
+    assert row["n_test"] == len(errors) > 100
+    assert row["mae"] == pytest.approx(np.mean(np.abs(errors)), rel=1e-3)
+    assert row["rmse"] == pytest.approx(np.sqrt(np.mean(np.square(errors))), rel=1e-3)
+
+
 EVENTS = "feature string, value double, ts timestamp"
 
 
