@@ -166,13 +166,14 @@ def linked_fingerprints(prints: DataFrame, bits: int = 4, shard_rows: int = 4096
     blocks. So a shard is a choice of blocks with their value, and two such prints meet
     in one of the shards, whose tree is searched by exactly the prints of the shard: a
     tree goes where its queries are, and no task holds all of them. ``agree`` follows
-    the number of prints and keeps the mean shard small. A shard of more than
+    the number of prints and keeps the mean shard below half of ``shard_rows``, large
+    enough for a tree to spare most of it. A shard of more than
     ``shard_rows`` is cut once more by finer blocks in the same exact way; what still
     meets in one tree then agrees in half of its bits twice over.
     """
     n = prints.count()
     agree = 1
-    while agree < 4 and n >> (64 * agree // (bits + agree)) > 64:
+    while agree < 4 and n >> (64 * agree // (bits + agree)) > shard_rows // 2:
         agree += 1
     shards = _sharded(prints, block_masks(bits + agree, agree))
     crowded = pinned(shards.groupBy("choice", "part").count().where(F.col("count") > shard_rows).drop("count"))
