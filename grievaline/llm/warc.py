@@ -30,6 +30,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EPOCH = datetime(2020, 1, 1, tzinfo=timezone.utc)
 
 MEMBER_BYTES = 15 << 20
+LEVEL = 4
 
 THIN = (
     "file string, number long, record_id string, page_id long, url string, captured string, payload_bytes long, "
@@ -289,7 +290,7 @@ def packed(record: bytes) -> bytes:
     byte is zero.
     """
     pieces = [record[i : i + MEMBER_BYTES] for i in range(0, len(record), MEMBER_BYTES)]
-    return b"".join(gzip.compress(p, 6, mtime=0) for p in pieces)
+    return b"".join(gzip.compress(p, LEVEL, mtime=0) for p in pieces)
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
