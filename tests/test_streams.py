@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 import pytest
 from compare import files_read
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from grievaline.plans import rules
@@ -160,3 +161,23 @@ def test_withdrawn_chunks_come_back_once(spark, tmp_path, whole):
         index.sync_index(spark.createDataFrame(rows, schema), path, batch, whole)
         ids = [r["id"] for r in index.live_index(spark, path).collect()]
         assert len(ids) == len(set(ids)) == (1 if rows is short else 3)
+
+
+def test_newest_booking_takes_rows_as_they_are():
+    class Value:
+        held = None
+
+        def get(self):
+            return self.held
+
+        def update(self, row):
+            self.held = row
+
+    processor = bookings.NewestBooking(["v0", "v1", "v2"], "", None)
+    processor.newest = Value()
+    row = Row("user_id", "v1", "v0", "v2")
+    assert list(processor.handleInputRows(("u",), iter([row("u", "a", 5, "x"), row("u", "b", 7, "y"), row("u", "c", 6, "z")]), None)) == [
+        Row(user_id="u", v0=7, v1="b", v2="y")
+    ]
+    assert processor.newest.held == (7, "b", "y")
+    assert list(processor.handleInputRows(("u",), iter([row("u", "a", 7, "x")]), None)) == []
