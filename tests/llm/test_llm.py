@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on awkward rows and on given tables."""
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -179,6 +180,62 @@ def test_tokens_are_the_librarys(parts):
     assert encode(text) == encode.whole(text)
 
 
+@settings(max_examples=200, deadline=None)
+@given(
+    st.lists(
+        st.lists(st.sampled_from(["a", "don't", " ", "\n", "é", "'", "'ll", "'s", "7", "-", "\t", "\r", "\0", "×", "日本", "ж", "\xa0", "\x1c", "<|endoftext|>"]), max_size=9).map("".join),
+        max_size=6,
+    )
+)
+def test_tokens_of_blocks_are_the_librarys(texts):
+    import public_tokenizers
+
+    encode = orc_tokens.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    wanted, encode.pieces = encode.pieces, orc_tokens.Pieces(5)  # most pieces are forgotten again
+    try:
+        for _ in range(2):
+            found = encode.closed(texts)
+            assert [x[:-1].tobytes() for x in found] == [encode.whole(t) for t in texts]
+            assert all(x[-1] == orc_tokens.END_ID for x in found) and len(encode.pieces.held) <= 5
+    finally:
+        encode.pieces = wanted
+
+
+def test_tokens_of_held_pieces_cost_less_than_cutting_by_a_pattern():
+    import time
+
+    import public_tokenizers
+
+    encode = orc_tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(2)
+    words = np.array(["".join(rng.choice([*"etaoinshr"], rng.integers(2, 9))) for _ in range(5000)])
+    text = " ".join(rng.choice(words, 400_000))
+
+    def least(work):
+        seconds = []
+        for _ in range(5):
+            start = time.process_time()
+            work()
+            seconds.append(time.process_time() - start)
+        return min(seconds)
+
+    pattern = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[!-/:-@\[-`{-~]+|[ \n]+(?![^ \n])|[ \n]")
+    encode(text)
+    assert least(lambda: encode(text)) < least(lambda: pattern.findall(text))
+
+
+def test_words_beyond_latin_letters_are_merged_once(monkeypatch):
+    import public_tokenizers
+
+    encode = orc_tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    text = "plain words\tand “quoted” ones — слово  日本\r\n " * 50
+    want = encode.whole(text)
+    monkeypatch.setattr(encode, "whole", lambda text: pytest.fail("encoded whole"))
+    assert encode(text) == want
+    monkeypatch.setattr(encode, "encoded", lambda words: orc_tokens.lists_of([]) if not len(words) else pytest.fail("encoded again"))
+    assert encode(text) == want
+
+
 def test_vectors_are_brute_force(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(12, 16))
