@@ -25,6 +25,9 @@ NEAREST = 16
 RECALL = 0.99
 LOT = 256
 AT_ONCE = 4
+PADDED = 1 << 15
+# A node that a walk looks at takes as long as so many of a scan, at least (measured: 38).
+WALK_COST = 16
 
 
 class Graph:
@@ -135,27 +138,52 @@ class Graph:
         keep = np.argsort(-(chosen * 4.0 + np.where(close > -np.inf, close, -9.0)), axis=1, kind="stable")[:, :most]
         picked = np.take_along_axis(np.where(close > -np.inf, ids, -1), keep, axis=1)
         near[nodes, :most] = picked
-        back: dict[int, list[int]] = {}
-        for node, others in zip(nodes.tolist(), picked.tolist()):
-            for o in others:
-                if o >= 0:
-                    back.setdefault(o, []).append(node)
-        for node, new in back.items():
-            row = near[node]
-            free = np.flatnonzero(row < 0)
-            if free.size >= len(new):
-                row[free[: len(new)]] = new
-                continue
-            both = np.unique(np.concatenate([row[row >= 0], np.array(new, dtype=np.int32)]))
-            sims = self.unit[both] @ self.unit[node]
-            # half of the nearest and a spread of the others, so that groups stay joined
-            order = both[np.argsort(-sims, kind="stable")]
-            half = near.shape[1] // 2
-            rest = order[half:]
-            spread = rest[np.linspace(0, rest.size - 1, near.shape[1] - half).astype(int)] if rest.size else rest
-            kept = np.unique(np.concatenate([order[:half], spread]))
-            row[:] = -1
-            row[: kept.size] = kept
+        source = np.repeat(nodes, most)[picked.ravel() >= 0].astype(np.int32)
+        target = picked.ravel()[picked.ravel() >= 0]
+        order = np.argsort(target, kind="stable")
+        target, source = target[order], source[order]
+        first = np.flatnonzero(np.append(True, target[1:] != target[:-1])) if target.size else target
+        count = np.diff(np.append(first, target.size))
+        owner = np.repeat(np.arange(first.size), count)
+        place = np.arange(target.size) - first[owner] if target.size else target
+        used = (near[target[first]] >= 0).sum(axis=1)  # the blanks of a row are its end
+        fits = used + count <= near.shape[1]
+        free = fits[owner]
+        near[target[free], used[owner[free]] + place[free]] = source[free]
+        full = np.flatnonzero(~fits)
+        full = full[np.argsort(count[full], kind="stable")]  # alike ones together, so that few blanks are padded
+        at = 0
+        while at < full.size:
+            # a bounded number of neighbours at once
+            padded = np.arange(1, full.size - at + 1) * (near.shape[1] + count[full[at:]])
+            to = at + max(1, int(np.searchsorted(padded, PADDED, "right")))
+            some = full[at:to]
+            wide = int(count[some[-1]])
+            new = np.full((some.size, wide), -1, dtype=np.int32)
+            spot = np.arange(wide)[None] < count[some][:, None]
+            new[spot] = source[(first[some][:, None] + np.arange(wide)[None])[spot]]
+            near[target[first[some]]] = self._trimmed(target[first[some]], np.concatenate([near[target[first[some]]], new], axis=1), near.shape[1])
+            at = to
+
+    def _trimmed(self, nodes: np.ndarray, both: np.ndarray, width: int) -> np.ndarray:
+        """Of the neighbours of each node half of the nearest and a spread of the others, so that groups stay joined."""
+        both = np.sort(both, axis=1)
+        both[:, 1:][both[:, 1:] == both[:, :-1]] = -1
+        sims = np.einsum("rcd,rd->rc", self.unit[both], self.unit[nodes])
+        sims = np.where(both >= 0, sims, -np.inf)
+        order = np.lexsort((both, -sims), axis=1)
+        ranked = np.take_along_axis(both, order, axis=1)
+        half, size = width // 2, (both >= 0).sum(axis=1)
+        kept = np.full((nodes.size, width), -1, dtype=np.int32)
+        kept[:, :half] = ranked[:, :half]
+        for n in np.unique(size):
+            if n > half:
+                here = np.flatnonzero(size == n)
+                kept[here, half:] = ranked[here][:, half + np.linspace(0, n - half - 1, width - half).astype(int)]
+        kept = np.sort(kept, axis=1)
+        kept[:, 1:][kept[:, 1:] == kept[:, :-1]] = -1
+        # the blanks behind the others, which stay by number
+        return np.take_along_axis(kept, np.argsort(kept < 0, axis=1, kind="stable"), axis=1)
 
     def unreached(self) -> np.ndarray:
         """Nodes that no path of level 0 leads to from the entry."""
@@ -194,9 +222,9 @@ def candidates(graph: Graph, queries: np.ndarray, threshold: float) -> list[np.n
     nodes finds the wanted recall, both of their nearest nodes, whatever the cosine, and
     of their links. Queries whose whole beam is above the threshold may have more: they
     are searched again with wider beams, under an audit of their own. A walk looks at the
-    ``2 * LINKS`` neighbours of every place of its beam; where these are as many as the
-    shard's nodes, it is replaced by a scan of the shard, which is exact. Nodes that no walk
-    reaches are compared with every query.
+    ``2 * LINKS`` neighbours of every place of its beam; where these cost as much as the
+    shard's nodes (``WALK_COST``), it is replaced by a scan of the shard, which is exact.
+    Nodes that no walk reaches are compared with every query.
     """
     floor = np.float32(threshold - 1e-4)
     single = queries.astype(np.float32)
@@ -240,7 +268,7 @@ def _audited_beam(graph: Graph, queries: np.ndarray, beam: int, floor: np.float3
     n, k = len(graph.unit), min(NEAREST, len(graph.unit))
     size = min(len(queries), AUDIT)
     some = queries[np.linspace(0, len(queries) - 1, size).astype(int)]
-    while beam * 2 * LINKS < n:
+    while beam * 2 * LINKS * WALK_COST < n:
         near, near_found, links, links_found = 0, 0, 0, 0
         for at in range(0, size, LOT):
             lot = some[at : at + LOT]

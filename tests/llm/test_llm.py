@@ -453,3 +453,39 @@ def test_pipeline(spark):
     groups = LLM["op1_simhash_near_dedup"](spark, SMALL).select("component_id").distinct().count()
     assert kept.select("doc_id").distinct().count() <= groups
     assert LLM["pipeline"](spark, SMALL).count() == kept.count()
+
+
+def test_back_links_are_trimmed_together_as_one_by_one():
+    rng = np.random.default_rng(9)
+    unit = rng.normal(size=(900, 12)).astype(np.float32)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    graph = hnsw.Graph(unit[:1])
+    graph.unit = unit
+    nodes = rng.choice(900, 40, replace=False)
+    both = rng.integers(0, 900, (40, 30)).astype(np.int32)
+    both[:, 20:] = np.where(rng.random((40, 10)) < 0.5, both[:, :10], -1)  # repeats and blanks
+    both[0, 5:] = -1
+    for node, row, got in zip(nodes, both, graph._trimmed(nodes, both, 16).tolist()):
+        some = np.unique(row[row >= 0])
+        ranked = some[np.argsort(-(unit[some] @ unit[node]), kind="stable")]
+        rest = ranked[8:]
+        more = rest[np.linspace(0, rest.size - 1, 8).astype(int)] if rest.size else rest
+        kept = np.unique(np.concatenate([ranked[:8], more])).tolist()
+        assert got == kept + [-1] * (16 - len(kept))
+
+
+def test_a_walk_that_costs_more_than_a_scan_is_not_taken(monkeypatch):
+    rng = np.random.default_rng(11)
+    nodes = hnsw.unit_rows(list(rng.normal(size=(3000, 12))))
+    graph = hnsw.Graph(nodes[:1])
+    graph.unit, graph.near = nodes.astype(np.float32), [np.full((3000, 32), -1, dtype=np.int32)]
+    walks = []
+    monkeypatch.setattr(hnsw, "_walk", lambda *some, made=hnsw._walk: walks.append(1) or made(*some))
+    queries = beside(rng, nodes[::5], 0.95)
+    true = queries.astype(np.float32) @ graph.unit.T >= np.float32(0.93 - 1e-4)
+    for i, found in enumerate(hnsw.candidates(graph, queries, 0.93)):
+        assert found.tolist() == np.flatnonzero(true[i]).tolist()
+    assert not walks
+    monkeypatch.setattr(hnsw, "WALK_COST", 1)
+    hnsw.candidates(graph, queries, 0.93)
+    assert walks
